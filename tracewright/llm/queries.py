@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from tracewright.llm.language_id import op8_language_id
+from tracewright.llm.quality_gam import op1_quality_gam
+from tracewright.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_quality_gam": op1_quality_gam,
+    "op2_toxicity": op2_toxicity,
     "op8_language_id": op8_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
