@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from tracewright.llm.chat_rotation import OP9_SQL, op9_chat_rotation
 from tracewright.llm.language_id import op8_language_id
+from tracewright.llm.line_frequency import OP3_SQL, op3_line_frequency
+from tracewright.llm.mixing import OP7_SQL, op7_mix_sources
 from tracewright.llm.quality_gam import op1_quality_gam
 from tracewright.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_toxicity": op2_toxicity,
+    "op3_line_frequency": op3_line_frequency,
+    "op7_mix_sources": op7_mix_sources,
     "op8_language_id": op8_language_id,
+    "op9_chat_rotation": op9_chat_rotation,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_frequency": OP3_SQL,
+    "op7_mix_sources": OP7_SQL,
+    "op9_chat_rotation": OP9_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
