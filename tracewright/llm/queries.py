@@ -6,19 +6,26 @@ from tracewright.llm.chat_rotation import OP9_SQL, op9_chat_rotation
 from tracewright.llm.language_id import op8_language_id
 from tracewright.llm.line_frequency import OP3_SQL, op3_line_frequency
 from tracewright.llm.mixing import OP7_SQL, op7_mix_sources
+from tracewright.llm.packing import op6_best_fit_packing
 from tracewright.llm.quality_gam import op1_quality_gam
+from tracewright.llm.token_count import op4_token_count
+from tracewright.llm.topk_search import OP10_SQL, op10_topk_search
 from tracewright.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_toxicity": op2_toxicity,
     "op3_line_frequency": op3_line_frequency,
+    "op4_token_count": op4_token_count,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_mix_sources": op7_mix_sources,
     "op8_language_id": op8_language_id,
     "op9_chat_rotation": op9_chat_rotation,
+    "op10_topk_search": op10_topk_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_line_frequency": OP3_SQL,
     "op7_mix_sources": OP7_SQL,
     "op9_chat_rotation": OP9_SQL,
+    "op10_topk_search": OP10_SQL,
 }
