@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tracewright.llm.chat_rotation import OP9_SQL, op9_chat_rotation
+from tracewright.llm.jaccard_join import OP5_SQL, op5_jaccard_join
 from tracewright.llm.language_id import op8_language_id
 from tracewright.llm.line_frequency import OP3_SQL, op3_line_frequency
 from tracewright.llm.mixing import OP7_SQL, op7_mix_sources
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_line_frequency": op3_line_frequency,
     "op4_token_count": op4_token_count,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_mix_sources": op7_mix_sources,
     "op8_language_id": op8_language_id,
@@ -25,6 +27,7 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_line_frequency": OP3_SQL,
+    "op5_jaccard_join": OP5_SQL,
     "op7_mix_sources": OP7_SQL,
     "op9_chat_rotation": OP9_SQL,
     "op10_topk_search": OP10_SQL,
