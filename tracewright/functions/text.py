@@ -52,6 +52,11 @@ def stage_warnings(warnings: Column) -> Column:
     return F.array_distinct(F.filter(warnings, lambda w: w.isNotNull() & (w != "")))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def js_trim(c: Column) -> Column:
     return F.trim(c, F.lit(JS_SPACE))
 
@@ -103,7 +108,7 @@ def ascii_fold(c: Column) -> Column:
 def like_ascii(c: Column, query: str) -> Column:
     """The query anywhere in the value; % and _ are wildcards, only A-Z fold, no escape character."""
     folded = "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in query)
-    return ascii_fold(c).like(f"%{folded}%", "\x01")
+    return F.like(ascii_fold(c), F.lit(f"%{folded}%"), F.lit("\x01"))
 
 
 def utf16_length(c: Column) -> Column:
