@@ -42,8 +42,8 @@ IDENTITY_TERMS = {
     "religions_es": "cristianos musulmanes judíos hindúes budistas".split(),
 }
 _KIND = {t: k for k, terms in IDENTITY_TERMS.items() for t in terms}
-SAMPLE_ROWS, SAMPLE_CHARS = 6000, 20_000
-MAX_FEATURES = 3000
+SAMPLE_ROWS, SAMPLE_CHARS = 12_000, 20_000
+MAX_FEATURES = 2000
 THRESHOLD = 0.5
 _SENTENCE = re.compile(r"(?<=[.!?\n])")
 _WORD = re.compile(r"[0-9A-Za-z_\u0080-\U0010ffff]+")
