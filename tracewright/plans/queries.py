@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewright import schemas
 from tracewright.functions import dates, misc, render, text, urls
-from tracewright.operators import association, contracts, layout, report, rules
+from tracewright.operators import association, contracts, history, layout, report, rules
+from tracewright.plans.audit import audit
 from tracewright.streaming import tasks as store
 
 QUERIES: dict = {}
@@ -337,3 +339,99 @@ def render_geometry(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("o_orderkey"), "p_size")
     plan = render.region_plan(F.lit(200.0), F.lit(200.0), F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), (F.col("p_size") * 10.0 / 200.0).alias("width"), F.lit(0.5).alias("height")), F.lit(200.0))
     return table(spark, sf_dir, "orders").select("o_orderkey").join(p, "o_orderkey").select("o_orderkey", plan["width"].alias("crop_width"), F.round(render.page_scale((600 + F.col("p_size") * 40).cast("double"), F.lit(800.0)), 6).alias("page_scale"))
+
+
+def order_requests(spark, sf_dir) -> DataFrame:
+    """Orders as audit documents (doc_id, request): lines are summary rows and, but for every tenth part, screenshots; fields differ by fixed rules of the line."""
+    obs = lambda t, ok=None, **more: F.struct(t.cast("string").alias("rawText"), (F.lit("recognized") if ok is None else F.when(ok, "recognized").otherwise("partial")).alias("status"), F.lit(0.9).alias("confidence"), F.lit(1).alias("pageNumber"), F.lit("r").alias("regionId"), *[v.alias(k) for k, v in more.items()])
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate").alias("l"))
+    lines = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list("l")).alias("l"))
+    nothing = F.array().cast(dict(lines.dtypes)["l"])
+    o = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").withColumn("l", F.coalesce("l", nothing))
+    o = o.withColumns({"rows": F.transform("l", lambda x, i: F.struct(i.alias("i"), x.alias("l"))), "n": F.transform("l", lambda x: x["l_linenumber"])})
+    o = o.withColumn("shots", F.filter("rows", lambda r: r["l"]["l_partkey"] % 10 != 0))
+    o = o.withColumn("shot_n", F.transform("shots", lambda r: r["l"]["l_linenumber"]))
+    name = lambda p, r: F.concat(F.lit(p), r["i"].cast("string"))
+    weibo = lambda r: r["l"]["l_suppkey"] % 2 == 0
+    null = lambda kind: F.lit(None).cast(kind)
+    shot = lambda r: F.struct(
+        name("s", r), F.lit("r"), F.lit(1), F.lit(1), r["l"]["l_linenumber"], obs(F.lit("微博")), obs(F.when(weibo(r), "www.weibo.com").otherwise("m.xiaohongshu.com")), obs(F.concat(F.lit("Supplier "), r["l"]["l_suppkey"].cast("string")), r["l"]["l_partkey"] % 13 != 0),
+        obs(F.date_format(r["l"]["l_shipdate"], "编辑于 yyyy年M月d日"), None, kind=F.lit("edited"), yearContextClear=F.lit(True)), obs(null("string")), null("string"),
+    )
+    url = lambda r: F.concat(F.lit("https://www.weibo.com/p/"), r["l"]["l_partkey"].cast("string"), F.lit("?from=x"))
+    review = lambda r: F.struct(name("s", r), url(r), url(r), F.array(), F.array(), url(r), F.when(r["l"]["l_linenumber"] == 5, "partial").otherwise("recognized"), F.lit(0.9))
+    row = lambda r: F.struct(
+        name("t", r), F.lit(1), F.lit("r"), F.lit(1), r["l"]["l_linenumber"], obs(F.when(r["l"]["l_quantity"] > 45, "抖音").when(weibo(r), "Weibo").otherwise("小红书")),
+        obs(F.concat(F.lit("Supplier "), (r["l"]["l_suppkey"] + (r["l"]["l_partkey"] % 7 == 0).cast("int")).cast("string"))), obs(F.date_format(F.date_add(r["l"]["l_shipdate"], (r["l"]["l_discount"] > 0.08).cast("int")), "yyyy-MM-dd")),
+        F.array(F.lit("weibo.com/p/"), F.concat(r["l"]["l_partkey"].cast("string"), F.when(r["l"]["l_tax"] > 0.06, "/x").otherwise("/"))),
+    )
+    times = lambda where, r: F.size(F.filter(where, lambda k: k == r["l"]["l_linenumber"]))
+    only = lambda r: (times("n", r) == 1) & (times("shot_n", r) == 1)
+    link = lambda r: F.struct(name("s", r), F.when(only(r), name("t", r)), F.when(only(r), 1.0).otherwise(0.0), F.lit(""))
+    owner = F.concat(F.lit("Customer "), F.col("o_custkey").cast("string"))
+    paper = F.struct(F.lit("c"), F.lit(1), F.when(F.col("o_orderstatus") == "F", "yes").otherwise("uncertain"), obs(owner), obs(F.lit("美术")))
+    has_paper = F.col("o_orderstatus") != "O"
+    none = F.array().cast("array<string>")
+    region = F.struct(F.lit("c"), F.lit("certificate"), F.lit(1), F.struct(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)), null("string"), null("int"), null("int"), F.lit(1), F.lit(0.9))
+    header = F.struct(F.lit("h"), F.lit(1), obs(F.when(F.col("o_custkey") % 11 == 0, "Nobody").otherwise(owner)), obs(F.lit("美术作品")))
+    types = {f.name: f.dataType for f in schemas.REQUEST.spark().fields}
+    cast = lambda c, group, field: c.cast(types[group][field].dataType)
+    some = lambda c, of: F.when(has_paper, F.array(c)).otherwise(F.filter(F.array(c), lambda _: F.lit(False)))
+    request = F.struct(
+        F.lit("orders.pdf").alias("fileName"), F.lit(1).alias("pageCount"),
+        F.struct(cast(F.array(F.struct(F.lit(1), some(region, "regions"), none, F.lit(0.9))), "layout", "pages"), none).alias("layout"),
+        F.struct(cast(some(paper, "certificates"), "evidence", "certificates"), cast(F.transform("shots", shot), "evidence", "screenshots"), none).alias("evidence"),
+        F.struct(cast(F.transform("shots", review), "urlReviews", "reviews"), none).alias("urlReviews"),
+        F.struct(cast(F.array(header), "table", "headers"), cast(F.transform("rows", row), "table", "rows"), none).alias("table"),
+        F.struct(cast(F.transform("shots", link), "associations", "associations"), none).alias("associations"), none.alias("warnings"), F.array().cast(types["stageFailures"]).alias("stageFailures"),
+    )
+    return o.select(F.col("o_orderkey").alias("doc_id"), request.cast(schemas.REQUEST.spark()).alias("request"))
+
+
+@query("""
+WITH r AS (SELECT *, l_partkey % 10 <> 0 AS shot FROM lineitem), k AS (SELECT l_orderkey, l_linenumber, count(*) AS n_r, count_if(shot) AS n_s FROM r GROUP BY ALL), m AS (SELECT r.*, n_r = 1 AND n_s = 1 AS uniq FROM r JOIN k USING (l_orderkey, l_linenumber)),
+f AS (
+  SELECT o_orderkey AS d, 'notice' AS part, 1 AS phase, 0 AS line, 0 AS seq, 'CERTIFICATE_PRESENCE_UNCERTAIN' AS code FROM orders WHERE o_orderstatus = 'P'
+  UNION ALL SELECT o_orderkey, 'issue', 1, 0, 1, 'RIGHTS_HOLDER_MISMATCH' FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 11 = 0
+  UNION ALL SELECT l_orderkey, 'notice', 3, l_linenumber, 0, 'ASSOCIATION_UNVERIFIABLE' FROM m WHERE shot AND NOT uniq
+  UNION ALL SELECT l_orderkey, 'notice', 3, l_linenumber, 2, 'PLATFORM_SOURCE_CONFLICT' FROM m WHERE uniq AND l_suppkey % 2 = 1
+  UNION ALL SELECT l_orderkey, 'issue', 3, l_linenumber, 3, 'PLATFORM_MISMATCH' FROM m WHERE uniq AND l_quantity > 45
+  UNION ALL SELECT l_orderkey, 'notice', 3, l_linenumber, 4, 'PUBLISHER_UNVERIFIABLE' FROM m WHERE uniq AND l_partkey % 13 = 0
+  UNION ALL SELECT l_orderkey, 'issue', 3, l_linenumber, 5, 'PUBLISHER_MISMATCH' FROM m WHERE uniq AND l_partkey % 13 <> 0 AND l_partkey % 7 = 0
+  UNION ALL SELECT l_orderkey, 'issue', 3, l_linenumber, 6, 'PUBLISHED_AT_MISMATCH' FROM m WHERE uniq AND l_discount > 0.08
+  UNION ALL SELECT l_orderkey, 'notice', 3, l_linenumber, 7, 'URL_UNVERIFIABLE' FROM m WHERE uniq AND l_linenumber = 5
+  UNION ALL SELECT l_orderkey, 'issue', 3, l_linenumber, 8, 'URL_MISMATCH' FROM m WHERE uniq AND l_linenumber <> 5 AND l_tax > 0.06
+  UNION ALL SELECT l_orderkey, 'notice', 4, l_linenumber, 9, 'TABLE_ROW_WITHOUT_SCREENSHOT' FROM m WHERE NOT uniq
+), g AS (
+  SELECT d, coalesce(string_agg(CASE WHEN part = 'issue' THEN code END, ',' ORDER BY phase, line, seq), '') AS issue_codes, coalesce(string_agg(CASE WHEN part = 'notice' THEN code END, ',' ORDER BY phase, line, seq), '') AS notice_codes FROM f GROUP BY d
+), c AS (SELECT l_orderkey, count_if(shot) AS shots, bool_and(uniq OR NOT shot) AS all_linked FROM m GROUP BY l_orderkey)
+SELECT o_orderkey AS doc_id, coalesce(issue_codes, '') AS issue_codes, coalesce(notice_codes, '') AS notice_codes,
+       CASE WHEN coalesce(issue_codes, '') <> '' THEN 'issues_found' WHEN coalesce(notice_codes, '') <> '' OR coalesce(shots, 0) = 0 OR NOT all_linked THEN 'needs_review' ELSE 'passed' END AS outcome,
+       CASE WHEN coalesce(shots, 0) > 0 AND NOT all_linked THEN 0.0::DOUBLE ELSE 0.9::DOUBLE END AS confidence, (o_orderstatus = 'F')::INTEGER * 2 AS rights_fields
+FROM orders LEFT JOIN g ON d = o_orderkey LEFT JOIN c ON l_orderkey = o_orderkey""")
+def audit_orders(spark, sf_dir):
+    """The whole audit of every order: rules, completeness, outcome."""
+    done = audit(order_requests(spark, sf_dir))
+    codes = lambda c: F.array_join(F.transform(c, lambda f: f["code"]), ",")
+    return done.select("doc_id", codes("issues").alias("issue_codes"), codes("notices").alias("notice_codes"), "outcome", F.col("summary.confidence").alias("confidence"), F.col("summary.rightsFieldCount").alias("rights_fields"))
+
+
+@query("""
+WITH new AS (SELECT o_orderkey AS id, o_orderdate + INTERVAL 1 DAY AS created_at FROM orders WHERE o_orderkey % 97 = 0), old AS (SELECT o_orderkey AS id, o_orderdate AS created_at FROM orders WHERE o_orderkey % 97 <> 0)
+SELECT printf('%010d', id) AS id, strftime(created_at, '%Y-%m-%dT%H:%M:%S.000Z') AS created_at FROM (SELECT * FROM new UNION ALL SELECT * FROM old) ORDER BY created_at DESC, id DESC LIMIT 80""")
+def upsert_newest(spark, sf_dir):
+    """Changed orders replace the old ones; the newest 80 remain."""
+    o = table(spark, sf_dir, "orders").select(F.format_string("%010d", "o_orderkey").alias("id"), "o_orderkey", "o_orderdate")
+    at = lambda days: F.date_format(F.date_add("o_orderdate", days), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created_at")
+    return history.upserted(o.select("id", at(0)), o.filter("o_orderkey % 97 = 0").select("id", at(1)), 80)
+
+
+@query("""
+WITH old AS (SELECT user_id AS id, max(event_id) AS generation, arg_max(event_type, event_id) AS status FROM events WHERE event_id % 3 <> 0 GROUP BY user_id), new AS (SELECT user_id AS id, max(event_id) AS generation, arg_max(event_type, event_id) AS status FROM events WHERE event_id % 3 = 0 GROUP BY user_id)
+SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL OR o.id IS NOT NULL AND (o.status = 'error' OR o.generation > n.generation) THEN o.generation ELSE n.generation END AS generation,
+       CASE WHEN n.id IS NULL OR o.id IS NOT NULL AND (o.status = 'error' OR o.generation > n.generation) THEN o.status ELSE n.status END AS status FROM old o FULL JOIN new n ON o.id = n.id""")
+def merge_reads(spark, sf_dir):
+    """J15, T-13, T-14: two sets of reads; the newer generation wins, a tombstone (an error) stays."""
+    e = table(spark, sf_dir, "events")
+    side = lambda df: df.groupBy(F.col("user_id").alias("id")).agg(F.max("event_id").alias("generation"), F.max_by("event_type", "event_id").alias("status")).withColumns({"gone": F.col("status") == "error", "updated_at": F.lit(""), "report": store.null()})
+    return history.merged(side(e.filter("event_id % 3 != 0")), side(e.filter("event_id % 3 = 0"))).select("id", "generation", "status")
