@@ -12,6 +12,7 @@ from tracewright import schemas
 from tracewright.functions import dates, misc, render, text, urls
 from tracewright.operators import association, contracts, history, layout, report, rules
 from tracewright.plans.audit import audit
+from tracewright.shipping import materialize
 from tracewright.streaming import tasks as store
 
 QUERIES: dict = {}
@@ -345,6 +346,7 @@ def order_requests(spark, sf_dir) -> DataFrame:
     """Orders as audit documents (doc_id, request): lines are summary rows and, but for every tenth part, screenshots; fields differ by fixed rules of the line."""
     obs = lambda t, ok=None, **more: F.struct(t.cast("string").alias("rawText"), (F.lit("recognized") if ok is None else F.when(ok, "recognized").otherwise("partial")).alias("status"), F.lit(0.9).alias("confidence"), F.lit(1).alias("pageNumber"), F.lit("r").alias("regionId"), *[v.alias(k) for k, v in more.items()])
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate").alias("l"))
+    line = line.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")  # few bytes, much work: keep all tasks
     lines = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list("l")).alias("l"))
     nothing = F.array().cast(dict(lines.dtypes)["l"])
     o = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").withColumn("l", F.coalesce("l", nothing))
@@ -411,7 +413,7 @@ SELECT o_orderkey AS doc_id, coalesce(issue_codes, '') AS issue_codes, coalesce(
 FROM orders LEFT JOIN g ON d = o_orderkey LEFT JOIN c ON l_orderkey = o_orderkey""")
 def audit_orders(spark, sf_dir):
     """The whole audit of every order: rules, completeness, outcome."""
-    done = audit(order_requests(spark, sf_dir))
+    done = audit(materialize(order_requests(spark, sf_dir), "order-requests"))  # read five times
     codes = lambda c: F.array_join(F.transform(c, lambda f: f["code"]), ",")
     return done.select("doc_id", codes("issues").alias("issue_codes"), codes("notices").alias("notice_codes"), "outcome", F.col("summary.confidence").alias("confidence"), F.col("summary.rightsFieldCount").alias("rights_fields"))
 

@@ -1,12 +1,13 @@
-"""Python code for the executors."""
+"""Python code for the executors, and tables in the folder they share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,6 +27,23 @@ def ship(spark: SparkSession) -> None:
     context._tracewright_shipped = True
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir; a private one only where that is unset (tests)."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_tracewright_scratch", None)
+    if not shared:
+        shared = context._tracewright_scratch = tempfile.mkdtemp(prefix="tracewright-")
+    return shared.rstrip("/")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table in the shared scratch folder and read it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def vectorised(kind: str):
     """A pandas function as a Column function, made when it is first used in a session."""
 
