@@ -380,12 +380,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = described.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
     classes = common.materialize(classes, "classes")
     prefix = common.materialize(prefixes(shared_shingles(docs, heavy, buckets)), "prefixes")
-    sizes = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    listed = prefix.join(sizes, "token")
-    long = common.materialize(listed.filter(F.col("c") > LONG_LIST).select("class", "n", "token"), "long-lists")
+    # Few lists are long. Their shingles are written first, so that Spark knows their size: below its threshold they are broadcast, else the join splits skewed keys.
+    hot = common.materialize(prefix.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > LONG_LIST).select("token"), "long-tokens")
+    long = common.materialize(prefix.join(hot, "token").select("class", "n", "token"), "long-lists")
     families = components(_stars(long))
     members = common.materialize(long.select("class", "n").distinct().join(families.withColumnRenamed("node", "class"), "class").withColumnRenamed("root", "family"), "members")
-    pairs = candidate_pairs(listed.filter(F.col("c") <= LONG_LIST))
+    pairs = candidate_pairs(prefix.join(hot, "token", "left_anti"))
     of = lambda c: members.select(F.col("class").alias(c), F.col("family").alias(f"family_{c}"))
     pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("family_a is null or family_b is null or family_a != family_b").select("a", "b")
     pairs = common.materialize(pairs, "pairs")
