@@ -25,10 +25,11 @@ null. Ids are integers. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.llm import common
@@ -327,12 +328,16 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray]):
 
 def family_links(members: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     """members(class, n, family) -> class, other, links: numbers of linked documents (other null) and spanning links."""
-    place = F.floor((F.row_number().over(W.partitionBy("family").orderBy("n", "class")) - 1) / BLOCK)
-    members = common.materialize(members.withColumn("block", place), "families")
+    # Sizes that can link differ by one step of 4/3 at most. A family's classes of a step are dealt to blocks by hash: no task needs the whole family.
+    members = members.withColumn("step", F.floor(F.log("n") / math.log(100 / PERCENT) + 1e-9))
+    steps = common.materialize(members.groupBy("family", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")), "family-steps")
+    block = F.col("step") * (1 << 32) + F.pmod(F.xxhash64("class"), F.col("parts"))
+    members = common.materialize(members.join(steps, ["family", "step"]).select("family", "class", "n", block.alias("block")), "families")
     blocks = members.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     a, b = blocks.alias("a"), blocks.alias("b")
-    meet = (F.col("a.family") == F.col("b.family")) & (F.col("a.block") <= F.col("b.block")) & (100 * F.col("a.high") >= PERCENT * F.col("b.low"))
-    meet = a.join(b, meet).select(F.col("a.family").alias("family"), F.col("a.block").alias("i"), F.col("b.block").alias("j"))
+    near = (100 * F.col("a.high") >= PERCENT * F.col("b.low")) & (100 * F.col("b.high") >= PERCENT * F.col("a.low"))
+    meet = a.join(b, (F.col("a.family") == F.col("b.family")) & (F.col("a.block") <= F.col("b.block")) & near)
+    meet = meet.select(F.col("a.family").alias("family"), F.col("a.block").alias("i"), F.col("b.block").alias("j"))
     held = members.join(sets, "class").join(classes.select("class", "copies"), "class").select("family", "block", "class", "copies", "shingles")
     sides = meet.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")).join(held, ["family", "block"])
 
@@ -371,6 +376,11 @@ def family_links(members: DataFrame, sets: DataFrame, classes: DataFrame) -> Dat
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every row."""
+    return _answers(docs).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def _answers(docs: DataFrame) -> DataFrame:
+    """jaccard_components()."""
     spark = docs.sparkSession
     common.ship(spark)
     described = common.materialize(describe_sets(docs), "sets")
