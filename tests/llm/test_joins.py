@@ -101,6 +101,7 @@ def test_stage_keeps_one_of_each_group(spark):
     assert kept.columns == docs.columns
     ids = Counter(r["doc_id"] for r in kept.collect())
     assert ids[5] == 1 and not {6, 7, 8} & set(ids) and ids[20] == 1 and ids[None] == 2 and ids[1] == ids[2] == ids[3] == 1
+    assert ids[4] == 2  # two texts under one id are two documents
 
 
 def test_components(spark):

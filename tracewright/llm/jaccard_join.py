@@ -98,11 +98,11 @@ def _signed(x) -> pa.Array:
 
 
 def _text_rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
 
 def describe_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, class, check of every row; and, in a row of each batch, the shingles that many of its sets hold."""
+    """doc_id, text_hash, n, class, check of every row; and, in a row of each batch, the shingles that many of its sets hold."""
 
     def run(batches):
         for batch in batches:
@@ -120,9 +120,9 @@ def describe_sets(docs: DataFrame) -> DataFrame:
             if n and often.any():
                 blobs[0] = [{"token": int(t), "count": int(c)} for t, c in zip(tokens[often].view(np.int64), counts[often], strict=True)]
             kind = pa.list_(pa.struct([("token", pa.int64()), ("count", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([d["doc_id"], pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(blobs, kind)], ["doc_id", "n", "class", "check", "often"])
+            yield pa.RecordBatch.from_arrays([d["doc_id"], d["text_hash"], pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(blobs, kind)], ["doc_id", "text_hash", "n", "class", "check", "often"])
 
-    return _text_rows(docs).mapInArrow(run, "doc_id long, n long, class long, check long, often array<struct<token:long,count:long>>")
+    return _text_rows(docs).mapInArrow(run, "doc_id long, text_hash long, n long, class long, check long, often array<struct<token:long,count:long>>")
 
 
 def heavy_shingles(described: DataFrame, n_docs: int) -> np.ndarray:
@@ -380,7 +380,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def _answers(docs: DataFrame) -> DataFrame:
-    """jaccard_components()."""
+    """jaccard_components() with the rows' text_hash and their component's root class (null for empty sets)."""
     spark = docs.sparkSession
     common.ship(spark)
     described = common.materialize(describe_sets(docs), "sets")
@@ -410,10 +410,10 @@ def _answers(docs: DataFrame) -> DataFrame:
     whole = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")).join(ends, "class", "left")
     whole = common.materialize(whole.select("class", "rep", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "roots")
     named = whole.groupBy("root").agg(F.min("rep").alias("component_id"))
-    answer = whole.join(named, "root").select("class", "component_id", "n_links")
-    rows = described.select("doc_id", F.col("n").alias("n_shingles"), "class").join(answer, "class", "left")
+    answer = whole.join(named, "root").select("class", "root", "component_id", "n_links")
+    rows = described.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "class").join(answer, "class", "left")
     empty = F.col("n_shingles") == 0
-    return rows.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+    return rows.select("doc_id", "text_hash", "n_shingles", F.when(~empty, F.col("root")).alias("root"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
 
 
 def _stars(long: DataFrame) -> DataFrame:
@@ -423,12 +423,21 @@ def _stars(long: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each component the row with its smallest doc_id (once), and the rows without a doc_id."""
-    found = jaccard_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__tw_id")).distinct()
-    found = common.materialize(found, "kept")
+    """Keep one row of each component: the smallest doc_id (null only where there is no other), of equal ids the smallest text hash.
+
+    Rows without a shingle are components of their own; of equal ones among them, too, one stays.
+    """
+    found = _answers(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("p")
+    picked = found.filter("root is not null").groupBy("root").agg(first).select("p.doc_id", "p.text_hash")
+    picked = picked.unionByName(found.filter("root is null").select("doc_id", "text_hash")).distinct()
+    picked = common.materialize(picked.withColumnRenamed("text_hash", "__tw_text"), "kept")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.join(found, F.col("doc_id") == F.col("__tw_id")).select(*names).dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    own = docs.withColumn("__tw_text", F.xxhash64("text"))
+    keys = ["doc_id", "__tw_text"]  # texts move once: the duplicates of a key are where the join has put them
+    kept = own.filter("doc_id is not null").join(picked, keys, "left_semi").dropDuplicates(keys)
+    nameless = own.filter("doc_id is null").join(picked.filter("doc_id is null").drop("doc_id"), "__tw_text", "left_semi").dropDuplicates(["__tw_text"])
+    return kept.unionByName(nameless).select(*names)
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
