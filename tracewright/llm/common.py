@@ -1,11 +1,7 @@
-"""Reading, scratch tables, folds and vectorised text hashing shared by the operators."""
+"""Reading, folds and vectorised text hashing shared by the operators."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.shipping import materialize, scratch_dir, ship
+
+__all__ = ["LOWER", "NON_WORD", "SPACE", "fold", "hash_sample_bound", "materialize", "mix", "per_row", "scratch_dir", "ship", "span_hashes", "table", "text_chunks", "words"]
+
 #: Documents of one vectorised step hold about this many bytes together (a longer text is its own step).
 CHUNK_BYTES = 1 << 20
 
@@ -21,39 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Give executors this package, once a session, so that functions sent to Python workers find it."""
-    context = spark.sparkContext
-    if getattr(context, "_tracewright_shipped", False):
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="tracewright-code-"), "tracewright_code.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(package):
-            for name in names:
-                if name.endswith(".py"):
-                    z.write(f"{folder}/{name}", os.path.relpath(f"{folder}/{name}", os.path.dirname(package)))
-    context.addPyFile(path)
-    context._tracewright_shipped = True
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a private one only where that is unset (tests)."""
-    context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_tracewright_scratch", None)
-    if not shared:
-        shared = context._tracewright_scratch = tempfile.mkdtemp(prefix="tracewright-")
-    return shared.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared scratch folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(key: str, folds: int) -> Column:
     """crc32 of the key's text modulo folds; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds
