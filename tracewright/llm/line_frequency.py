@@ -9,8 +9,8 @@ Beside it, the base figures of a text: words, their characters, symbols, repeate
 5-word windows.
 
 Scale: a text never moves; what is shuffled is one hash a distinct line, summed before each exchange (the distinct
-count deals a common line out by document). Only lines over `min_docs` reach the joins, whose small side Spark
-broadcasts only below its size threshold, measured at run time, and else joins with skewed keys split.
+count deals a common line out by document). The lines over their limit are written down, so that Spark knows their size
+when it joins them: below its threshold they are broadcast, else skewed keys are split.
 
 Defined cases: null texts are empty and fail the base rule. A null source is a host of its own. Rows are told apart by
 (doc_id, text, source), so repeated rows all get the same answer and count as one document; rows with a null
@@ -100,7 +100,7 @@ def frequent_lines(known: DataFrame, *, min_docs: int = MIN_DOCS, share: float =
 def remove_frequent_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS, share: float = SHARE, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT) -> DataFrame:
     """For each row of docs: doc_id, the base figures, words_left, clean_text (without the frequent lines) and kept."""
     known = rows(docs)
-    frequent = frequent_lines(known, min_docs=min_docs, share=share)
+    frequent = common.materialize(frequent_lines(known, min_docs=min_docs, share=share), "frequent-lines")
     each = known.select("host", "row", F.explode(lines(F.coalesce("text", F.lit("")))).alias("x"))
     each = each.select("host", "row", F.col("x.pos").alias("pos"), F.xxhash64(normalised(F.col("x.line"))).alias("line"), F.regexp_count("x.line", F.lit(WORD)).alias("words"))
     hit = each.join(frequent, ["host", "line"]).groupBy("row", "pos").agg(F.first("words").alias("words"))
