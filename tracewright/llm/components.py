@@ -1,7 +1,8 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
 Each step only groups and joins on node ids; nothing is gathered in one task or on the driver, and the number of
-steps grows with the logarithm of the longest chain. Every second step is written to the shared scratch folder.
+steps grows with the logarithm of the longest chain. What a step joins is written to the shared scratch folder first, so that
+Spark knows its size: a small side is broadcast, and where it isn't, the rows of a node with very many links are split.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ def components(links: DataFrame) -> DataFrame:
     before = _digest(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = common.materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = common.materialize(large, "large-star")
+        least = common.materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = common.materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         after = _digest(e)
