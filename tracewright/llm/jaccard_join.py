@@ -409,7 +409,7 @@ def _answers(docs: DataFrame) -> DataFrame:
     ends = ends.unionByName(dense.filter("other is null").select("class", "links")).groupBy("class").agg(F.sum("links").alias("links"))
     whole = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")).join(ends, "class", "left")
     whole = common.materialize(whole.select("class", "rep", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "roots")
-    named = whole.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = common.materialize(whole.groupBy("root").agg(F.min("rep").alias("component_id")), "names")  # a join of tables can split a large family
     answer = whole.join(named, "root").select("class", "root", "component_id", "n_links")
     rows = described.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "class").join(answer, "class", "left")
     empty = F.col("n_shingles") == 0
