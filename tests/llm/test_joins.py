@@ -75,6 +75,25 @@ def test_join_families_and_chains(spark, monkeypatch, block):
     assert answer(jaccard_join.jaccard_components(cases.docs(spark, rows))) == join_by_hand(rows)
 
 
+def test_join_rows_without_id(spark):
+    """Near copies without ids: beside numbered ones, among themselves, as the middle of a chain and in a large family."""
+    rng, rows = random.Random(6), []
+    base = cases.prose(500, 90).split()
+    rows += [(1, " ".join(base)), (None, changed(base, rng, 1)), (None, changed(base, rng, 1))]
+    base = cases.prose(501, 90).split()
+    rows += [(None, changed(base, rng, 1)) for _ in range(3)] + [(None, " ".join(base))] * 3
+    w = cases.prose(502, 104).split()
+    rows += [(10, " ".join(w[:92])), (None, " ".join(w[6:98])), (11, " ".join(w[12:]))]  # the ends don't link directly
+    few = cases.docs(spark, [(i, t, "s") for i, t in rows])
+    assert Counter(r["doc_id"] for r in jaccard_join.stage(spark, few, "").collect()) == Counter([1, 10, None])
+    base = cases.prose(503, 90).split()
+    rows += [(100 + i if i % 3 == 0 else None, changed(base, rng, rng.randrange(4))) for i in range(60)]
+    rng.shuffle(rows)
+    want = join_by_hand(rows)
+    assert {c for i, _, c, _ in want if i in (10, 11)} == {10}
+    assert answer(jaccard_join.jaccard_components(cases.docs(spark, [(i, t, "s") for i, t in rows]))) == want
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 10**6))
 def test_block_links(seed):

@@ -218,7 +218,7 @@ def candidate_pairs(short: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """class, shingles (blob) of the given classes(class, rep), each once."""
+    """class, shingles (blob) of the given classes(class, rep, text_hash), each once."""
     common.ship(docs.sparkSession)
 
     def run(batches):
@@ -228,8 +228,12 @@ def whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
             got = [(c, s.tobytes()) for c, (_, s) in zip(wanted, sets_of(d["text"]), strict=True) if digests(s)[0] == c]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.int64()), pa.array([s for _, s in got], pa.binary())], ["class", "shingles"])
 
-    rows = _text_rows(docs).join(classes.withColumnRenamed("rep", "doc_id"), "doc_id").select("class", "text")
-    return rows.mapInArrow(run, "class long, shingles binary").groupBy("class").agg(F.first("shingles").alias("shingles"))
+    rows, columns = _text_rows(docs), ["class", "text"]
+    numbered = rows.join(classes.filter("rep is not null").select("class", F.col("rep").alias("doc_id")), "doc_id").select(columns)
+    # A class without any id is found by a text of its rows; copies are dropped first, so that at most one a task moves.
+    nameless = rows.filter("doc_id is null").select("text_hash", "text").dropDuplicates(["text_hash"])
+    nameless = nameless.join(classes.filter("rep is null").select("class", "text_hash"), "text_hash").select(columns)
+    return numbered.unionByName(nameless).mapInArrow(run, "class long, shingles binary").groupBy("class").agg(F.first("shingles").alias("shingles"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -387,7 +391,7 @@ def _answers(docs: DataFrame) -> DataFrame:
     totals = described.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     buckets = max(8, int(totals[1] * POSTED * 1.1 / BUCKET_TOKENS) + 1)
     heavy = heavy_shingles(described, totals[0])
-    classes = described.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
+    classes = described.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
     classes = common.materialize(classes, "classes")
     prefix = common.materialize(prefixes(shared_shingles(docs, heavy, buckets)), "prefixes")
     # Few lists are long. Their shingles are written first, so that Spark knows their size: below its threshold they are broadcast, else the join splits skewed keys.
@@ -400,7 +404,7 @@ def _answers(docs: DataFrame) -> DataFrame:
     pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("family_a is null or family_b is null or family_a != family_b").select("a", "b")
     pairs = common.materialize(pairs, "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(members.select("class")).distinct()
-    sets = common.materialize(whole_sets(docs, needed.join(classes, "class").filter("rep is not null").select("class", "rep")), "whole-sets")
+    sets = common.materialize(whole_sets(docs, needed.join(classes, "class").select("class", "rep", "text_hash")), "whole-sets")
     links = common.materialize(verified(pairs, sets), "verified")
     dense = common.materialize(family_links(members, sets, classes), "family-links")
     roots = components(links.unionByName(dense.filter("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b"))))
