@@ -185,6 +185,26 @@ def test_packing_hard_rows(spark):
     assert packing.best_fit_pack(cases.empty(spark)).count() == 0
 
 
+def test_op6_keeps_near_copies_apart(spark, tmp_path):
+    rng, rows = random.Random(8), [(1, "", "s"), (None, None, "s")]
+    for f in range(4):
+        base = cases.prose(600 + f, 90).split()
+        rows += [(100 * f + i if f else None, changed(base, rng, 1) + " more" * (i % 2), f"s{i}") for i in range(4)]
+    rows += [(900, cases.prose(700, 90), "s0"), (900, cases.prose(700, 90) + " more", "s0"), (901, cases.prose(701, 5000), "s1"), (902, cases.prose(701, 5000) + " more", "s1")]
+    rows += [(910 + i, cases.prose(710 + i, 50), f"s{i}") for i in range(6)]
+    cases.docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = packing.op6_best_fit_packing(spark, str(tmp_path)).collect()
+    component = {i: c for i, _, c, _ in join_by_hand(rows)}
+    bins, pieces = defaultdict(list), Counter()
+    for r in got:
+        if r["bin_id"] is not None:
+            bins[r["bin_id"]].append(component[r["doc_id"]])
+        pieces[r["doc_id"], r["source"], r["cluster"], r["copy"], r["piece"]] += 1
+    assert all(len(set(c)) == len(c) for c in bins.values()) and set(pieces.values()) == {1}
+    assert max(len(c) for c in bins.values()) > 4  # different documents still meet
+    assert sum(r["length"] for r in got) == sum(len(WORD.findall(t or "")) for _, t, _ in rows)
+
+
 def top_by_hand(rows, every, k):
     v = [(i, [int(np.floor(256 * float(c))) for c in x]) for i, x in rows if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)]
     out = Counter()

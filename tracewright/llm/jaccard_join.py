@@ -420,6 +420,12 @@ def _answers(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_hash", "n_shingles", F.when(~empty, F.col("root")).alias("root"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
 
 
+def text_components(docs: DataFrame) -> DataFrame:
+    """cluster (xxhash64 of a text), group (its component's root class) of every text with words, each once; rows without id have one, too."""
+    found = _answers(docs).filter("root is not null")
+    return found.select(F.col("text_hash").alias("cluster"), F.col("root").alias("group")).distinct()
+
+
 def _stars(long: DataFrame) -> DataFrame:
     """Each list as a star: its classes linked with its smallest class."""
     least = long.groupBy("token").agg(F.min("class").alias("b"))

@@ -3,7 +3,8 @@
 A document of more than `capacity` words is cut into full pieces, each a bin of its own, and a rest. Rests are packed
 longest first. Open bins are ordered by what they have left and carry bitmaps of the sources and duplicate
 clusters inside; from the tightest bin that is large enough the successor search goes on, bin by bin, until one is
-compatible: it holds no text of the same cluster and less than `per_source` pieces of the same source.
+compatible: it holds no text of the same cluster and less than `per_source` pieces of the same source. The registered
+query takes op5's components of near copies as clusters; the pipeline's stage, where near copies are gone, equal words.
 
 Scale: texts never move, only ids, lengths and hashes. Items are dealt by hash to shards of about SHARD_ITEMS and
 every shard is packed alone, so bins need no agreement between tasks and a shard's memory is bounded. Equal rows
@@ -20,8 +21,9 @@ from bisect import bisect_left, insort
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from tracewright.llm import common
+from tracewright.llm import common, jaccard_join
 
 CAPACITY, PER_SOURCE, SHARD_ITEMS = 2048, 4, 4096
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -70,15 +72,28 @@ def text_cluster() -> Column:
     return F.xxhash64(words)
 
 
-def best_fit_pack(docs: DataFrame, *, cluster: Column | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """doc_id, source, cluster, copy, piece, start, length, bin_id of every piece (start and length in words)."""
+def best_fit_pack(docs: DataFrame, *, cluster: Column | None = None, groups: DataFrame | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """doc_id, source, cluster, copy, piece, start, length, bin_id of every piece (start and length in words).
+
+    groups(cluster, group), where given, replaces a cluster by its group.
+    """
     spark = docs.sparkSession
     common.ship(spark)
     length = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     cluster = text_cluster() if cluster is None else cluster
     rows = docs.select("doc_id", "source", cluster.cast("long").alias("cluster"), length.alias("words"))
-    rows = rows.groupBy("doc_id", "source", "cluster", "words").count()
-    rows = common.materialize(rows.select("doc_id", "source", "cluster", "words", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("copy")), "packing")
+    item = ["doc_id", "source", "cluster", "words"]
+    rows = rows.groupBy(*item).count()
+    before = F.lit(0)
+    if groups is not None:
+        rows, groups = common.materialize(rows, "packing-texts"), common.materialize(groups, "packing-groups")
+        rows = rows.join(groups, "cluster", "left").withColumn("cluster", F.coalesce("group", "cluster"))
+        rows = rows.groupBy(*item).agg(F.sum("count").alias("count"))
+        # Different texts of one id in one group are copies as well; a window has a row for each of their lengths.
+        window = W.partitionBy("doc_id", "source", "cluster").orderBy("words").rowsBetween(W.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("count").over(window), F.lit(0))
+    rows = rows.select(*item, "count", before.cast("int").alias("before"))
+    rows = common.materialize(rows.select(*item, F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("count").cast("int"))).alias("copy")), "packing")
     shards = max(1, round(rows.filter(F.col("words") % capacity > 0).count() / shard_items))
     key = F.xxhash64("doc_id", "source", "cluster", "words", "copy")
     full = (F.col("words") / capacity).cast("long")
@@ -105,4 +120,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    return best_fit_pack(common.table(spark, sf_dir, "documents"))
+    docs = common.table(spark, sf_dir, "documents")
+    return best_fit_pack(docs, cluster=F.xxhash64("text"), groups=jaccard_join.text_components(docs.select("doc_id", "text")))
