@@ -1,8 +1,10 @@
 import math
 import re
+import warnings
 from collections import Counter, defaultdict
 
 import cases
+import pytest
 
 from tracewright.llm import chat_rotation, line_frequency, mixing
 
@@ -86,6 +88,20 @@ def test_mixing_hard_rows(spark):
     assert mixing.mix_sources(cases.empty(spark), {"a": 1.0}).count() == 0
 
 
+def test_mixing_tells_the_weights_it_misses(spark):
+    docs = cases.docs(spark, [(i, f"text {i}", "rare" if i < 8 else "big") for i in range(1000)])
+    with pytest.warns(UserWarning, match=r"rare: 0\.5000 wanted, 0\.2038 reached"):  # 8 x 16 of 8 x 16 + 500
+        got = mixing.mix_sources(docs, {"big": 0.5, "rare": 0.5})
+    assert abs(got.filter("source = 'rare'").count() / got.count() - 0.2038) < 0.05
+    with pytest.warns(UserWarning, match="gone: 0.5000 wanted, 0.0000 reached"):
+        mixing.mix_sources(docs, {"gone": 0.5, mixing.OTHER: 0.5})
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        mixing.mix_sources(docs, {"rare": 0.01, mixing.OTHER: 0.99})
+    counts = {"big": 992, "rare": 8}
+    assert mixing.weights_reached(counts, {"big": 0.5, "rare": 16.0}, {"big": 1.0, "rare": 1.0}) == {"big": (0.5, 496 / 624), "rare": (0.5, 128 / 624)}
+
+
 def chat_by_hand(rows):
     talks = defaultdict(list)
     for c, t, role, text in rows:

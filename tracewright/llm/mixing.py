@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Poisson replication, in DataFrame functions only.
 
 Each listed source has a target weight; all others share the weight of OTHER. A bucket's mean repetition rate is
-its share of the weights x all rows / its rows (at most `max_rate`). A document's count is drawn from the Poisson
+its share of the weights x all rows / its rows (at most `max_rate`; what a capped bucket loses isn't given to others, and a
+warning tells the weights that are reached instead, see weights_reached()). A document's count is drawn from the Poisson
 distribution of that mean by inverting its cumulative table at a uniform number hashed from seed and doc_id; the
 row is exploded into that many copies, and all copies are dealt out and sorted by a hash of seed, id and copy.
 
@@ -16,6 +17,7 @@ the same text) get the same count. Null texts stay null. A bucket without rows g
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,9 +51,26 @@ def rates(docs: DataFrame, weights: dict[str, float], max_rate: float) -> dict[s
     """Mean repetitions of each bucket."""
     if len(weights) > MAX_SOURCES:
         raise ValueError(f"at most {MAX_SOURCES} weights")
-    counts = {r["bucket"]: r["count"] for r in docs.groupBy(bucket(weights).alias("bucket")).count().collect()}
+    counts = bucket_counts(docs, weights)
     total, whole = sum(counts.values()), sum(weights.values())
-    return {b: min(max_rate, weights.get(b, 0.0) / whole * total / n) for b, n in counts.items()}
+    mean = {b: min(max_rate, weights.get(b, 0.0) / whole * total / n) for b, n in counts.items()}
+    capped = sorted(b for b, n in counts.items() if weights.get(b, 0.0) / whole * total / n > max_rate)
+    empty = sorted(b for b, w in weights.items() if w > 0 and not counts.get(b)) if total else []
+    if capped or empty:
+        said = "; ".join(f"{b}: {want:.4f} wanted, {got:.4f} reached" for b, (want, got) in weights_reached(counts, mean, weights).items())
+        warnings.warn(f"weights are missed (rate capped at {max_rate}: {capped}; without rows: {empty}): {said}", stacklevel=3)
+    return mean
+
+
+def bucket_counts(docs: DataFrame, weights: dict[str, float]) -> dict[str, int]:
+    return {r["bucket"]: r["count"] for r in docs.groupBy(bucket(weights).alias("bucket")).count().collect()}
+
+
+def weights_reached(counts: dict[str, int], mean: dict[str, float], weights: dict[str, float]) -> dict[str, tuple[float, float]]:
+    """Each bucket's target share of the mix and the share expected at the mean rates."""
+    out = {b: n * mean[b] for b, n in counts.items()}
+    whole, mixed = sum(weights.values()), sum(out.values())
+    return {b: (weights.get(b, 0.0) / whole, out.get(b, 0.0) / mixed if mixed else 0.0) for b in sorted(weights.keys() | counts.keys())}
 
 
 def bucket(weights: dict[str, float]) -> Column:
