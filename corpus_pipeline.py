@@ -18,7 +18,8 @@ STAGES = [
     ("best_fit_packing", packing.stage),
 ]
 
-#: Learned models and hash-ordered packing have no SQL twin; tests hold the stages against brute-force versions.
+#: Learned models and hash-ordered packing have no SQL twin. Tests hold the join and mixing stages against plain versions row by row and packing
+#: against its rules, on a small fixture; quality only by the labels it keeps, and run() as a whole only by words and bin sizes.
 ORACLE_SQL = None
 
 
