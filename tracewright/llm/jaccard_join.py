@@ -5,18 +5,20 @@ documents that links lead to are returned with each document's number of links.
 of 64-bit hashes.
 
 1. Documents with the same set are one *class*; from here on only classes are compared, so copies cost one row each.
-2. Prefix filter. Shingles are ordered by the number of classes that hold them, rarest first; two classes that link share
-   one of their first n - ceil(0.75 n) + 1. The order needs true counts, but only of the shingles with a hash in the
-   lowest POSTED of the range, and these suffice for nearly all prefixes (where not, a class's next shingles follow
-   by hash): so about a third of the shingles is shuffled, packed in blobs by bucket, once. Shingles that a large
-   part of the documents holds come last of all, so that common passages make no candidates.
-3. Lists of few classes give candidate pairs, unless the positions of the common shingle in both orders prove that too
-   little can still agree (the blocks of a list beyond that position are skipped). The pairs are verified on whole sets.
-4. Lists of many classes (a family of near copies) give no pairs. The families are cut in blocks of classes ordered by size,
-   and blocks that can match meet in one task, which returns numbers of links and at most a spanning forest. There,
-   a set that is highly similar to one already answered gets its overlaps from that answer: the lists of the shingles
-   it lacks are subtracted, those of the shingles it adds are added. Other sets probe an index of prefixes whose
-   lists are ordered by position and cut off where the bound fails.
+2. Prefix filter. Shingles are ordered by range, then by the number of classes that hold them, rarest first; two classes
+   that link share one of their first n - ceil(0.75 n) + 1. Nearly all classes fill that prefix from the low range,
+   the lowest POSTED of the hashes, and only these shingles are counted for them; the others count all of theirs. So a text is
+   hashed once, about a third of the shingles is shuffled, in blobs, and common passages come last by themselves.
+3. Index lists. Classes of much the same prefix form *blocks* of bounded size, and the list of a shingle is cut in these
+   blocks, each with its sizes and the most that can agree after its positions. Pairs of blocks of a list that size and position
+   exclude are skipped; what is left of all lists, each pair once, meets in a task.
+4. Answers. A task holds two indexed blocks. The first set is answered from the lists of its shingles; the next,
+   if it is highly similar, gets its answer from that one: the lists of the shingles it lacks are subtracted, those it adds are added.
+   A task returns numbers of links and at most a spanning forest.
+
+Scale: what is shuffled is linear in the shingles, but for pairs of blocks: a family of M near copies has (M / BLOCK)^2 / 2 of them
+(their links are counted), each with two compact indexes. No list, family or component is held in one task, and nothing
+that grows with the input is broadcast by force or collected.
 
 Defined cases: null texts and texts without words have an empty set, link with nothing and are their own component.
 Repeated rows are linked copies. Rows with a null doc_id take part; a component's id is its smallest id that isn't
@@ -25,8 +27,6 @@ null. Ids are integers. Extra columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,15 +37,14 @@ from tracewright.llm.components import components
 
 N = 5
 PERCENT = 75
-#: Share of the hash range whose shingles are counted.
+#: Share of the hash range whose shingles are counted first: the low range.
 POSTED = 0.30
-#: A shingle held by this share of the documents or more comes last in the order; at most so many such shingles.
-HEAVY_SHARE, HEAVY_MOST = 1 / 256, 200_000
-BUCKET_TOKENS = 1_000_000
-#: Longer lists are families; a block of a family has so many classes.
-LONG_LIST, BLOCK = 24, 256
-#: From this similarity on a set's answer is derived from another's.
-SIMILAR = 0.5
+_LOW = np.uint64(int(POSTED * 2**64))
+#: Shingles that a counting task holds on average, those in a task that sends them, and from how many classes on one isn't held.
+PART, FLUSH, HOT = 4_000_000, 2_000_000, 65_536
+#: A block of similar sets has about so many classes, or so many shingles, at most.
+BLOCK, BLOCK_SHINGLES = 256, 2_000_000
+INDEX = ["classes", "copies", "sizes", "tokens", "counts", "owners"]
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -70,312 +69,316 @@ def sets_of(column: pa.Array):
                 yield at + i, w[:0]
 
 
-def digests(got: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit numbers, equal for equal sets; the first is the class."""
+def digest(got: np.ndarray) -> int:
+    """A 64-bit number, equal for equal sets: the class."""
     with np.errstate(over="ignore"):
-        return int(common.mix(got ^ _ODD[0]).sum().view(np.int64)), int(common.mix(got ^ _ODD[1]).sum().view(np.int64))
+        return int(common.mix(got ^ _ODD[0]).sum().view(np.int64))
 
 
 def prefix_length(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-def required(a, b):
-    """The least overlap of sets of sizes a and b that link: intersection / union >= PERCENT / 100."""
-    return (PERCENT * (a + b) + 99 + PERCENT) // (100 + PERCENT)
-
-
 def linked(overlap, a, b):
     return 100 * overlap >= PERCENT * (a + b - overlap)
 
 
-def _longs(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, np.uint64)
-
-
-def _signed(x) -> pa.Array:
-    return pa.array(np.asarray(x, np.uint64).view(np.int64))
-
-
 def _text_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
 
+def posted(got: np.ndarray) -> tuple[np.ndarray, int]:
+    """The shingles of a sorted set that are counted, and how many of them are of the low range: these alone if they fill the prefix, else all."""
+    low = int(np.searchsorted(got, _LOW))
+    return (got[:low] if low >= prefix_length(len(got)) else got), low
+
+
 def describe_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n, class, check of every row; and, in a row of each batch, the shingles that many of its sets hold."""
+    """doc_id, text_hash, n, class, low, and posted (blob) of every row; posted is null for a set seen before in the partition and for empty sets."""
+    common.ship(docs.sparkSession)
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             d = dict(zip(batch.schema.names, batch.columns, strict=True))
-            n, one, two, seen, parts = [], [], [], set(), []
+            n, classes, lows, blobs = [], [], [], []
             for _, got in sets_of(d["text"]):
-                a, b = digests(got)
-                n.append(len(got)), one.append(a), two.append(b)
-                if a not in seen:
-                    seen.add(a)
-                    parts.append(got)
-            tokens, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, int))
-            often = counts >= max(4, len(parts) * HEAVY_SHARE)
-            blobs = [None] * len(n)
-            if n and often.any():
-                blobs[0] = [{"token": int(t), "count": int(c)} for t, c in zip(tokens[often].view(np.int64), counts[often], strict=True)]
-            kind = pa.list_(pa.struct([("token", pa.int64()), ("count", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([d["doc_id"], d["text_hash"], pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(blobs, kind)], ["doc_id", "text_hash", "n", "class", "check", "often"])
-
-    return _text_rows(docs).mapInArrow(run, "doc_id long, text_hash long, n long, class long, check long, often array<struct<token:long,count:long>>")
-
-
-def heavy_shingles(described: DataFrame, n_docs: int) -> np.ndarray:
-    """At most HEAVY_MOST shingles that a large part of all documents holds; it only decides an order, so a missed one costs time, not links."""
-    counts = described.filter("often is not null").select(F.explode("often").alias("x")).groupBy(F.col("x.token").alias("token")).agg(F.sum("x.count").alias("c"))
-    rows = counts.filter(F.col("c") >= max(64, n_docs * HEAVY_SHARE)).orderBy(F.desc("c"), "token").limit(HEAVY_MOST).select("token").toPandas()
-    return np.sort(rows["token"].to_numpy(np.int64).view(np.uint64))
-
-
-def posted(got: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """The shingles of a set that are counted: those of the range that aren't heavy, and as many next ones as the prefix needs."""
-    p = prefix_length(len(got))
-    if len(heavy):
-        last = heavy[np.minimum(np.searchsorted(heavy, got), len(heavy) - 1)] == got
-        got = np.concatenate([got[~last], got[last]])
-        plain = len(got) - int(last.sum())
-    else:
-        plain = len(got)
-    low = int(np.searchsorted(got[:plain], np.uint64(int(POSTED * 2**64))))
-    return got[: max(p, low)]
-
-
-def shared_shingles(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
-    """class, n, posted of every class (token null), and class, token, df for its counted shingles that another class holds too."""
-    known = docs.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY_MOST numbers
+                c = digest(got)
+                mine, low = posted(got)
+                blobs.append(mine.tobytes() if len(got) and c not in seen else None)
+                seen.add(c)
+                n.append(len(got)), classes.append(c), lows.append(low)
+            yield pa.RecordBatch.from_arrays(
+                [d["doc_id"], d["text_hash"], pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(lows, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "text_hash", "n", "class", "low", "posted"]
+            )
+
+    return _text_rows(docs).mapInArrow(run, "doc_id long, text_hash long, n long, class long, low long, posted binary")
+
+
+def shared_shingles(described: DataFrame, *, hot: int = HOT) -> DataFrame:
+    """class, token, df for the counted shingles that more than one class holds.
+
+    Shingles are dealt to a fixed number of buckets, in blobs (one a bucket for each FLUSH shingles of a task). A task that
+    counts holds PART shingles on average. A shingle of more classes than `hot` doesn't stay in its memory: its
+    rows are passed on without df and get it from a join; their df counts copies of other tasks again, but it is one number.
+    """
+    spark = described.sparkSession
+    common.ship(spark)
+    total = described.agg(F.coalesce(F.sum(F.octet_length("posted")), F.lit(0))).first()[0] // 8
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
+    buckets = 4 * parts
 
     def post(batches):
-        seen: set[int] = set()  # classes of this partition: copies are posted once
+        tokens, owners, held = [], [], 0
+
+        def flush():
+            t, o = np.concatenate(tokens), np.concatenate(owners)
+            at = t % np.uint64(buckets)
+            order = np.argsort(at, kind="stable")
+            at, t, o = at[order], t[order], o[order]
+            cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            ends = np.append(cuts[1:], len(at))
+            blobs = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(at[cuts].astype(np.int64)), blobs(t), blobs(o)], ["bucket", "tokens", "owners"])
+
         for batch in batches:
-            tokens, owners, classes, sizes, lengths = [], [], [], [], []
-            for _, got in sets_of(batch.column(batch.schema.names.index("text"))):
-                if not len(got):
-                    continue
-                c = digests(got)[0]
-                if c in seen:
-                    continue
-                seen.add(c)
-                mine = posted(got, known.value)
-                tokens.append(mine), classes.append(c), sizes.append(len(got)), lengths.append(len(mine))
-            if not classes:
-                continue
-            tokens, classes = np.concatenate(tokens), np.array(classes, np.int64)
-            owners = np.repeat(classes, lengths)
-            meta = np.stack([classes, sizes, lengths], 1).astype(np.int64)
-            at, to = tokens % np.uint64(buckets), classes % buckets
-            order, meta = np.argsort(at, kind="stable"), meta[np.argsort(to, kind="stable")]
-            cut, cut_m = np.searchsorted(at[order], np.arange(buckets + 1)), np.searchsorted(np.sort(to), np.arange(buckets + 1))
-            tokens, owners = tokens[order], owners[order]
-            rows = [(b, tokens[cut[b] : cut[b + 1]].tobytes(), owners[cut[b] : cut[b + 1]].tobytes(), meta[cut_m[b] : cut_m[b + 1]].tobytes()) for b in range(buckets)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], ["bucket", "tokens", "owners", "meta"])
-
-    def meet(group: pa.Table) -> pa.Table:
-        join = lambda name: np.frombuffer(b"".join(group.column(name).to_pylist()), np.int64)
-        tokens, owners = join("tokens"), join("owners")
-        order = np.lexsort((owners, tokens))
-        tokens, owners = tokens[order], owners[order]
-        new = np.ones(len(tokens), bool)
-        new[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])
-        tokens, owners = tokens[new], owners[new]
-        edges = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, int)
-        df = np.repeat(np.diff(np.append(edges, len(tokens))), np.diff(np.append(edges, len(tokens))))
-        more = df > 1
-        meta = np.unique(join("meta").reshape(-1, 3), axis=0)
-        none = pa.nulls(len(meta), pa.int64())
-        top = pa.table([pa.array(owners[more]), pa.array(tokens[more]), pa.array(df[more]), pa.nulls(int(more.sum()), pa.int64()), pa.nulls(int(more.sum()), pa.int64())], names=["class", "token", "df", "n", "posted"])
-        rest = pa.table([pa.array(np.ascontiguousarray(meta[:, 0])), none, none, pa.array(np.ascontiguousarray(meta[:, 1])), pa.array(np.ascontiguousarray(meta[:, 2]))], names=top.column_names)
-        return pa.concat_tables([top, rest])
-
-    packed = docs.select("text").mapInArrow(post, "bucket int, tokens binary, owners binary, meta binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "class long, token long, df long, n long, posted long")
-
-
-def prefixes(shared: DataFrame) -> DataFrame:
-    """class, n, token, pos of the shared shingles in each class's prefix; pos is a lower bound of the place in its order."""
-    by_class = shared.groupBy("class").agg(F.max("n").alias("n"), F.max("posted").alias("posted"), F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("df", "token")))).alias("more"))
+            for c, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                t = np.frombuffer(blob.as_buffer(), np.uint64)
+                tokens.append(t), owners.append(np.full(len(t), c, np.int64))
+                held += len(t)
+                if held >= FLUSH:
+                    yield flush()
+                    tokens, owners, held = [], [], 0
+        if held:
+            yield flush()
+
+    def meet(batches):
+        tokens, owners, held, most = [], [], 0, 2 * PART
+        counted: dict[int, int] = {}
+        rows = lambda c, t, df: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(t, pa.int64()), pa.array(df, pa.int64())], ["class", "token", "df"])
+        nulls = lambda n: pa.nulls(n, pa.int64())
+
+        def ordered():
+            t, o = np.concatenate(tokens), np.concatenate(owners)
+            order = np.lexsort((o, t))
+            t, o = t[order], o[order]
+            new = np.ones(len(t), bool)
+            new[1:] = (t[1:] != t[:-1]) | (o[1:] != o[:-1])
+            t, o = t[new], o[new]
+            edges = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            df = np.diff(np.append(edges, len(t)))
+            return t, o, t[edges], df, np.repeat(df, df)
+
+        for batch in batches:
+            for t, o in zip(batch.column(1), batch.column(2), strict=True):
+                t, o = np.frombuffer(t.as_buffer(), np.int64), np.frombuffer(o.as_buffer(), np.int64)
+                tokens.append(t), owners.append(o)
+                held += len(t)
+            if held >= most:
+                t, o, named, df, each = ordered()
+                much = (each > hot) | np.isin(t, np.fromiter(counted, np.int64, len(counted)))
+                for x, c in zip(named[df > hot].tolist(), df[df > hot].tolist(), strict=True):
+                    counted.setdefault(x, 0)
+                for x in counted:
+                    counted[x] += int(np.searchsorted(t, x, "right") - np.searchsorted(t, x))
+                for a in range(0, int(much.sum()), 1 << 16):
+                    c = o[much][a : a + (1 << 16)]
+                    yield rows(c, t[much][a : a + (1 << 16)], nulls(len(c)))
+                tokens, owners, held = [t[~much]], [o[~much]], int((~much).sum())
+                most = max(2 * PART, 2 * held)
+        if held:
+            t, o, named, df, each = ordered()
+            late = np.isin(t, np.fromiter(counted, np.int64, len(counted)))
+            for x in counted:
+                counted[x] += int(np.searchsorted(t, x, "right") - np.searchsorted(t, x))
+            if late.any():
+                yield rows(o[late], t[late], nulls(int(late.sum())))
+            more = (each > 1) & ~late
+            at = np.flatnonzero(more)
+            for a in range(0, len(at), 1 << 16):
+                i = at[a : a + (1 << 16)]
+                yield rows(o[i], t[i], each[i])
+        if counted:
+            yield rows(nulls(len(counted)), list(counted), list(counted.values()))
+
+    packed = described.filter("posted is not null").select("class", "posted").mapInArrow(post, "bucket long, tokens binary, owners binary")
+    found = common.materialize(packed.repartition(parts, "bucket").mapInArrow(meet, "class long, token long, df long"), "shared")
+    often = found.filter("class is null").select("token", F.col("df").alias("often"))
+    late = found.filter("class is not null and df is null").select("class", "token").join(often, "token").select("class", "token", F.col("often").alias("df"))
+    return found.filter("class is not null and df is not null").unionByName(late)
+
+
+def prefixes(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """class, n, token, pos of the shared shingles in each class's prefix, in the order (range, df, token)."""
+    high = (F.col("token") < 0) | (F.col("token") >= F.lit(int(_LOW)))
+    by_class = shared.groupBy("class").agg(F.collect_set(F.struct(high.alias("high"), "df", "token")).alias("more"))
+    by_class = by_class.join(classes.select("class", "n", "low"), "class").withColumn("more", F.sort_array("more"))
+    length = F.col("n") - F.floor((PERCENT * F.col("n") + 99) / 100) + 1
+    below = F.size(F.filter("more", lambda x: ~x["high"]))  # shared ones of the low range; the others of that range come first
+    each = by_class.select("class", "n", "low", length.alias("length"), below.alias("below"), F.size("more").alias("all"), F.posexplode("more").alias("at", "x"))
+    pos = F.when(F.col("x.high"), F.col("n") - F.col("all") + F.col("at")).otherwise(F.col("low") - F.col("below") + F.col("at"))
+    return each.select("class", "n", F.col("x.token").alias("token"), pos.cast("long").alias("pos"), "length").filter("pos < length").drop("length")
+
+
+def grouped(prefix: DataFrame) -> DataFrame:
+    """class, n, block: classes of much the same prefix in blocks of at most about BLOCK classes or BLOCK_SHINGLES shingles.
+
+    A class follows the smallest class of the lists that it is in, if that is the same in a third of its prefix; else it stays
+    alone. Blocks decide which sets meet in a task, never whether they are compared.
+    """
+    least = common.materialize(prefix.groupBy("token").agg(F.min("class").alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("token", "head"), "list-heads")
+    votes = prefix.join(least, "token").groupBy("class", "head").agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"))
+    best = votes.groupBy("class").agg(F.first("n").alias("n"), F.max(F.struct("votes", "head")).alias("best"))
     length = F.col("n") - F.floor((PERCENT * F.col("n") + 99) / 100) + 1
-    single = F.col("posted") - F.size("more")  # counted shingles that no other class holds come first
-    whole = F.col("posted") <= length  # then all that is posted is the prefix, and its order isn't known here
-    taken = F.when(whole, F.col("more")).otherwise(F.slice("more", F.lit(1), F.greatest(F.lit(0), length - single).cast("int")))
-    out = by_class.select("class", "n", F.when(whole, F.lit(0)).otherwise(single).alias("from"), whole.alias("whole"), F.posexplode(taken).alias("at", "x"))
-    return out.select("class", "n", F.col("x.token").alias("token"), F.when(F.col("whole"), F.lit(0)).otherwise(F.col("from") + F.col("at")).cast("long").alias("pos"))
+    members = common.materialize(best.select("class", "n", F.when(3 * F.col("best.votes") >= length, F.col("best.head")).otherwise(F.col("class")).alias("head")), "heads")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES))
+    parts = common.materialize(members.groupBy("head").agg(parts.alias("parts")), "head-parts")
+    return members.join(parts, "head").select("class", "n", F.xxhash64("head", F.pmod(F.xxhash64("class"), F.col("parts"))).alias("block"))
 
 
-def candidate_pairs(short: DataFrame) -> DataFrame:
-    """a, b: the pairs of classes in a list that size and position allow. A list has at most LONG_LIST rows."""
-    lists = short.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "class", "pos"))).alias("l"))
-    each = lists.select("l", F.posexplode("l").alias("i", "x"))
-    need = lambda x, y: F.ceil(PERCENT * (x["n"] + y["n"]) / (100 + PERCENT))
-    fits = lambda x, y: (100 * x["n"] >= PERCENT * y["n"]) & (F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= need(x, y))
-    later = F.slice("l", F.col("i") + 2, F.size("l"))
-    pairs = each.select("x", F.explode(F.filter(later, lambda y: fits(F.col("x"), y))).alias("y"))
-    return pairs.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+def block_pairs(prefix: DataFrame, members: DataFrame) -> DataFrame:
+    """i, j: the pairs of different blocks that an index list, cut in blocks, doesn't skip by position or size."""
+    entries = prefix.join(members.select("class", "block"), "class").groupBy("token", "block")
+    lists = common.materialize(entries.agg(F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("n").alias("low"), F.max("n").alias("high")), "block-lists")
+    several = common.materialize(lists.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token"), "block-tokens")
+    lists = common.materialize(lists.join(several, "token"), "block-lists")
+    a, b = lists.alias("a"), lists.alias("b")
+    least = F.ceil(PERCENT * (F.col("a.low") + F.col("b.low")) / (100 + PERCENT))
+    sizes = (100 * F.col("a.high") >= PERCENT * F.col("b.low")) & (100 * F.col("b.high") >= PERCENT * F.col("a.low"))
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.block") < F.col("b.block")) & sizes & (F.least("a.rest", "b.rest") >= least))
+    return met.select(F.col("a.block").alias("i"), F.col("b.block").alias("j")).distinct()
 
 
 def whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """class, shingles (blob) of the given classes(class, rep, text_hash), each once."""
+    """class, copies, block, shingles (blob) of the given classes(class, rep, text_hash, copies, block), once or more each."""
     common.ship(docs.sparkSession)
+    carried = ["class", "copies", "block"]
 
     def run(batches):
         for batch in batches:
             d = dict(zip(batch.schema.names, batch.columns, strict=True))
             wanted = d["class"].to_pylist()
-            got = [(c, s.tobytes()) for c, (_, s) in zip(wanted, sets_of(d["text"]), strict=True) if digests(s)[0] == c]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.int64()), pa.array([s for _, s in got], pa.binary())], ["class", "shingles"])
+            sets = [s.tobytes() if digest(s) == c else None for c, (_, s) in zip(wanted, sets_of(d["text"]), strict=True)]
+            found = pa.array(sets, pa.binary())
+            yield pa.RecordBatch.from_arrays([*(d[c] for c in carried), found], [*carried, "shingles"]).filter(found.is_valid())
 
-    rows, columns = _text_rows(docs), ["class", "text"]
-    numbered = rows.join(classes.filter("rep is not null").select("class", F.col("rep").alias("doc_id")), "doc_id").select(columns)
+    rows = _text_rows(docs)
+    numbered = rows.join(classes.filter("rep is not null").select(*carried, F.col("rep").alias("doc_id")), "doc_id").select(*carried, "text")
     # A class without any id is found by a text of its rows; copies are dropped first, so that at most one a task moves.
     nameless = rows.filter("doc_id is null").select("text_hash", "text").dropDuplicates(["text_hash"])
-    nameless = nameless.join(classes.filter("rep is null").select("class", "text_hash"), "text_hash").select(columns)
-    return numbered.unionByName(nameless).mapInArrow(run, "class long, shingles binary").groupBy("class").agg(F.first("shingles").alias("shingles"))
+    nameless = nameless.join(classes.filter("rep is null").select(*carried, "text_hash"), "text_hash").select(*carried, "text")
+    return numbered.unionByName(nameless).mapInArrow(run, "class long, copies long, block long, shingles binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets link."""
+class BlockIndex:
+    """The sets of a block, indexed by shingle: the list of a shingle is that of the sets that hold it."""
+
+    def __init__(self, sizes: np.ndarray, tokens: np.ndarray, counts: np.ndarray, owners: np.ndarray):
+        self.sizes, self.tokens, self.counts, self.owners = sizes, tokens, counts.astype(np.int64), owners
+        self.starts = np.concatenate([[0], np.cumsum(self.counts)])
+
+    @classmethod
+    def of(cls, sets: list[np.ndarray]) -> BlockIndex:
+        sizes = np.array([len(s) for s in sets], np.int64)
+        all_tokens, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(all_tokens, kind="stable")
+        tokens, counts = np.unique(all_tokens[order], return_counts=True)
+        return cls(sizes, tokens, counts, owners[order].astype(np.uint16 if len(sets) < 1 << 16 else np.uint32))
+
+    def sets(self) -> list[np.ndarray]:
+        """For each set the places of its shingles in `tokens`, ascending."""
+        order = np.argsort(self.owners, kind="stable")
+        return np.split(np.repeat(np.arange(len(self.tokens)), self.counts)[order], np.cumsum(self.sizes)[:-1])
+
+    def places(self, tokens: np.ndarray) -> np.ndarray:
+        """The places of tokens here, -1 where no set holds one."""
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == tokens, at, -1)
+
+    def answer(self, places: np.ndarray) -> np.ndarray:
+        """How often each set is in the lists at the places."""
+        n = self.counts[places]
+        at = np.arange(int(n.sum())) + np.repeat(self.starts[places] - np.cumsum(n) + n, n)
+        return np.bincount(self.owners[at], minlength=len(self.sizes))
+
+
+def block_links(left: BlockIndex, right: BlockIndex):
+    """For each set of left: (its number, the numbers of the sets of right that it links with, whether its answer was derived)."""
+    place = np.arange(len(left.tokens)) if left is right else right.places(left.tokens)
+    before = overlap = None
+    for i, mine in enumerate(left.sets()):
+        x = place[mine]
+        x = x[x >= 0]
+        derived = False
+        if before is not None:
+            both = np.isin(x, before, assume_unique=True)
+            if 2 * (len(x) + len(before) - 2 * int(both.sum())) < len(x):  # less to change than to count anew
+                lacks = np.setdiff1d(before, x, assume_unique=True)
+                overlap, derived = overlap - right.answer(lacks) + right.answer(x[~both]), True
+        if not derived:
+            overlap = right.answer(x)
+        before = x
+        yield i, np.flatnonzero(linked(overlap, int(left.sizes[i]), right.sizes)), derived
+
+
+def index_blocks(sets: DataFrame) -> DataFrame:
+    """block and its index: classes, copies, sizes, tokens, counts, owners (blobs). Sets given twice count once."""
 
-    def run(batches):
-        for batch in batches:
-            d = batch.to_pydict()
-            keep = []
-            for x, y in zip(d["x"], d["y"], strict=True):
-                x, y = _longs(x), _longs(y)
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                keep.append(bool(linked(int((y[at] == x).sum()), len(x), len(y))))
-            yield pa.RecordBatch.from_pydict({"a": [a for a, k in zip(d["a"], keep, strict=True) if k], "b": [b for b, k in zip(d["b"], keep, strict=True) if k]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    def run(group: pa.Table) -> pa.Table:
+        d = group.to_pydict()
+        one = {c: (n, s) for c, n, s in zip(d["class"], d["copies"], d["shingles"], strict=True)}
+        order = sorted(one, key=lambda c: (one[c][1][:8], c))  # sets that begin alike follow each other
+        index = BlockIndex.of([np.frombuffer(one[c][1], np.uint64) for c in order])
+        blobs = [np.array(order, np.int64), np.array([one[c][0] for c in order], np.int64), index.sizes, index.tokens, index.counts.astype(np.uint32), index.owners.astype(np.uint32 if len(order) >= 1 << 16 else np.uint16)]
+        return pa.table([pa.array([d["block"][0]], pa.int64()), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], names=["block", *INDEX])
 
-    one = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a")
-    return one.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return sets.groupBy("block").applyInArrow(run, "block long, " + ", ".join(f"{c} binary" for c in INDEX))
 
 
-class BlockIndex:
-    """Sets of a block, indexed by shingle; answers the overlaps of a set with all of them."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets])
-        self.sets = sets
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
-        tokens = np.concatenate(sets)
-        order = np.argsort(tokens, kind="stable")
-        self.tokens, starts, counts = np.unique(tokens[order], return_index=True, return_counts=True)
-        self.owner, self.starts = owner[order], np.append(starts, len(tokens))
-        # The prefix index: rare shingles first; its lists are ordered by position.
-        place = np.searchsorted(self.tokens, tokens)
-        self.rank = np.lexsort((self.tokens, counts)).argsort()
-        rank = self.rank[place]
-        by_set = np.lexsort((rank, owner))
-        pos = np.arange(len(tokens)) - np.repeat(np.concatenate([[0], np.cumsum(self.sizes)[:-1]]), self.sizes)
-        prefix = pos < np.repeat([prefix_length(n) for n in self.sizes], self.sizes)
-        t, o, pos = place[by_set][prefix], owner[by_set][prefix], pos[prefix]
-        order = np.lexsort((pos, t))
-        self.p_owner, self.p_pos = o[order], pos[order]
-        self.p_starts = np.searchsorted(t[order], np.arange(len(self.tokens) + 1))
-
-    def places(self, x: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.tokens, x), len(self.tokens) - 1)
-        return at[self.tokens[at] == x]
-
-    def lists(self, x: np.ndarray) -> np.ndarray:
-        """How often each set is in the lists of x's shingles."""
-        parts = [self.owner[self.starts[t] : self.starts[t + 1]] for t in self.places(x)]
-        return np.bincount(np.concatenate(parts), minlength=len(self.sets)) if parts else np.zeros(len(self.sets), np.int64)
-
-    def probe(self, x: np.ndarray) -> np.ndarray:
-        """Sets that may link with x by the prefix index; lists are left at the first position whose bound fails."""
-        n, p = len(x), prefix_length(len(x))
-        places = self.places(x)
-        missing = n - len(places)  # shingles that no set holds would come first
-        places = places[np.argsort(self.rank[places], kind="stable")][: max(0, p - missing)]
-        least = required(n, -(-PERCENT * n // 100))  # against the smallest set that can link
-        hits = []
-        for i, t in enumerate(places, missing):
-            a, b = self.p_starts[t], self.p_starts[t + 1]
-            if n - i < least:
-                break
-            o, j = self.p_owner[a:b], self.p_pos[a:b]
-            longest = self.sizes[o].max(initial=0)
-            o, j = o[: np.searchsorted(j, longest - least, "right")], j[: np.searchsorted(j, longest - least, "right")]
-            size = self.sizes[o]
-            hits.append(o[np.minimum(n - i, size - j) >= required(n, size)])
-        return np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
-
-
-def block_links(left: list[np.ndarray], right: list[np.ndarray]):
-    """For each set of left: (its number, the numbers of the sets of right that it links with)."""
-    index = BlockIndex(right)
-    leader, answer = None, None
-    for i, x in enumerate(left):
-        lacks = adds = None
-        if leader is not None:
-            lacks, adds = np.setdiff1d(leader, x, assume_unique=True), np.setdiff1d(x, leader, assume_unique=True)
-            common_n = len(x) - len(adds)
-            if common_n < SIMILAR * (len(x) + len(leader) - common_n):
-                lacks = None
-        if lacks is not None:
-            overlap = answer - index.lists(lacks) + index.lists(adds)
-            leader, answer = x, overlap
-            yield i, np.flatnonzero(linked(overlap, len(x), index.sizes))
-            continue
-        near = index.probe(x)
-        if len(near) > 8 or leader is None:  # it may lead others: answer it against all
-            leader, answer = x, index.lists(x)
-            yield i, np.flatnonzero(linked(answer, len(x), index.sizes))
-        else:
-            yield i, np.array([j for j in near if linked(len(np.intersect1d(x, right[j], assume_unique=True)), len(x), index.sizes[j])], np.int64)
-
-
-def family_links(members: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """members(class, n, family) -> class, other, links: numbers of linked documents (other null) and spanning links."""
-    # Sizes that can link differ by one step of 4/3 at most. A family's classes of a step are dealt to blocks by hash: no task needs the whole family.
-    members = members.withColumn("step", F.floor(F.log("n") / math.log(100 / PERCENT) + 1e-9))
-    steps = common.materialize(members.groupBy("family", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")), "family-steps")
-    block = F.col("step") * (1 << 32) + F.pmod(F.xxhash64("class"), F.col("parts"))
-    members = common.materialize(members.join(steps, ["family", "step"]).select("family", "class", "n", block.alias("block")), "families")
-    blocks = members.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    a, b = blocks.alias("a"), blocks.alias("b")
-    near = (100 * F.col("a.high") >= PERCENT * F.col("b.low")) & (100 * F.col("b.high") >= PERCENT * F.col("a.low"))
-    meet = a.join(b, (F.col("a.family") == F.col("b.family")) & (F.col("a.block") <= F.col("b.block")) & near)
-    meet = meet.select(F.col("a.family").alias("family"), F.col("a.block").alias("i"), F.col("b.block").alias("j"))
-    held = members.join(sets, "class").join(classes.select("class", "copies"), "class").select("family", "block", "class", "copies", "shingles")
-    sides = meet.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")).join(held, ["family", "block"])
+def met_blocks(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """class, other, links, derived: a class's linked documents in one meeting (other null), spanning links, and of each meeting (class null) the numbers of sets and of derived answers."""
 
-    def run(group: pa.Table) -> pa.Table:
-        d = group.to_pydict()
-        i, j = d["i"][0], d["j"][0]
-        side = lambda k: [r for r in range(len(d["class"])) if d["block"][r] == k]
-        similar = lambda rows: sorted(rows, key=lambda r: (d["shingles"][r][:8], d["class"][r]))  # noqa: E731  neighbours begin alike
-        left, right = similar(side(i)), similar(side(j))
-        counts: dict[int, int] = {}
-        top = list(range(len(d["class"])))
-        spanning = []
-
-        def find(r):
-            while top[r] != r:
-                top[r] = top[top[r]]
-                r = top[r]
-            return r
-
-        for x, found in block_links([_longs(d["shingles"][r]) for r in left], [_longs(d["shingles"][r]) for r in right]):
-            r = left[x]
-            for y in found:
-                s = right[y]
-                if s == r or i == j and d["class"][s] < d["class"][r]:
-                    continue  # within a block each pair is met twice
-                counts[r] = counts.get(r, 0) + d["copies"][s]
-                counts[s] = counts.get(s, 0) + d["copies"][r]
-                if find(r) != find(s):
-                    top[find(r)] = find(s)
-                    spanning.append((d["class"][r], d["class"][s]))
-        rows = [(d["class"][r], None, c) for r, c in counts.items()] + [(a, b, 0) for a, b in spanning]
-        return pa.table([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["class", "other", "links"])
-
-    return sides.groupBy("family", "i", "j").applyInArrow(run, "class long, other long, links long")
+    def side(row, mark):
+        part = lambda name, kind: np.frombuffer(row[mark + name], kind)
+        classes = part("classes", np.int64)
+        kind = np.uint32 if len(classes) >= 1 << 16 else np.uint16
+        return classes, part("copies", np.int64), BlockIndex(part("sizes", np.int64), part("tokens", np.uint64), part("counts", np.uint32), part("owners", kind))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                yield meeting(side(row, "a_"), side(row, "b_") if row["b_classes"] is not None else None)
+
+    a = blocks.select(F.col("block").alias("i"), *[F.col(c).alias(f"a_{c}") for c in INDEX])
+    b = blocks.select(F.col("block").alias("j"), *[F.col(c).alias(f"b_{c}") for c in INDEX])
+    within = a.filter(F.octet_length("a_classes") > 8).select(*a.columns[1:], *[F.lit(None).cast("binary").alias(f"b_{c}") for c in INDEX])
+    across = pairs.join(a, "i").join(b, "j").select(within.columns)
+    return within.unionByName(across).mapInArrow(run, "class long, other long, links long, derived long")
+
+
+def meeting(one, two) -> pa.RecordBatch:
+    """The links between two blocks (classes, copies, index), or within the first."""
+    classes, copies, index = one
+    others, other_copies, other = one if two is None else two
+    off = 0 if two is None else len(classes)
+    label = np.arange(off + len(others))
+    links, spanning, n_derived = np.zeros(len(label), np.int64), [], 0
+    for i, found, derived in block_links(index, other):
+        n_derived += derived
+        if two is None:
+            found = found[found > i]  # each pair is met twice
+        if not len(found):
+            continue
+        links[i] += other_copies[found].sum()
+        links[off + found] += copies[i]
+        parts, first = np.unique(label[off + found], return_index=True)
+        spanning += [(int(classes[i]), int(others[found[f]])) for p, f in zip(parts, first, strict=True) if p != label[i]]
+        label[np.isin(label, parts)] = label[i]
+    ids = classes if two is None else np.concatenate([classes, others])
+    some = np.flatnonzero(links)
+    rows = [(int(ids[k]), None, int(links[k]), None) for k in some] + [(a, b, 0, None) for a, b in spanning] + [(None, None, len(classes), n_derived)]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["class", "other", "links", "derived"])
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -383,34 +386,32 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return _answers(docs).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
-def _answers(docs: DataFrame) -> DataFrame:
-    """jaccard_components() with the rows' text_hash and their component's root class (null for empty sets)."""
-    spark = docs.sparkSession
-    common.ship(spark)
+def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: describe_sets(), the classes (class, rep, text_hash, copies, n, low), and met_blocks()."""
     described = common.materialize(describe_sets(docs), "sets")
-    totals = described.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    buckets = max(8, int(totals[1] * POSTED * 1.1 / BUCKET_TOKENS) + 1)
-    heavy = heavy_shingles(described, totals[0])
-    classes = described.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
+    classes = described.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("low").alias("low"))
     classes = common.materialize(classes, "classes")
-    prefix = common.materialize(prefixes(shared_shingles(docs, heavy, buckets)), "prefixes")
-    # Few lists are long. Their shingles are written first, so that Spark knows their size: below its threshold they are broadcast, else the join splits skewed keys.
-    hot = common.materialize(prefix.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > LONG_LIST).select("token"), "long-tokens")
-    long = common.materialize(prefix.join(hot, "token").select("class", "n", "token"), "long-lists")
-    families = components(_stars(long))
-    members = common.materialize(long.select("class", "n").distinct().join(families.withColumnRenamed("node", "class"), "class").withColumnRenamed("root", "family"), "members")
-    pairs = candidate_pairs(prefix.join(hot, "token", "left_anti"))
-    of = lambda c: members.select(F.col("class").alias(c), F.col("family").alias(f"family_{c}"))
-    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("family_a is null or family_b is null or family_a != family_b").select("a", "b")
-    pairs = common.materialize(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(members.select("class")).distinct()
-    sets = common.materialize(whole_sets(docs, needed.join(classes, "class").select("class", "rep", "text_hash")), "whole-sets")
-    links = common.materialize(verified(pairs, sets), "verified")
-    dense = common.materialize(family_links(members, sets, classes), "family-links")
-    roots = components(links.unionByName(dense.filter("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b"))))
-    copies = lambda c: classes.select(F.col("class").alias(c), "copies")
-    ends = links.join(copies("b"), "b").select(F.col("a").alias("class"), F.col("copies").alias("links")).unionByName(links.join(copies("a"), "a").select(F.col("b").alias("class"), F.col("copies").alias("links")))
-    ends = ends.unionByName(dense.filter("other is null").select("class", "links")).groupBy("class").agg(F.sum("links").alias("links"))
+    prefix = common.materialize(prefixes(shared_shingles(described), classes), "prefixes")
+    members = common.materialize(grouped(prefix), "members")
+    pairs = common.materialize(block_pairs(prefix, members), "block-pairs")
+    several = members.groupBy("block").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("block")
+    needed = several.unionByName(pairs.select(F.explode(F.array("i", "j")).alias("block"))).distinct()
+    wanted = common.materialize(members.join(needed, "block").select("class", "block").join(classes, "class").select("class", "block", "rep", "text_hash", "copies"), "wanted")
+    blocks = common.materialize(index_blocks(whole_sets(docs, wanted)), "blocks")
+    return described, classes, common.materialize(met_blocks(blocks, pairs), "links")
+
+
+def derived_sets(met: DataFrame) -> tuple[int, int]:
+    """How many answers met_blocks() gave, and how many of them were derived from a similar set's."""
+    row = met.filter("class is null").agg(F.coalesce(F.sum("links"), F.lit(0)), F.coalesce(F.sum("derived"), F.lit(0))).first()
+    return row[0], row[1]
+
+
+def _answers(docs: DataFrame) -> DataFrame:
+    """jaccard_components() with the rows' text_hash and their component's root class (null for empty sets)."""
+    described, classes, met = linked_classes(docs)
+    roots = components(met.filter("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")))
+    ends = met.filter("class is not null and other is null").groupBy("class").agg(F.sum("links").alias("links"))
     whole = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")).join(ends, "class", "left")
     whole = common.materialize(whole.select("class", "rep", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "roots")
     named = common.materialize(whole.groupBy("root").agg(F.min("rep").alias("component_id")), "names")  # a join of tables can split a large family
@@ -426,12 +427,6 @@ def text_components(docs: DataFrame) -> DataFrame:
     return found.select(F.col("text_hash").alias("cluster"), F.col("root").alias("group")).distinct()
 
 
-def _stars(long: DataFrame) -> DataFrame:
-    """Each list as a star: its classes linked with its smallest class."""
-    least = long.groupBy("token").agg(F.min("class").alias("b"))
-    return long.join(least, "token").select(F.col("class").alias("a"), "b").distinct()
-
-
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each component: the smallest doc_id (null only where there is no other), of equal ids the smallest text hash.
 
