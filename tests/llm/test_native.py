@@ -1,9 +1,12 @@
+import hashlib
 import math
 import re
 import warnings
 from collections import Counter, defaultdict
 
 import cases
+import duckdb
+import pyarrow as pa
 import pytest
 
 from tracewright.llm import chat_rotation, line_frequency, mixing
@@ -88,18 +91,61 @@ def test_mixing_hard_rows(spark):
     assert mixing.mix_sources(cases.empty(spark), {"a": 1.0}).count() == 0
 
 
+def drawn_by_hand(i, mean):
+    parts = max(1, math.ceil(mean / mixing.PART_RATE))
+    table = mixing.poisson_table(mean / parts)
+    uniform = lambda p: int(hashlib.md5(f"{mixing.SEED}|{i}{f'|{p}' if p else ''}".encode()).hexdigest()[:13], 16) / 2**52
+    return sum(c <= uniform(p) for p in range(parts) for c in table)
+
+
+def test_rare_sources_reach_their_weight(spark, monkeypatch):
+    """10 rows of 2,000 at half the weight: a rate of 100, drawn in parts, as DuckDB and a plain version draw it."""
+    monkeypatch.setattr(mixing, "WEIGHTS", {"rare": 0.5, "big": 0.5})
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    rows = [(i, f"text {i}", "rare" if i < 10 else "big") for i in range(2000)]
+    docs = cases.docs(spark, rows)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        got = Counter((r["doc_id"], r["copy"]) for r in mixing.mix_sources(docs, mixing.WEIGHTS).collect())
+    times = Counter(i for i, _ in got)
+    assert got == Counter((i, c + 1) for i, n in times.items() for c in range(n))
+    assert times == +Counter({i: drawn_by_hand(i, 100.0 if i < 10 else 1000 / 1990) for i, _, _ in rows})
+    assert abs(sum(times[i] for i in range(10)) - 1000) < 100
+    documents = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "source": [r[2] for r in rows]})  # noqa: F841
+    assert Counter(duckdb.sql(mixing.mixing_sql("documents", "doc_id")).fetchall()) == got
+
+
+def test_poisson_parts_keep_mean_and_variance():
+    mean = 5000.0
+    drawn = [drawn_by_hand(i, mean) for i in range(60)]
+    assert abs(sum(drawn) / 60 - mean) < 5 * math.sqrt(mean / 60) and 0.4 * mean < sum((d - mean) ** 2 for d in drawn) / 60 < 2 * mean
+
+
 def test_mixing_tells_the_weights_it_misses(spark):
     docs = cases.docs(spark, [(i, f"text {i}", "rare" if i < 8 else "big") for i in range(1000)])
     with pytest.warns(UserWarning, match=r"rare: 0\.5000 wanted, 0\.2038 reached"):  # 8 x 16 of 8 x 16 + 500
-        got = mixing.mix_sources(docs, {"big": 0.5, "rare": 0.5})
+        got = mixing.mix_sources(docs, {"big": 0.5, "rare": 0.5}, max_rate=16.0)
     assert abs(got.filter("source = 'rare'").count() / got.count() - 0.2038) < 0.05
     with pytest.warns(UserWarning, match="gone: 0.5000 wanted, 0.0000 reached"):
         mixing.mix_sources(docs, {"gone": 0.5, mixing.OTHER: 0.5})
-    with warnings.catch_warnings():
-        warnings.simplefilter("error", UserWarning)
-        mixing.mix_sources(docs, {"rare": 0.01, mixing.OTHER: 0.99})
     counts = {"big": 992, "rare": 8}
     assert mixing.weights_reached(counts, {"big": 0.5, "rare": 16.0}, {"big": 1.0, "rare": 1.0}) == {"big": (0.5, 496 / 624), "rare": (0.5, 128 / 624)}
+    for wrong in ({"a": 0.0}, {}, {"a": -1.0, "b": 2.0}, {"a": math.inf}):
+        with pytest.raises(ValueError, match="weights"):
+            mixing.mix_sources(docs, wrong)
+
+
+def test_a_thousand_weights(spark):
+    docs = cases.docs(spark, [(i, f"text {i}", f"s{i % 1000}") for i in range(3000)])
+    n = mixing.mix_sources(docs, {f"s{i}": 1.0 for i in range(1000)}).count()
+    assert abs(n - 3000) < 300
+
+
+def test_mixing_stage_keeps_clashing_columns(spark):
+    docs = cases.hard(spark)
+    got = mixing.stage(spark, docs, "")
+    assert got.columns == docs.columns and {r["copy"] for r in got.collect()} == {7}
+    assert mixing.stage(spark, cases.empty(spark), "").count() == 0
 
 
 def chat_by_hand(rows):

@@ -44,7 +44,7 @@ def mixed_by_hand(rows):
         b = of(r)
         drawn = str(r[0]) if r[0] is not None else hashlib.md5(r[1].encode()).hexdigest() if r[1] is not None else ""
         u = int(hashlib.md5(f"{mixing.SEED}|{drawn}".encode()).hexdigest()[:13], 16) / 2**52
-        out[r] += sum(c <= u for c in mixing.poisson_table(min(mixing.MAX_RATE, mixing.WEIGHTS[b] / whole * len(rows) / n[b])))
+        out[r] += sum(c <= u for c in mixing.poisson_table(mixing.WEIGHTS[b] / whole * len(rows) / n[b]))
     return +out
 
 
