@@ -148,17 +148,17 @@ def test_mixing_stage_keeps_clashing_columns(spark):
     assert mixing.stage(spark, cases.empty(spark), "").count() == 0
 
 
-def chat_by_hand(rows):
+def chat_by_hand(rows, part_turns=None):
     talks = defaultdict(list)
-    for c, t, role, text in rows:
-        talks[c].append((t, role or "unknown", text or ""))
+    for i, (c, t, role, text) in enumerate(rows):
+        talks[c, i if c is None else None].append((t, role or "unknown", text or ""))
     esc = lambda s: s.replace("<|", "< |")
-    for c, said in talks.items():
-        for me in {r for _, r, _ in said} - {"system"}:
-            parts = defaultdict(list)
-            for m in said:
-                parts[-1 if m[0] is None else m[0] // chat_rotation.PART_TURNS].append(m)
-            for p, ms in parts.items():
+    for (c, _), said in talks.items():
+        parts = defaultdict(list)
+        for m in said:
+            parts[0 if part_turns is None else -1 if m[0] is None else m[0] // part_turns].append(m)
+        for p, ms in parts.items():
+            for me in {r for _, r, _ in ms} - {"system"}:
                 out, spans = "", []
                 for t, role, text in sorted(ms, key=lambda m: (m[0] is not None, m[0] or 0, m[1], m[2])):
                     out += "<|assistant|>\n" if role == me else "<|system|>\n" if role == "system" else f"<|user:{esc(role)}|>\n"
@@ -168,16 +168,18 @@ def chat_by_hand(rows):
                 yield c, me, p, len(ms), out, tuple(spans)
 
 
-def test_every_speaker_gets_a_view(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", "\U0001F600 yo"), (1, 3, "ann", None), (1, 3, "ann", None), (1, None, None, "?"), (2, 0, "system", "alone"), (None, 5, "x<|", "null id"), (None, 4, "y", "")]
-    rows += [(3, t, "ann" if t % 2 else "bob", f"turn {t}") for t in range(300)]
-    table = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id long, turn long, role string, text string, perspective string, part int")
-    got = chat_rotation.rotate(table).collect()
-    assert Counter((r["conv_id"], r["perspective"], r["part"], r["n_messages"], r["text"], tuple((m["start"], m["end"]) for m in r["mask"])) for r in got) == Counter(chat_by_hand(rows))
+@pytest.mark.parametrize("part_turns", [None, 128])
+def test_every_speaker_gets_a_view(spark, part_turns):
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", "\U0001F600 yo"), (1, 3, "ann", None), (1, 3, "ann", None), (1, None, None, "?"), (2, 0, "system", "alone"), (None, 5, "x<|", "null id"), (None, 5, "x<|", "null id"), (None, 6, "y", "another")]
+    rows += [(3, t, "ann" if t % 2 else "bob", f"turn {t}") for t in range(1000)] + [(3, 1000, "<|late|>", "one")]
+    table = spark.createDataFrame([(*r, "clash", 1, "h", 0) for r in rows], "conv_id long, turn long, role string, text string, perspective string, part int, head string, at int")
+    got = chat_rotation.rotate(table, part_turns=part_turns).collect()
+    assert Counter((r["conv_id"], r["perspective"], r["part"], r["n_messages"], r["text"], tuple((m["start"], m["end"]) for m in r["mask"])) for r in got) == Counter(chat_by_hand(rows, part_turns))
+    assert all(r["mask"] for r in got)
     assert chat_rotation.rotate(table.limit(0)).count() == 0
 
 
-def test_many_equal_turns_are_cut(spark, monkeypatch):
-    monkeypatch.setattr(chat_rotation, "PART_ROWS", 4)
+def test_many_equal_turns_are_cut_on_request(spark):
     table = spark.createDataFrame([(1, 0, "a", f"m{i}") for i in range(10)], "conv_id long, turn long, role string, text string")
-    assert sorted(r["n_messages"] for r in chat_rotation.rotate(table).collect()) == [2, 4, 4]
+    assert sorted(r["n_messages"] for r in chat_rotation.rotate(table, part_rows=4).collect()) == [2, 4, 4]
+    assert [r["n_messages"] for r in chat_rotation.rotate(table).collect()] == [10]

@@ -4,12 +4,15 @@ For every participant of a conversation the dialogue is rendered with that speak
 as named users; the mask marks the assistant's own words. System messages are rendered as such for all and are no
 participants. `<|` inside messages and names is written `< |`, so that no message can forge a header.
 
-A conversation is cut in parts by turn (PART_TURNS turns a part), so that a task never holds more than a part:
-a training example is a part. Within a part, more than PART_ROWS messages (repeated turns) are cut again.
+A conversation is rendered whole. Where a training example must be shorter, `part_turns` cuts it by turn (so many turns a part)
+and `part_rows` cuts what still has more messages; a part is rendered for those who speak in it.
 
-Defined cases: null roles speak as `unknown`; null texts are empty; null turns come first, in a part of their own.
-Equal turns are ordered by role, then text; repeated rows are repeated messages. A null conv_id is one
-conversation. A conversation of system messages only has no perspective and no rows. Extra columns are ignored.
+Scale: one exchange by conversation; positions come from a running sum, so that a view costs time in proportion to its messages. A view is
+one row: a whole dialogue must fit in a row (2 GB), a longer one needs `part_turns`. A dialogue of p speakers has p views.
+
+Defined cases: null roles speak as `unknown`; null texts are empty; null turns come first, in a part of their own. Equal
+turns are ordered by role, then text; repeated rows are repeated messages. A message with a null conv_id is a conversation of its own (nothing says that
+such messages belong together). A conversation of system messages only has no perspective and no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +23,6 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import common
 
-PART_TURNS, PART_ROWS = 128, 512
 SYSTEM, UNKNOWN = "system", "unknown"
 END = "<|end|>\n"
 
@@ -29,32 +31,38 @@ def escaped(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("< |"))
 
 
-def rotate(conversations: DataFrame) -> DataFrame:
+def rotate(conversations: DataFrame, *, part_turns: int | None = None, part_rows: int | None = None) -> DataFrame:
     """conv_id, perspective, part, subpart, n_messages, text, mask (array<struct<start, end>> in characters of text, end exclusive)."""
-    said = conversations.select("conv_id", "turn", F.coalesce("role", F.lit(UNKNOWN)).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.floor(F.col("turn") / PART_TURNS), F.lit(-1)).alias("part"))
-    place = W.partitionBy("conv_id", "part").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    parts = said.withColumn("rn", F.row_number().over(place)).withColumn("subpart", F.floor((F.col("rn") - 1) / PART_ROWS))
-    parts = parts.groupBy("conv_id", "part", "subpart").agg(F.sort_array(F.collect_list(F.struct("rn", "role", "text"))).alias("said"))
-    people = said.filter(F.col("role") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("role").alias("perspective")).distinct()
-    views = parts.join(people, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
-
-    def header(m: Column) -> Column:
-        named = F.concat(F.lit("<|user:"), escaped(m["role"]), F.lit("|>\n"))
-        return F.when(m["role"] == F.col("perspective"), F.lit("<|assistant|>\n")).when(m["role"] == SYSTEM, F.lit("<|system|>\n")).otherwise(named)
-
-    pieces = F.transform("said", lambda m: F.struct(header(m).alias("head"), F.concat(escaped(m["text"]), F.lit(END)).alias("body"), (m["role"] == F.col("perspective")).alias("own")))
-    views = views.withColumn("pieces", pieces)
-    spot = "struct<at:int,mask:array<struct<start:int,end:int>>>"
-
-    def add(a: Column, p: Column) -> Column:
-        start = a["at"] + F.length(p["head"])
-        end = start + F.length(p["body"])
-        span = F.array(F.struct(start.alias("start"), (end - 1).alias("end")))  # with the end marker, without its line break
-        return F.struct(end.alias("at"), F.when(p["own"], F.concat(a["mask"], span)).otherwise(a["mask"]).alias("mask")).cast(spot)
-
-    mask = F.aggregate("pieces", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("mask")).cast(spot), add, lambda a: a["mask"])
-    text = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"])), "")
-    return views.select("conv_id", "perspective", F.col("part").cast("long"), F.col("subpart").cast("long"), F.size("said").alias("n_messages"), text.alias("text"), mask.alias("mask"))
+    role, text, zero = F.coalesce("role", F.lit(UNKNOWN)), F.coalesce("text", F.lit("")), F.lit(0).cast("long")
+    part = F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long") if part_turns else zero
+    said = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), part.alias("part"), zero.alias("subpart"))
+    order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
+    named = F.concat(F.lit("<|user:"), escaped(F.col("role")), F.lit("|>\n"))
+    said = said.withColumn("head", F.when(F.col("role") == SYSTEM, F.lit("<|system|>\n")).otherwise(named)).withColumn("body", F.concat(escaped(F.col("text")), F.lit(END)))
+    known = said.filter("conv_id is not null")
+    if part_rows:
+        rank = F.row_number().over(W.partitionBy("conv_id", "part").orderBy(*order))
+        known = known.withColumn("subpart", F.floor((rank - 1) / part_rows).cast("long"))
+    part_of = ["conv_id", "part", "subpart"]
+    place = W.partitionBy(*part_of).orderBy(*order)
+    before = F.coalesce(F.sum(F.length("head") + F.length("body")).over(place.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    message = F.struct("rn", "role", "head", "body", "at").alias("m")
+    known = known.withColumn("rn", F.row_number().over(place)).withColumn("at", before.cast("long")).groupBy(*part_of).agg(F.sort_array(F.collect_list(message)).alias("said"))
+    alone = said.filter("conv_id is null").withColumn("rn", F.lit(1)).withColumn("at", zero).select(*part_of, F.array(message).alias("said"))
+    parts = known.unionByName(alone)
+    people = F.array_distinct(F.filter(F.transform("said", lambda m: m["role"]), lambda r: r != SYSTEM))
+    views = parts.select(*part_of, "said", F.explode(people).alias("perspective"))
+    own, me = "<|assistant|>\n", F.col("perspective")
+    pieces = F.transform("said", lambda m: F.concat(F.when(m["role"] == me, F.lit(own)).otherwise(m["head"]), m["body"]))
+
+    def span(m: Column, k: Column) -> Column:
+        """The k-th of the speaker's messages: the headers of those before it are the assistant's, not their own."""
+        start = m["at"] + k * (len(own) - F.length(m["head"])) + len(own)
+        end = start + F.length(m["body"]) - 1  # with the end marker, without its line break
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+    mask = F.transform(F.filter("said", lambda m: m["role"] == me), span)
+    return views.select("conv_id", "perspective", "part", "subpart", F.size("said").alias("n_messages"), F.array_join(pieces, "").alias("text"), mask.alias("mask"))
 
 
 def op9_chat_rotation(spark, sf_dir: str) -> DataFrame:
@@ -64,21 +72,22 @@ def op9_chat_rotation(spark, sf_dir: str) -> DataFrame:
 
 OP9_SQL = f"""
 WITH said AS (
-  SELECT conv_id, turn, coalesce(role, '{UNKNOWN}') AS role, coalesce(text, '') AS text, coalesce(floor(turn / {PART_TURNS}.0), -1)::BIGINT AS part FROM conversations
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '{UNKNOWN}') AS role, coalesce(text, '') AS text FROM conversations
 ), numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role, text) AS rn FROM said
+  SELECT *, row_number() OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text) AS rn FROM said
 ), views AS (
-  SELECT n.*, ((rn - 1) // {PART_ROWS})::BIGINT AS subpart, perspective FROM numbered n
-  JOIN (SELECT DISTINCT conv_id AS of, role AS perspective FROM said WHERE role <> '{SYSTEM}') p ON p.of IS NOT DISTINCT FROM n.conv_id
+  SELECT n.*, perspective FROM numbered n
+  JOIN (SELECT DISTINCT conv_id AS of, alone AS one, role AS perspective FROM said WHERE role <> '{SYSTEM}') p
+  ON p.of IS NOT DISTINCT FROM n.conv_id AND p.one IS NOT DISTINCT FROM n.alone
 ), pieces AS (
-  SELECT conv_id, part, subpart, perspective, rn, role = perspective AS own,
+  SELECT conv_id, alone, perspective, rn, role = perspective AS own,
          CASE WHEN role = perspective THEN '<|assistant|>' || chr(10) WHEN role = '{SYSTEM}' THEN '<|system|>' || chr(10)
               ELSE '<|user:' || replace(role, '<|', '< |') || '|>' || chr(10) END AS head,
          replace(text, '<|', '< |') || '<|end|>' || chr(10) AS body FROM views
 ), placed AS (
-  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, subpart, perspective ORDER BY rn) AS upto FROM pieces
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, alone, perspective ORDER BY rn) AS upto FROM pieces
 )
-SELECT conv_id, perspective, part, subpart, count(*)::INTEGER AS n_messages, string_agg(head || body, '' ORDER BY rn) AS text,
+SELECT conv_id, perspective, 0::BIGINT AS part, 0::BIGINT AS subpart, count(*)::INTEGER AS n_messages, string_agg(head || body, '' ORDER BY rn) AS text,
        coalesce(string_agg(CASE WHEN own THEN (upto - length(body))::BIGINT || '-' || (upto - 1)::BIGINT END, ',' ORDER BY rn), '') AS mask
-FROM placed GROUP BY conv_id, perspective, part, subpart
+FROM placed GROUP BY conv_id, alone, perspective
 """
