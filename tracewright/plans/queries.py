@@ -90,13 +90,6 @@ def field_compare(spark, sf_dir):
     return o.select("o_orderkey", price.alias("price_state"), dates.compare_published_at(day("shipped"), day("o_orderdate")).alias("date_state"))
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
-def orphan_rows(spark, sf_dir):
-    """J8, J12."""
-    used = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").join(used, "o_orderkey", "left_anti").select("o_orderkey", "o_custkey")
-
-
 @query("""
 WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER w AS n, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem
            WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice))
@@ -118,34 +111,6 @@ def last_duplicate_wins(spark, sf_dir):
     return rules.last_by(lines, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
 
-@query("""
-SELECT conv_id, count(DISTINCT turn) AS turns, count(DISTINCT turn) = max(turn) + 1 AND min(turn) = 0 AS complete, bool_and(text IS NOT NULL AND text <> '') AS all_said FROM conversations GROUP BY conv_id""")
-def universal_check(spark, sf_dir):
-    """Turns 0 to n - 1 are all there, and all say something."""
-    said = F.coalesce(F.col("text") != "", F.lit(False))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_distinct("turn").alias("turns"), ((F.count_distinct("turn") == F.max("turn") + 1) & (F.min("turn") == 0)).alias("complete"), F.bool_and(said).alias("all_said"))
-
-
-@query("""
-SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'issues_found' WHEN quality IS NULL OR quality = 0 OR length(text) < 200 THEN 'needs_review' ELSE 'passed' END AS outcome,
-       least(coalesce(quality, 0)::DOUBLE, least(1.0, length(text) / 1000.0)::DOUBLE) AS confidence
-FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
-def verdict_ladder(spark, sf_dir):
-    """Issues, else anything incomplete, else passed."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")).join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    complete = (F.coalesce("quality", F.lit(0)) != 0) & (F.col("n") >= 200)
-    outcome = F.when(F.col("toxic") == 1, "issues_found").when(~F.coalesce(complete, F.lit(False)), "needs_review").otherwise("passed")
-    return d.select("doc_id", outcome.alias("outcome"), F.array_min(F.array(F.coalesce("quality", F.lit(0)).cast("double"), F.least(F.lit(1.0), F.col("n") / 1000.0))).alias("confidence"))
-
-
-@query("""
-SELECT user_id, count(DISTINCT (event_type, floor(value))) AS variants, count(DISTINCT (event_type, floor(value))) > 1 AS conflict, count(DISTINCT event_type) AS groups FROM events GROUP BY user_id""")
-def conflict_groups(spark, sf_dir):
-    """A4, A6."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.struct("event_type", F.floor("value").alias("v")).alias("pair"))
-    return e.groupBy("user_id").agg(F.count_distinct("pair").alias("variants"), (F.count_distinct("pair") > 1).alias("conflict"), F.count_distinct("event_type").alias("groups"))
-
-
 _CHUNKS = "SELECT source, doc_id, n_chars, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 6)::INTEGER AS batch FROM documents"
 
 
@@ -204,13 +169,6 @@ def like_ascii(spark, sf_dir):
     return parts.unionByName(table(spark, sf_dir, "customer").filter(text.like_ascii(F.col("c_name"), "R#0%1_3")).select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("key"), F.col("c_name").alias("name")))
 
 
-@query("SELECT event_type, event_id, rank::INTEGER AS rank FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rank FROM events WHERE value >= 1) WHERE rank <= 3")
-def claim_oldest(spark, sf_dir):
-    """O4, T-2: the three oldest of each type that are still due."""
-    rank = F.row_number().over(W.partitionBy("event_type").orderBy("ts", "event_id"))
-    return table(spark, sf_dir, "events").filter("value >= 1").withColumn("rank", rank).filter("rank <= 3").select("event_type", "event_id", "rank")
-
-
 @query("""
 WITH s AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type, count_if(event_type = 'error')::BIGINT AS attempts, max(ts) AS last_ts FROM events GROUP BY user_id),
 t AS (SELECT *, CASE last_type WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'queued' ELSE 'rendering' END AS status FROM s)
@@ -282,23 +240,6 @@ def report_text(spark, sf_dir):
     return r.select("r_regionkey", F.array_join(F.concat(F.array(F.lit("{")), titled, F.array(F.lit("}"))), "\n").alias("report"))
 
 
-@query("""
-SELECT o_orderstatus, count(*) AS orders, count_if(o_orderpriority = '1-URGENT')::BIGINT AS urgent, sum(CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE 1 END)::BIGINT AS issues FROM orders GROUP BY o_orderstatus""")
-def kpi_rollup(spark, sf_dir):
-    """A16, A17."""
-    issue = F.when(F.col("o_orderpriority") != "5-LOW", 1)
-    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"), F.sum(F.coalesce(issue, F.lit(0))).alias("issues"))
-
-
-@query("""
-SELECT vec_id, len(embedding) = 64 AS right_length, len(list_filter(embedding, lambda x: x IS NULL OR abs(x) > 0.25)) AS out_of_range, len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR abs(x) > 0.25)) = 0 AS valid FROM embeddings""")
-def embedding_contract(spark, sf_dir):
-    """Length and range of every element."""
-    bad = F.size(F.filter("embedding", lambda x: x.isNull() | (F.abs(x) > 0.25))).cast("long")
-    right = F.size("embedding") == 64
-    return table(spark, sf_dir, "embeddings").select("vec_id", right.alias("right_length"), bad.alias("out_of_range"), (right & (bad == 0)).alias("valid"))
-
-
 @query("""
 SELECT event_id, coalesce(json_keys(props) = ['k'], false) AS exact, json_extract_string(props, '$.k')::INTEGER AS k FROM events""")
 def props_contract(spark, sf_dir):
@@ -325,14 +266,6 @@ def newest_read(spark, sf_dir):
     return store.newest(table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
-@query("""
-SELECT DISTINCT 'legacy-' || sha256(c_name || chr(0) || c_custkey::VARCHAR) AS id, c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')""")
-def idempotent_import(spark, sf_dir):
-    """Customers without a finished urgent order, imported once each under a hashed id."""
-    new = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").filter("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
-    return new.select(misc.legacy_id(F.col("c_name"), F.col("c_custkey").cast("string")).alias("id"), "c_custkey").dropDuplicates(["id"])
-
-
 @query("""
 SELECT o_orderkey, greatest(1, ceil(200.0::DOUBLE * (p_size * 10.0::DOUBLE / 200.0::DOUBLE) * (200.0::DOUBLE / 72)))::INTEGER AS crop_width, round(least(2.0::DOUBLE, 1800.0::DOUBLE / greatest(600 + p_size * 40, 800)), 6) AS page_scale FROM orders JOIN part ON p_partkey = o_orderkey""")
 def render_geometry(spark, sf_dir):

@@ -16,6 +16,7 @@ import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright import schemas
@@ -141,12 +142,46 @@ def recovered(tasks: DataFrame, now: str) -> DataFrame:
     })
 
 
-def retried(tasks: DataFrame, owner: str, task: str, now: str) -> DataFrame:
-    """T-6: a finished task of the owner whose file is still there, as new."""
+def retried(tasks: DataFrame, asked: list[tuple[str, str]], now: str) -> DataFrame:
+    """T-6: of the tasks asked for as (owner, id) the finished ones of that owner whose file is still there, as new."""
     usable = F.col("pdf_path").isNotNull() & F.col("pdf_deleted_at").isNull() & (F.col("pdf_expires_at").isNull() | (F.col("pdf_expires_at") > now))
     cleared = {c: null() for c in ("outcome", "model", "summary_json", "report_json", "report_text", "error_code", "error_message", "started_at", "completed_at")}
     zero = {"status": F.lit("queued"), "progress": F.lit(0), "processed_pages": F.lit(0), "total_pages": null("int"), "issue_count": null("int"), "attempt_count": F.lit(0), "updated_at": F.lit(now)}
-    return tasks.filter((F.col("id") == task) & (F.col("owner_email") == owner) & terminal() & usable).withColumns(cleared | zero)
+    by_owner: dict[str, list[str]] = {}
+    for owner, task in asked:
+        by_owner.setdefault(owner, []).append(task)
+    theirs = F.lit(False)
+    for owner, ids in by_owner.items():
+        theirs = theirs | ((F.col("owner_email") == owner) & F.col("id").isin(ids))
+    return tasks.filter(theirs & terminal() & usable).withColumns(cleared | zero)
+
+
+def deletable(tasks: DataFrame, owner: str, ids: list[str]) -> DataFrame:
+    """T-7: the owner's tasks among at most MAX_BATCH_DELETE ids; blocked, all of them, when one is still active."""
+    ids = list(dict.fromkeys(ids))
+    if not 1 <= len(ids) <= MAX_BATCH_DELETE:
+        raise ValueError(f"1 to {MAX_BATCH_DELETE} ids")
+    rows = tasks.filter((F.col("owner_email") == owner) & F.col("id").isin(ids))
+    return rows.withColumn("blocked", F.bool_or(~terminal()).over(W.partitionBy("owner_email")))
+
+
+def prunable(claims: DataFrame, tasks: DataFrame, stale_before: str) -> DataFrame:
+    """Old claims on files that no task names."""
+    return claims.filter(F.col("claimed_at") <= stale_before).join(tasks.filter("pdf_path is not null").select("pdf_path"), "pdf_path", "left_anti")
+
+
+def orphans(files: DataFrame, tasks: DataFrame, claims: DataFrame, modified_before: dt.datetime) -> DataFrame:
+    """files(path, modified) that are old, named by no task and claimed by nobody."""
+    old = files.filter(F.col("modified") < F.lit(modified_before))
+    for names in (tasks.filter("pdf_path is not null"), claims):
+        old = old.join(names.select(F.col("pdf_path").alias("path")), "path", "left_anti")
+    return old
+
+
+def waiting(queued: DataFrame, most: int) -> DataFrame:
+    """The oldest files of queued(pdf_path, queued_at), each under its first time, with their place."""
+    first = queued.groupBy("pdf_path").agg(F.min("queued_at").alias("queued_at")).orderBy("queued_at", "pdf_path").limit(most)
+    return first.withColumn("place", F.row_number().over(W.orderBy("queued_at", "pdf_path"))).select("pdf_path", F.col("place").cast("long"))  # at most `most` rows
 
 
 def expired(tasks: DataFrame, now: str) -> DataFrame:
@@ -337,7 +372,7 @@ class TaskLog:
             return self.tasks.append(recovered(self.tasks.rows(), now))
 
     def retry(self, owner: str, task: str, now: str) -> bool:
-        return bool(self._change(lambda t: retried(t, owner, task, now)))
+        return bool(self._change(lambda t: retried(t, [(owner, task)], now)))
 
     def list(self, owner: str, *, query=None, created_from=None, created_to=None, cursor=None, limit=DEFAULT_LIMIT, now: str | None = None) -> tuple[list[dict], str | None]:
         """O3: a page of summaries and the next cursor; the cursor is the id of the last task shown."""
@@ -353,12 +388,9 @@ class TaskLog:
 
     def delete(self, owner: str, ids: list[str], now: str) -> int | None:
         """T-7: all finished tasks among the ids, or None and nothing when one is still active; their files are queued for deletion."""
-        ids = list(dict.fromkeys(ids))
-        if not 1 <= len(ids) <= MAX_BATCH_DELETE:
-            raise ValueError("1 to 100 ids")
         with self.lock:
-            rows = self.tasks.rows().filter((F.col("owner_email") == owner) & F.col("id").isin(ids)).collect()
-            if any(r["status"] not in schemas.TERMINAL_STATUSES for r in rows):
+            rows = deletable(self.tasks.rows(), owner, ids).collect()  # at most MAX_BATCH_DELETE
+            if any(r["blocked"] for r in rows):
                 return None
             if rows:
                 waiting = {r["pdf_path"] for r in self.pending.rows().collect()}
