@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewright.shipping import materialize, scratch_dir, ship
 
-__all__ = ["LOWER", "NON_WORD", "SPACE", "fold", "hash_sample_bound", "materialize", "mix", "per_row", "scratch_dir", "ship", "span_hashes", "table", "text_chunks", "words"]
+__all__ = ["LOWER", "NON_WORD", "SPACE", "fold", "hash_sample_bound", "materialize", "mix", "one_text_a_document", "per_row", "scratch_dir", "ship", "span_hashes", "table", "text_chunks", "words"]
 
 #: Documents of one vectorised step hold about this many bytes together (a longer text is its own step).
 CHUNK_BYTES = 1 << 20
@@ -27,10 +27,26 @@ def fold(key: str, folds: int) -> Column:
 
 
 def hash_sample_bound(keys: DataFrame, key: str, size: int) -> int | None:
-    """The largest xxhash64(key) among the `size` smallest, so that a filter on it gives a uniform bounded sample.
-    None when there are no rows. Only the hash is sorted, never a text."""
+    """The largest xxhash64(key) among the `size` smallest different ones, so that a filter on it gives a uniform bounded sample.
+    None when there are no rows.
+
+    The rows are counted first and all but about `size` are filtered out by their hash, so no task gets a share of every partition."""
     h = keys.select(F.xxhash64(key).alias("h"))
-    return h.orderBy("h").limit(size).agg(F.max("h")).first()[0]
+    n = h.count()
+    wanted = size + 6 * size**0.5 + 64
+    while n:
+        few = h if wanted >= n else h.filter(F.col("h") <= int(-(2**63) + wanted / n * 2**64))
+        got = few.distinct().orderBy("h").limit(size).agg(F.max("h"), F.count(F.lit(1))).first()
+        if wanted >= n or got[1] == size:
+            return got[0]
+        wanted *= 8  # many rows of one key
+    return None
+
+
+def one_text_a_document(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, the carried columns and text of one row of each doc_id: that with the smallest hash, whatever the order of the rows."""
+    whole = F.struct(F.xxhash64("text", *carried).alias("h"), "text", *carried)
+    return docs.groupBy("doc_id").agg(F.min(whole).alias("__tw_row")).select("doc_id", *[F.col(f"__tw_row.{c}").alias(c) for c in (*carried, "text")])
 
 
 # --- vectorised text ---------------------------------------------------------------------------

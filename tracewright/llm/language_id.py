@@ -3,10 +3,11 @@
 Features are hashed character 1- to 3-grams of the lower-cased text: count / length x idf. The sparse weights are
 learned by follow-the-regularised-leader with an L1 and an L2 penalty, and the softmax is calibrated by a
 temperature fitted on rows kept out of the learning. A feature is linear in the positions of a text, so whole
-texts are scored by gathering idf x weight for each position and summing, without per-document dictionaries.
+texts are scored by gathering idf x weight for each position and summing, without per-document dictionaries; a long text is
+summed in steps, so that memory doesn't grow with it. Learning reads at most SAMPLE_CHARS characters of a text: all, or WINDOWS windows spread evenly over it.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; so is every text when no row could be
-learned from. Repeated rows are answered each. Extra columns are ignored. Of equal scores the first language by
+learned from. Repeated rows are answered each; of several rows with one id one is learned from. Extra columns are ignored. Of equal scores the first language by
 name wins.
 """
 
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import common
@@ -24,21 +25,25 @@ from tracewright.llm import common
 BITS, ORDERS = 15, 3
 WIDTH = 1 << BITS
 NONE = ORDERS * WIDTH
-#: Learning reads a bounded, uniform sample of the labelled rows: so many, each of at most so many characters.
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 20_000
+#: Learning reads a bounded, uniform sample of the labelled rows: so many, and of each at most so many characters, in windows if it has more.
+SAMPLE_ROWS, SAMPLE_CHARS, WINDOWS = 3000, 20_000, 8
 SCALE = 30.0
 #: Characters that are scored in one vectorised step.
 STEP = 400_000
 _SALT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
+def lowered(text: str) -> str:
+    return text.replace("\0", " ").lower()
+
+
 def grams(text: str) -> list[np.ndarray]:
-    """For each order, the feature of the n-gram that begins at each character; NONE where it would meet NUL, which ends each text."""
-    chars = np.frombuffer((text.lower() + "\0").encode("utf-32-le", "replace"), np.uint32)
+    """For each order, the feature of the n-gram that begins at each character of a lowered text; NONE where it would meet NUL or the end."""
+    chars = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     out, hashed, bad = [], np.zeros(len(chars), np.uint32), np.zeros(len(chars), bool)
     for order in range(ORDERS):
         ahead = np.zeros(len(chars), np.uint32)
-        ahead[: len(chars) - order] = chars[order:]
+        ahead[: max(0, len(chars) - order)] = chars[order:]
         bad |= ahead == 0
         hashed = (hashed ^ (ahead * _SALT[order])) * np.uint32(0x01000193)
         code = ((hashed ^ (hashed >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BITS)
@@ -60,13 +65,17 @@ class LanguageModel:
             while last < len(texts) and (last == first or size + len(texts[last]) < STEP):
                 size += len(texts[last]) + 1
                 last += 1
-            lowered = [t.replace("\0", " ").lower() for t in texts[first:last]]
-            lengths = np.array([len(t) + 1 for t in lowered])
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            scores = 0
-            for codes in grams("\0".join(lowered)):
-                scores = scores + np.add.reduceat(self.table[codes], starts, axis=0)
-            out[first:last] = scores * (SCALE / np.maximum(lengths - 1, 1))[:, None]
+            low = [lowered(t) for t in texts[first:last]]
+            lengths = np.array([len(t) + 1 for t in low])
+            starts, joined = np.cumsum(lengths) - lengths, "\0".join(low) + "\0"
+            for at in range(0, len(joined), STEP):
+                piece = joined[at : at + STEP + ORDERS - 1]
+                n = min(STEP, len(joined) - at)
+                rows = slice(int(np.searchsorted(starts, at, "right")) - 1, int(np.searchsorted(starts, at + n)))
+                cuts = np.maximum(starts[rows] - at, 0)
+                for codes in grams(piece):
+                    out[first + rows.start : first + rows.stop] += np.add.reduceat(self.table[codes[:n]], cuts, axis=0, dtype=np.float64)
+            out[first:last] *= (SCALE / np.maximum(lengths - 1, 1))[:, None]
             first = last
         return out / self.temperature
 
@@ -86,8 +95,9 @@ def learn(texts: list[str], langs: list[str], *, epochs: int = 4, alpha: float =
     if not names:
         return LanguageModel([], np.zeros((NONE + 1, 0), np.float32), 1.0)
     rows = []
+    texts = [lowered(t) for t in texts]
     for t in texts:
-        codes = np.concatenate(grams(t.replace("\0", " ")))
+        codes = np.concatenate(grams(t))
         ids, counts = np.unique(codes[codes != NONE], return_counts=True)
         rows.append((ids, counts * (SCALE / max(1, len(t)))))
     target = np.array([names.index(x) for x in langs])
@@ -126,14 +136,22 @@ def learn(texts: list[str], langs: list[str], *, epochs: int = 4, alpha: float =
     return model
 
 
+def windows(text: Column, chars: int, n: int = WINDOWS) -> Column:
+    """The text, or if it has more than `chars` characters, n windows of chars / n spread evenly over it, one a line."""
+    wide = chars // n
+    step = (F.length(text) - wide) / (n - 1)
+    parts = [F.substring(text, F.floor(step * k).cast("int") + 1, F.lit(wide - 1)) for k in range(n)]
+    return F.when(F.length(text) > chars, F.concat_ws("\n", *parts)).otherwise(text)
+
+
 def train(docs: DataFrame, *, folds: int = 4, held: int = 2, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> LanguageModel:
     """Learn from a uniform sample (by hash of doc_id) of at most `rows` labelled rows outside the held-out fold."""
     usable = docs.filter(F.col("lang").isNotNull() & (common.fold("doc_id", folds) != held))
     bound = common.hash_sample_bound(usable, "doc_id", rows)
     if bound is None:
         return learn([], [])
-    sample = usable.filter((F.xxhash64("doc_id") <= bound) & F.col("text").rlike("\\p{L}") & (F.length("text") <= chars))
-    got = sorted((r["text"], r["lang"]) for r in sample.select("text", "lang").limit(rows).collect())
+    sample = usable.filter((F.xxhash64("doc_id") <= bound) & F.col("text").rlike("\\p{L}")).select("doc_id", "lang", windows(F.col("text"), chars).alias("text"))
+    got = sorted((r["text"], r["lang"]) for r in common.one_text_a_document(sample, "lang").collect())
     return learn([t for t, _ in got], [x for _, x in got])
 
 
@@ -161,7 +179,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str, *, least: float = 0.5) -> DataFrame:
-    """Keep the rows whose text has a language recognised with a score of at least `least`; columns stay."""
+    """Keep the rows whose text has a language recognised with a score of at least `least`; columns stay. Null texts and texts without a letter go; an empty table stays empty."""
     common.ship(spark)
     model = train(docs)
     shared = spark.sparkContext.broadcast(model)
