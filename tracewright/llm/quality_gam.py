@@ -8,7 +8,7 @@ entries: bin numbers by binary search, one gather and addition a table, for all
 The features describe form, not topic: shares of kinds of characters, lengths of words and lines, repetition.
 
 Defined cases: a null or empty text has all features 0 and is scored like any other. Without a labelled row every
-score is 0.5. A document labelled more than once counts as the mean of its labels. Null labels and labels of other
+score is 0.5. A document labelled more than once counts as the mean of its labels; of several texts with one id one is learned from. Null labels and labels of other
 documents are left out. Repeated rows are scored each. Extra columns are ignored.
 """
 
@@ -206,7 +206,8 @@ def train(docs: DataFrame, labels: DataFrame, *, target: str = "quality", rows:
     if sample is None:
         return AdditiveModel()
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most `rows` pairs of numbers
-    got = sorted((r["__tw_label"] >= 0.5, r["x"]) for r in _featured(chosen, ["__tw_label"]).limit(2 * rows).collect())
+    chosen = common.one_text_a_document(chosen, "__tw_label")
+    got = sorted((r["__tw_label"] >= 0.5, r["x"]) for r in _featured(chosen, ["__tw_label"]).collect())
     return learn(np.array([v for _, v in got]), np.array([y for y, _ in got], float)) if got else AdditiveModel()
 
 
@@ -226,7 +227,7 @@ def score_quality(docs: DataFrame, model: AdditiveModel, *, threshold: float = T
 
 
 def stage(spark, docs: DataFrame, sf_dir: str, *, threshold: float = THRESHOLD) -> DataFrame:
-    """Keep the rows that score at least the threshold; columns stay."""
+    """Keep the rows that score at least the threshold; columns stay. Null and empty texts are scored like others; an empty table stays empty."""
     common.ship(spark)
     model = train(docs, common.table(spark, sf_dir, "labels"))
     shared = spark.sparkContext.broadcast(model)
