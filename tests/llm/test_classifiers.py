@@ -1,9 +1,12 @@
 import os
+import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import cases
+from pyspark.sql import functions as F
 
 from tracewright.llm import common, language_id, quality_gam, toxicity
 
@@ -57,9 +60,98 @@ def test_held_out_language(spark):
 
 @needs_data
 def test_held_out_toxicity(spark):
-    docs, known = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
-    p = toxicity.score_toxicity(docs, toxicity.train(docs, known)).join(known, "doc_id").toPandas()
-    assert p.loc[p["toxic"] == 0, "predicted"].mean() < 0.02 and p.loc[p["toxic"] == 1, "score"].mean() > 3 * p.loc[p["toxic"] == 0, "score"].mean()
+    docs, known = common.table(spark, "/root/testdata/sf0.1", "documents"), common.table(spark, "/root/testdata/sf0.1", "labels")
+    p = toxicity.score_toxicity(docs, toxicity.train(docs, known)).filter("held_out").join(known, "doc_id").toPandas()
+    toxic, caught = p["toxic"] == 1, p["predicted"] == 1
+    assert toxic.sum() >= 20 and (toxic & caught).sum() >= 0.8 * toxic.sum() and (toxic & caught).sum() >= 0.95 * caught.sum()
+
+
+def toxic_texts():
+    texts = [f"you {g} idiot {cases.prose(i, 20)}." for i in range(30) for g in ("muslim", "gay")] + [f"the {g} people met {cases.prose(1000 + i, 20)}." for i in range(100) for g in ("christian", "straight")]
+    return texts, np.array([1.0] * 60 + [0.0] * 200)
+
+
+def test_toxicity_by_hand(spark):
+    """Words, swaps and scores by plain Python; learning where the rows are gives the model of learning at hand."""
+    texts, y = toxic_texts()
+    docs = cases.docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    keep = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5]
+    far = toxicity.train(docs, labels(spark, [(i, 1, int(y[i])) for i in range(len(texts))]))
+    near = toxicity.learn([texts[i] for i in keep], y[keep])
+    assert set(far.hashes.tolist()) == set(near.hashes.tolist()) and np.allclose(far.weights, near.weights, atol=1e-3) and abs(far.bias - near.bias) < 1e-3
+    weight = dict(zip(near.hashes.tolist(), near.weights, strict=True))
+    of = {w: int(h) for w in {w for t in texts for w in re.findall(r"\w+", t.lower())} for *_, hs in toxicity.row_words(pa.array([w])) for h in hs}
+    for t, got in zip(texts, near.score(pa.array(texts)), strict=True):
+        assert abs(1 / (1 + np.exp(-near.bias - sum(weight.get(of[w], 0.0) for w in set(re.findall(r"\w+", t.lower()))))) - got) < 1e-9
+    moments, n = toxicity.swap_moments(texts[:40])
+    m = np.zeros((len(toxicity.TERMS),) * 2)
+    pairs = [(s, o) for t in texts[:40] for s in t.split(".") for o in toxicity.swapped(s)]
+    for s, o in pairs:
+        holds = lambda x: np.array([w in x.lower().split() for w in toxicity.TERMS], float)
+        d = holds(s) - holds(o)
+        m += np.outer(d, d)
+    assert n == len(pairs) and moments == {(i, j): int(m[i, j]) for i, j in zip(*np.nonzero(m), strict=True)}
+
+
+def test_toxicity_gradient():
+    rng = np.random.default_rng(3)
+    x, y, w = rng.integers(0, 2, (40, 6)).astype(float), rng.integers(0, 2, 40).astype(float), rng.normal(size=6)
+    d = rng.integers(-1, 2, (9, 6))
+    at = lambda w, b: toxicity.loss(w, b, x, y, d.T @ d / 9, 1.5, 0.1)
+    _, g, gb = at(w, 0.3)
+    for k in range(6):
+        e = np.eye(6)[k] * 1e-5
+        assert abs((at(w + e, 0.3)[0] - at(w - e, 0.3)[0]) / 2e-5 - g[k]) < 1e-6
+    assert abs((at(w, 0.3 + 1e-5)[0] - at(w, 0.3 - 1e-5)[0]) / 2e-5 - gb) < 1e-6
+
+
+def grams_by_hand(text):
+    chars = [ord(c) for c in text.replace("\0", " ").lower()]
+    for order in range(1, language_id.ORDERS + 1):
+        for i in range(len(chars) - order + 1):
+            h = 0
+            for k in range(order):
+                h = ((h ^ (chars[i + k] * int(language_id._SALT[k]) & 0xFFFFFFFF)) * 0x01000193) & 0xFFFFFFFF
+            yield (((h ^ (h >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF) >> (32 - language_id.BITS)) + (order - 1) * language_id.WIDTH
+
+
+def test_language_scores_by_hand(monkeypatch):
+    """Logits as sums over a text's n-grams, the same in steps of any size, for long, empty and odd texts."""
+    rng = np.random.default_rng(4)
+    table = rng.normal(size=(language_id.NONE + 1, 3)).astype(np.float32)
+    table[language_id.NONE] = 0
+    model = language_id.LanguageModel(["a", "b", "c"], table, 1.7)
+    texts = ["Hello World", "é\0x", "", "日本 \U0001F600", cases.prose(3, 400), "a"]
+    want = []
+    for t in texts:
+        total = sum((table[g].astype(float) for g in grams_by_hand(t)), np.zeros(3))
+        want.append(total * language_id.SCALE / max(len(t), 1) / 1.7)
+    for step in (400_000, 7, 64):
+        monkeypatch.setattr(language_id, "STEP", step)
+        assert np.allclose(model.logits(texts), want, atol=1e-4)
+
+
+def test_language_learning_reads_windows_of_long_texts(spark):
+    text = "".join(chr(97 + i // 1000 % 26) for i in range(50_000))
+    got = spark.createDataFrame([(text,), ("short",), (None,)], "text string").select(language_id.windows(F.col("text"), 800, 8).alias("w")).collect()
+    assert [r["w"] for r in got][1:] == ["short", None]
+    parts = got[0]["w"].split("\n")
+    assert len(got[0]["w"]) <= 800 and len(parts) == 8 and parts[0][0] == text[0] and parts[-1][-1] == text[-1] and all(p in text for p in parts)
+
+
+def test_samples_do_not_depend_on_the_order_of_rows(spark):
+    """Repeated ids with several texts: the same model from any order; the bound is that of the smallest hashes."""
+    rows = [(i % 40, cases.prose(i, 30) + (" idiot" if i % 40 < 12 else ""), "s") for i in range(400)]
+    known = labels(spark, [(i, i % 2, int(i < 12)) for i in range(40)])
+    docs = cases.docs(spark, rows)
+    for train in (lambda d: quality_gam.train(d, known, rows=25).bias, lambda d: toxicity.train(d, known, rows=25).weights.tolist(), lambda d: language_id.train(d, rows=25).table.sum()):
+        assert train(docs) == train(docs.repartition(5, "text"))
+    hashes = sorted(r["h"] for r in docs.selectExpr("xxhash64(doc_id) as h").distinct().collect())
+    for size in (1, 5, 39, 40, 1000):
+        assert common.hash_sample_bound(docs, "doc_id", size) == hashes[min(size, 40) - 1]
+    many = spark.range(200_000)
+    assert many.filter(F.xxhash64("id") <= common.hash_sample_bound(many, "id", 500)).count() == 500
+    assert common.hash_sample_bound(many.limit(0), "id", 5) is None
 
 
 def test_neutral_mentions_move_scores_less_with_the_penalty():

@@ -7,9 +7,12 @@ occur only in toxic texts keep their weight.
 
 Words are runs of ASCII letters, digits, `_` and non-ASCII characters, with A-Z lower-cased, known by a 64-bit hash.
 
+Scale: words are counted, and swaps summed, where the sampled texts are; the driver gets at most MAX_FEATURES words, SAMPLE_ROWS sets of
+them, and one number for each two identity terms. Whole texts are learned from and scored, however long.
+
 Defined cases: a null or empty text has the score of the bias alone. Without labelled rows every score is the prior
-0 (nothing is known to be toxic). A document labelled more than once counts as the mean of its labels. Repeated
-rows are scored each; extra columns are ignored.
+0 (nothing is known to be toxic). A document labelled more than once counts as the mean of its labels; of several
+texts with one id one is learned from. Repeated rows are scored each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +45,8 @@ IDENTITY_TERMS = {
     "religions_es": "cristianos musulmanes judíos hindúes budistas".split(),
 }
 _KIND = {t: k for k, terms in IDENTITY_TERMS.items() for t in terms}
-SAMPLE_ROWS, SAMPLE_CHARS = 12_000, 20_000
+TERMS = sorted(_KIND)
+SAMPLE_ROWS = 12_000
 MAX_FEATURES = 2000
 THRESHOLD = 0.5
 _SENTENCE = re.compile(r"(?<=[.!?\n])")
@@ -95,67 +99,147 @@ def present(row: np.ndarray, hashes: np.ndarray, known: np.ndarray) -> tuple[np.
     return keys // len(known), keys % len(known)
 
 
-def _matrix(texts: list[str], known: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(texts), len(known)), np.float32)
-    for at, _, row, hashes in row_words(pa.array(texts, pa.string())):
-        r, f = present(row, hashes, known)
-        x[at + r, f] = 1
-    return x
-
-
-def select_words(texts: list[str], y: np.ndarray, *, least: int = 4, z: float = 3.0, most: int = MAX_FEATURES) -> np.ndarray:
-    """Hashes of words whose presence differs between the classes (log odds over its deviation), and of the identity terms."""
-    terms = np.concatenate([h for *_, h in row_words(pa.array(list(_KIND), pa.string()))])
-    keys, labels = [], []
-    for at, _, row, hashes in row_words(pa.array(texts, pa.string())):
+def word_sets(column: pa.Array) -> list[np.ndarray]:
+    """The distinct hashes of each row's words, ascending."""
+    out = []
+    for _, n, row, hashes in row_words(column):
         order = np.lexsort((hashes, row))
         row, hashes = row[order], hashes[order]
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
-        keys.append(hashes[new])
-        labels.append(y[at + row[new]])
-    if not keys:
-        return np.unique(terms)
-    word, at = np.unique(np.concatenate(keys), return_inverse=True)
-    toxic = np.bincount(at, np.concatenate(labels), len(word))
-    clean = np.bincount(at, minlength=len(word)) - toxic
-    a, b, n1, n0 = toxic + 0.5, clean + 0.5, y.sum() + 1, len(y) - y.sum() + 1
-    score = (np.log(a / np.maximum(n1 - toxic, 0.5)) - np.log(b / np.maximum(n0 - clean, 0.5))) / np.sqrt(1 / a + 1 / b)
-    usable = np.flatnonzero((toxic + clean >= least) & (np.abs(score) >= z))
-    return np.unique(np.concatenate([word[usable[np.argsort(-np.abs(score[usable]), kind="stable")[:most]]], terms]))
+        row, hashes = row[new], hashes[new]
+        out += np.split(hashes, np.searchsorted(row, np.arange(1, n)))
+    return out
 
 
-def learn(texts: list[str], y: np.ndarray, *, counterfactual: float = 1.0, l2: float = 0.0002, steps: int = 500, rate: float = 0.05) -> ToxicityModel:
-    if not len(texts):
-        return ToxicityModel()
-    known = select_words(texts, y)
-    x = _matrix(texts, known)
-    pairs = [(s, t) for text in texts for s in _SENTENCE.split(text) for t in swapped(s)]
-    change = _matrix([s for s, _ in pairs], known) - _matrix([t for _, t in pairs], known) if pairs else np.zeros((0, len(known)), np.float32)
-    p0 = (y.sum() + 0.5) / (len(y) + 1)
+def term_hashes() -> np.ndarray:
+    """A hash for each of TERMS."""
+    return np.concatenate([h for *_, h in row_words(pa.array(TERMS, pa.string()))])
+
+
+def swap_moments(texts: list[str | None]) -> tuple[dict[tuple[int, int], int], int]:
+    """The sum, over all swapped sentences, of the products of their changes in two terms (numbers in TERMS), and how many there are.
+
+    A swap only adds and removes identity terms, so this square matrix is all that the penalty needs of the sentences."""
+    number, total, n = {t: i for i, t in enumerate(TERMS)}, {}, 0
+    of = lambda s: {number[w] for w in (m[0].lower() for m in _WORD.finditer(s)) if w in number}
+    for text in texts:
+        for sentence in _SENTENCE.split(text or ""):
+            had = of(sentence)
+            for other in swapped(sentence) if had else []:
+                n += 1
+                has = of(other)
+                change = [(i, 1) for i in had - has] + [(i, -1) for i in has - had]
+                for i, a in change:
+                    for j, b in change:
+                        total[i, j] = total.get((i, j), 0) + a * b
+    return total, n
+
+
+def select_words(words: np.ndarray, toxic: np.ndarray, held: np.ndarray, n_toxic: float, n: int, *, least: int = 4, z: float = 3.0, most: int = MAX_FEATURES) -> np.ndarray:
+    """Hashes of the words whose presence differs between the classes (log odds over its deviation), and of the identity terms.
+
+    words are in `held` texts, `toxic` of them toxic; n_toxic of the n texts are."""
+    clean = held - toxic
+    a, b, n1, n0 = toxic + 0.5, clean + 0.5, n_toxic + 1, n - n_toxic + 1
+    score = (np.log(a / np.maximum(n1 - toxic, 0.5)) - np.log(b / np.maximum(n0 - clean, 0.5))) / np.sqrt(1 / a + 1 / b)
+    usable = np.flatnonzero((held >= least) & (np.abs(score) >= z))
+    order = np.lexsort((words[usable], -np.abs(score[usable])))[:most]
+    return np.unique(np.concatenate([words[usable[order]], term_hashes()]))
+
+
+def loss(w: np.ndarray, bias: float, x: np.ndarray, y: np.ndarray, moments: np.ndarray, counterfactual: float, l2: float) -> tuple[float, np.ndarray, float]:
+    """What learning minimises, with its gradient by the weights and by the bias: log loss, ridge, and w' moments w."""
+    z = np.clip(x @ w + bias, -40, 40)
+    error = 1 / (1 + np.exp(-z)) - y
+    pull = moments @ w
+    value = float(np.mean(np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - y * z)) + 0.5 * l2 * float(w @ w) + counterfactual * float(w @ pull)
+    return value, error @ x / len(x) + l2 * w + 2 * counterfactual * pull, float(error.mean())
+
+
+def fit(known: np.ndarray, sets: list[np.ndarray], y: np.ndarray, moments: dict[tuple[int, int], int], pairs: int, *, counterfactual: float = 1.0, l2: float = 0.0002, steps: int = 500, rate: float = 0.05) -> ToxicityModel:
+    """The model over the known words for texts that hold sets of them (places in known)."""
+    x = np.zeros((len(sets), len(known)), np.float32)  # at most SAMPLE_ROWS x (MAX_FEATURES + identity terms)
+    for row, s in zip(x, sets, strict=True):
+        row[s] = 1
+    place = np.searchsorted(known, term_hashes())
+    swaps = np.zeros((len(known), len(known)), np.float32)
+    for (i, j), c in moments.items():
+        swaps[place[i], place[j]] += c / pairs
+    y, p0 = y.astype(np.float32), (y.sum() + 0.5) / (len(y) + 1)
     w, bias = np.zeros(len(known), np.float32), float(np.log(p0 / (1 - p0)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        error = (1 / (1 + np.exp(-np.clip(x @ w + bias, -40, 40))) - y).astype(np.float32)
-        g = error @ x / len(x) + l2 * w
-        if len(change):
-            g += 2 * counterfactual * ((change @ w) @ change) / len(change)
-        gb = float(error.mean())
+        _, g, gb = loss(w, bias, x, y, swaps, counterfactual, l2)
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         lr = rate * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
-        w -= lr * m / (np.sqrt(v) + 1e-8)
+        w -= (lr * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
         bias -= lr * mb / (np.sqrt(vb) + 1e-8)
     return ToxicityModel(bias, known, w.astype(float))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, counterfactual: float = 1.0) -> ToxicityModel:
-    """Learn from at most `rows` labelled texts of at most `chars` characters, drawn by hash of doc_id outside the held-out fold."""
+def learn(texts: list[str], y: np.ndarray, **options) -> ToxicityModel:
+    """train() for texts at hand."""
+    if not len(texts):
+        return ToxicityModel()
+    sets = word_sets(pa.array(texts, pa.string()))
+    words, at = np.unique(np.concatenate(sets), return_inverse=True)
+    labels = np.repeat(y, [len(s) for s in sets])
+    known = select_words(words, np.bincount(at, labels, len(words)), np.bincount(at, minlength=len(words)), y.sum(), len(y))
+    places = [np.searchsorted(known, np.intersect1d(s, known)) for s in sets]
+    return fit(known, places, y, *swap_moments(texts), **options)
+
+
+def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, counterfactual: float = 1.0) -> ToxicityModel:
+    """Learn from at most `rows` labelled texts, drawn by hash of doc_id outside the held-out fold."""
+    common.ship(docs.sparkSession)
     sample = labelled(labels, "toxic", rows=rows)
     if sample is None:
         return ToxicityModel()
-    chosen = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= chars)).join(F.broadcast(sample), "doc_id")
-    got = sorted((r["text"], r["__tw_label"] >= 0.5) for r in chosen.select("text", "__tw_label").limit(rows).collect())
-    return learn([t for t, _ in got], np.array([x for _, x in got], float), counterfactual=counterfactual)
+    chosen = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id")  # at most `rows` pairs of numbers
+    chosen = common.one_text_a_document(chosen, "__tw_label").select((F.col("__tw_label") >= 0.5).alias("toxic"), "text")
+    chosen = common.materialize(chosen, "toxic-sample")
+    n, n_toxic = chosen.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("toxic").cast("int")), F.lit(0))).first()
+    if not n:
+        return ToxicityModel()
+
+    def hashed(batches):
+        for batch in batches:
+            sets = word_sets(batch.column(1))
+            blobs = pa.array(np.concatenate(sets).view(np.int64)) if sets else pa.array([], pa.int64())
+            ends = np.cumsum([0, *map(len, sets)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), blobs)], ["toxic", "words"])
+
+    def moments(batches):
+        for batch in batches:
+            total, pairs = swap_moments(batch.column(1).to_pylist())
+            entries = [(-1, -1, pairs), *((i, j, c) for (i, j), c in total.items())]
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in entries], pa.int64()) for k in range(3)], ["i", "j", "c"])
+
+    counts = chosen.mapInArrow(hashed, "toxic boolean, words array<long>").select("toxic", F.explode("words").alias("word")).groupBy("word")
+    counts = counts.agg(F.count(F.lit(1)).alias("held"), F.sum(F.col("toxic").cast("int")).alias("toxic")).filter("held >= 4")
+    words, toxic, held = _strongest(counts, n_toxic, n)
+    known = select_words(words, toxic, held, n_toxic, n)
+    swaps = {(r["i"], r["j"]): r["c"] for r in chosen.mapInArrow(moments, "i long, j long, c long").groupBy("i", "j").agg(F.sum("c").alias("c")).collect()}
+    pairs = swaps.pop((-1, -1), 0)
+
+    def placed(batches):
+        for batch in batches:
+            sets = [np.searchsorted(known, np.intersect1d(s, known)).astype(np.int32).tobytes() for s in word_sets(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["toxic", "places"])
+
+    got = sorted((r["toxic"], bytes(r["places"])) for r in chosen.mapInArrow(placed, "toxic boolean, places binary").collect())
+    return fit(known, [np.frombuffer(p, np.int32) for _, p in got], np.array([t for t, _ in got], float), swaps, pairs, counterfactual=counterfactual)
+
+
+def _strongest(counts: DataFrame, n_toxic: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word, toxic, held of the MAX_FEATURES words that select_words() would take first."""
+    a, b = F.col("toxic") + 0.5, F.col("held") - F.col("toxic") + 0.5
+    in_toxic, in_clean = F.greatest(F.lit(n_toxic + 1) - F.col("toxic"), F.lit(0.5)), F.greatest(F.lit(n - n_toxic + 1) - (F.col("held") - F.col("toxic")), F.lit(0.5))
+    score = (F.log(a / in_toxic) - F.log(b / in_clean)) / F.sqrt(1 / a + 1 / b)
+    top = counts.withColumn("score", F.abs(score)).orderBy(F.desc("score"), "word").limit(MAX_FEATURES + 64).collect()  # with room for ties of rounding
+    number = lambda c, kind: np.array([r[c] for r in top], kind)
+    return number("word", np.int64).view(np.uint64), number("toxic", float), number("held", float)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, threshold: float = THRESHOLD) -> DataFrame:
