@@ -31,20 +31,39 @@ def _nfkc(values: pd.Series) -> pd.Series:
 
 
 @vectorised("array<string>")
-def norm_each(values: pd.Series) -> pd.Series:
-    """F1 of every element."""
+def _nfkc_each(values: pd.Series) -> pd.Series:
     return values.map(lambda v: [unicodedata.normalize("NFKC", x or "").strip(JS_SPACE) for x in v] if v is not None else None)
 
 
 @vectorised("array<string>")
-def document_warnings(values: pd.Series) -> pd.Series:
-    """Normalised, empty ones dropped, first occurrences only, cut to 500 UTF-16 units, the first 20."""
-
+def _clean_each(values: pd.Series) -> pd.Series:
     def clean(warnings):
         kept = dict.fromkeys(w for x in warnings if (w := unicodedata.normalize("NFKC", x or "").strip(JS_SPACE)))
         return [w.encode("utf-16-le", "surrogatepass")[:1000].decode("utf-16-le", "replace") for w in list(kept)[:20]]
 
-    return values.map(lambda v: clean(v) if v is not None else [])
+    return values.map(lambda v: clean(v) if v is not None else None)
+
+
+def _ascii(c: Column) -> Column:
+    return c.rlike("^[\\x00-\\x7f]*$")
+
+
+def _all_ascii(values: Column) -> Column:
+    return F.coalesce(F.forall(values, lambda x: x.isNull() | _ascii(x)), F.lit(True))
+
+
+def norm_each(values: Column) -> Column:
+    """F1 of every element."""
+    plain = _all_ascii(values)
+    return F.when(plain, F.transform(values, lambda x: js_trim(F.coalesce(x, F.lit(""))))).otherwise(_nfkc_each(F.when(~plain, values)))
+
+
+def document_warnings(values: Column) -> Column:
+    """Normalised, empty ones dropped, first occurrences only, cut to 500 UTF-16 units, the first 20; a null list is empty."""
+    plain = _all_ascii(values)
+    kept = F.array_distinct(F.filter(F.transform(values, lambda x: js_trim(F.coalesce(x, F.lit("")))), lambda w: w != ""))
+    fast = F.transform(F.slice(kept, 1, 20), lambda w: F.left(w, F.lit(500)))
+    return F.coalesce(F.when(plain, fast).otherwise(_clean_each(F.when(~plain, values))), F.array().cast("array<string>"))
 
 
 def stage_warnings(warnings: Column) -> Column:
@@ -64,7 +83,7 @@ def js_trim(c: Column) -> Column:
 def norm(c: Column) -> Column:
     """null is empty; NFKC; trimmed."""
     c = F.coalesce(c, F.lit(""))
-    plain = c.rlike("^[\\x00-\\x7f]*$")
+    plain = _ascii(c)
     return js_trim(F.when(plain, c).otherwise(_nfkc(F.when(~plain, c))))
 
 
