@@ -77,7 +77,7 @@ def test_retry_needs_the_file(log):
     log.claim(NOW)
     log.fail("t1", "PDF_INVALID", NOW)
     assert not log.retry("a@x", "t1", NOW)
-    assert [t["id"] for t in log.expired(NOW)] == ["t1"] and log.mark_deleted("t1", NOW) and not log.mark_deleted("t1", NOW)
+    assert [t["id"] for t in log.expired(NOW)] == ["t1"] and log.mark_deleted(["t1"], NOW) and not log.mark_deleted(["t1"], NOW)
     assert log.get("t1")["pdf_path"] is None
 
 
@@ -227,3 +227,16 @@ def test_audits_become_results(spark, log):
     plain = lambda row: [f.asDict() for f in row]
     done = {"outcome": r["outcome"], "report": {"certificateIssues": plain(r["certificate_issues"]), "resultIssues": plain(r["result_issues"]), "issues": plain(r["issues"]), "verificationNotices": plain(r["notices"])}, "report_text": r["report_text"], "summary": r["summary"].asDict()}
     assert log.complete("t1", done, NOW) and log.get("t1")["issue_count"] == 1
+
+
+def test_many_commits_become_one(log, monkeypatch):
+    """The log compacts itself, and a cleaning pass writes one commit a batch."""
+    monkeypatch.setattr(tasks, "MOST_COMMITS", 3)
+    for i in range(6):
+        add(log, f"c{i}")
+    assert len(log.tasks._commits()) <= 4 and log.tasks.rows().count() == 6
+    for i in range(5):
+        log.claim_orphans([f"/data/o{i}a", f"/data/o{i}b"], NOW)
+    assert log.claims.rows().count() == 10 and log.claim_orphans(["/data/o1a", "/data/new", "/data/new"], NOW) == ["/data/new"]
+    log.release_orphan("/data/new", "/data/o0a", "/data/o0b")
+    assert log.claims.rows().count() == 8 and len(log.claims._commits()) <= 4

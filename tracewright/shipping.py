@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,22 +29,54 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a private one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a private one only where that is unset and all runs in one process (tests)."""
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_tracewright_scratch", None)
     if not shared:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         shared = context._tracewright_scratch = tempfile.mkdtemp(prefix="tracewright-")
     return shared.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def _folder(spark: SparkSession) -> str:
+    """Where this application's tables are now written."""
+    context = spark.sparkContext
+    return "/".join([scratch_dir(spark), f"tracewright-{context.applicationId}", *getattr(context, "_tracewright_inside", [])])
+
+
+def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write df as a table in the shared scratch folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or _folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; results that were not written before are lost."""
+    _delete(spark, "/".join([scratch_dir(spark), f"tracewright-{spark.sparkContext.applicationId}"]))
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """Tables written within go when the block ends. Gives the folder outside, for what is to stay."""
+    context = spark.sparkContext
+    outside = _folder(spark)
+    context._tracewright_inside = [*getattr(context, "_tracewright_inside", []), f"passing-{uuid.uuid4().hex}"]
+    try:
+        yield outside
+    finally:
+        inside = _folder(spark)
+        context._tracewright_inside = context._tracewright_inside[:-1]
+        _delete(spark, inside)
+
+
 def vectorised(kind: str):
     """A pandas function as a Column function, made when it is first used in a session."""
 

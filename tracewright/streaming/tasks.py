@@ -14,6 +14,7 @@ import datetime as dt
 import json
 import threading
 import uuid
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tracewright import schemas
 from tracewright.functions.text import like_ascii
+from tracewright.shipping import materialize
 
 TASK = """id string, owner_email string, file_name string, file_size long, file_type string, pdf_path string, pdf_expires_at string, pdf_deleted_at string, status string,
 progress int, processed_pages int, total_pages int, outcome string, model string, issue_count int, summary_json string, report_json string, report_text string,
@@ -43,6 +45,8 @@ FAILURES = {
 }
 DEFAULT_LIMIT, MAX_LIMIT, MAX_BATCH_DELETE = 80, 200, 100
 ORPHAN_CLAIM_MINUTES, STALE_FILE_HOURS = 30, 1
+#: A log of more commits is compacted; a cleaning pass takes so many files at a time.
+MOST_COMMITS, CLEAN_BATCH = 64, 500
 
 
 def utc(at: dt.datetime) -> str:
@@ -289,22 +293,34 @@ class _Log:
         return last.filter(~F.col("t.gone")).select(*[F.col(c) if c == self.key else F.col(f"t.{c}") for c in self.names])
 
     def append(self, rows: DataFrame, gone: bool = False) -> int:
-        """One commit of changed rows; their number."""
+        """One commit of changed rows, in as many files as rows has partitions; their number. Many commits become one."""
         with self.lock:
             if self.seq is None:
                 events = self._events()
                 self.seq = (events.agg(F.max("seq")).first()[0] or 0) if events is not None else 0
             self.seq += 1
             at = f"{self.path}/commit-{self.seq:012d}-{uuid.uuid4().hex[:8]}"
-            changed = rows.select(*self.names).withColumns({"seq": F.lit(self.seq).cast("long"), "gone": F.lit(gone)})
-            changed.coalesce(1).write.parquet(at)
-            return self.spark.read.parquet(at).count()
+            rows.select(*self.names).withColumns({"seq": F.lit(self.seq).cast("long"), "gone": F.lit(gone)}).write.parquet(at)
+            changed = self.spark.read.parquet(at).count()  # from the files' footers
+            if len(self._commits()) > MOST_COMMITS:
+                self.compact()
+            return changed
+
+    def _commits(self) -> list:
+        """The paths of the commits, oldest first."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return sorted((s.getPath() for s in self._fs().listStatus(at)), key=lambda p: p.getName()) if self._fs().exists(at) else []
 
     def compact(self) -> None:
-        """Replace all commits by one with the current rows."""
+        """Replace all commits by one with the current rows. The oldest go first, so that a crash between brings no deleted row back."""
         with self.lock:
-            old = [s.getPath() for s in self._fs().listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(self.path))] if self._events() is not None else []
-            self.append(self.rows())
+            old = self._commits()
+            if not old:
+                return
+            self.seq = self.seq or self._events().agg(F.max("seq")).first()[0] or 0
+            self.seq += 1
+            whole = self.rows().withColumns({"seq": F.lit(self.seq).cast("long"), "gone": F.lit(False)})
+            whole.write.parquet(f"{self.path}/commit-{self.seq:012d}-{uuid.uuid4().hex[:8]}")
             for p in old:
                 self._fs().delete(p, True)
 
@@ -328,7 +344,7 @@ class TaskLog:
             return changed
 
     def _frame(self, rows: list[dict]) -> DataFrame:
-        return self.spark.createDataFrame([tuple(r.get(c) for c in TASK_COLUMNS) for r in rows], TASK)
+        return self.spark.createDataFrame([tuple(r.get(c) for c in TASK_COLUMNS) for r in rows], TASK).coalesce(1)  # a request's few rows
 
     def create(self, *, id: str, owner_email: str, file_name: str, file_size: int, file_type: str | None, pdf_path: str, pdf_expires_at: str, now: str) -> dict:
         """K2: a queued task; refused while its file is claimed for deletion."""
@@ -393,65 +409,81 @@ class TaskLog:
             if any(r["blocked"] for r in rows):
                 return None
             if rows:
-                waiting = {r["pdf_path"] for r in self.pending.rows().collect()}
-                files = [(r["pdf_path"], now) for r in rows if r["pdf_path"] is not None and r["pdf_path"] not in waiting]
+                named = list({r["pdf_path"] for r in rows if r["pdf_path"] is not None})
+                waiting = {r["pdf_path"] for r in self.pending.rows().filter(F.col("pdf_path").isin(named)).collect()} if named else set()
+                files = [(p, now) for p in named if p not in waiting]
                 if files:
                     self.pending.append(self.spark.createDataFrame(files, self.pending.schema))
                 self.tasks.append(self._frame([r.asDict() for r in rows]), gone=True)
             return len(rows)
 
-    def pending_deletions(self) -> list[str]:
-        """Oldest first."""
-        return [r["pdf_path"] for r in self.pending.rows().orderBy("queued_at", "pdf_path").collect()]
+    def pending_deletions(self, most: int = CLEAN_BATCH) -> list[str]:
+        """The oldest, at most so many."""
+        return [r["pdf_path"] for r in waiting(self.pending.rows(), most).orderBy("place").collect()]
 
-    def deleted(self, pdf_path: str) -> None:
-        self.pending.append(self.pending.rows().filter(F.col("pdf_path") == pdf_path), gone=True)
+    def deleted(self, *paths: str) -> None:
+        """The files are gone: one commit."""
+        if paths:
+            self.pending.append(self.pending.rows().filter(F.col("pdf_path").isin(*paths)), gone=True)
 
     def import_finished(self, owner: str, tasks: DataFrame) -> int:
         """K5: tasks with the columns of TASK and `ord`; the number of new ones."""
         with self.lock:
             return self.tasks.append(importable(self.tasks.rows(), tasks, owner))
 
-    def expired(self, now: str) -> list[dict]:
-        return [r.asDict() for r in expired(self.tasks.rows(), now).collect()]
+    def expired(self, now: str, most: int = CLEAN_BATCH) -> list[dict]:
+        """T-8: tasks whose file is due, the first due first, at most so many."""
+        return [r.asDict() for r in expired(self.tasks.rows(), now).orderBy("pdf_expires_at", "id").limit(most).collect()]
 
-    def mark_deleted(self, task: str, now: str) -> bool:
-        return bool(self._change(lambda t: file_deleted(t, [task], now)))
+    def mark_deleted(self, tasks: list[str], now: str) -> int:
+        """The files of the tasks are gone: one commit."""
+        with self.lock:
+            return self.tasks.append(file_deleted(self.tasks.rows(), tasks, now)) if tasks else 0
 
     def claim_orphan(self, pdf_path: str, now: str) -> bool:
         """A claim on a file that no task names and nobody has claimed."""
+        return bool(self.claim_orphans([pdf_path], now))
+
+    def claim_orphans(self, paths: list[str], now: str) -> list[str]:
+        """Claims, in one commit, on those of the files that no task names and nobody has claimed."""
         with self.lock:
-            at = F.col("pdf_path") == pdf_path
-            if self.tasks.rows().filter(at).limit(1).count() or self.claims.rows().filter(at).limit(1).count():
-                return False
-            self.claims.append(self.spark.createDataFrame([(pdf_path, now)], self.claims.schema))
-            return True
+            files = self.spark.createDataFrame([(p, dt.datetime(1970, 1, 1)) for p in dict.fromkeys(paths)], "path string, modified timestamp")
+            free = [r["path"] for r in orphans(files, self.tasks.rows(), self.claims.rows(), dt.datetime(2000, 1, 1)).collect()]
+            if free:
+                self.claims.append(self.spark.createDataFrame([(p, now) for p in free], self.claims.schema).coalesce(1))
+            return free
 
-    def release_orphan(self, pdf_path: str) -> None:
-        self.claims.append(self.claims.rows().filter(F.col("pdf_path") == pdf_path), gone=True)
+    def release_orphan(self, *paths: str) -> None:
+        if paths:
+            self.claims.append(self.claims.rows().filter(F.col("pdf_path").isin(*paths)), gone=True)
 
     def prune_claims(self, stale_before: str) -> int:
         """Old claims on files that no task names."""
         with self.lock:
-            old = self.claims.rows().filter(F.col("claimed_at") <= stale_before)
-            return self.claims.append(old.join(self.tasks.rows().filter("pdf_path is not null").select("pdf_path"), "pdf_path", "left_anti"), gone=True)
+            return self.claims.append(prunable(self.claims.rows(), self.tasks.rows(), stale_before), gone=True)
 
     def clean_up(self, now: dt.datetime, files: DataFrame, remove) -> dict[str, int]:
         """T-10: prune claims, delete waiting files, expired files, then old files that no task names. files(path, modified); remove(path) succeeds for a missing file."""
         done = {"claims": self.prune_claims(utc(now - dt.timedelta(minutes=ORPHAN_CLAIM_MINUTES))), "pending": 0, "expired": 0, "orphans": 0}
         at = utc(now)
-        for path in self.pending_deletions():
-            remove(path)
-            self.deleted(path)
-            done["pending"] += 1
-        for task in self.expired(at):
-            remove(task["pdf_path"])
-            done["expired"] += self.mark_deleted(task["id"], at)
-        old = files.filter(F.col("modified") < F.lit(now - dt.timedelta(hours=STALE_FILE_HOURS)))
-        named = self.tasks.rows().filter("pdf_path is not null").select(F.col("pdf_path").alias("path"))
-        for r in old.join(named, "path", "left_anti").select("path").toLocalIterator():
-            if self.claim_orphan(r["path"], at):
-                remove(r["path"])
-                self.release_orphan(r["path"])
-                done["orphans"] += 1
+
+        def each(items: list, path, commit) -> int:
+            """Remove the files of a batch; what is gone when one fails is committed all the same."""
+            gone = []
+            try:
+                for x in items:
+                    remove(path(x))
+                    gone.append(x)
+            finally:
+                commit(gone)
+            return len(gone)
+
+        while batch := self.pending_deletions():
+            done["pending"] += each(batch, lambda p: p, lambda gone: self.deleted(*gone))
+        while batch := self.expired(at):
+            done["expired"] += each(batch, lambda t: t["pdf_path"], lambda gone: self.mark_deleted([t["id"] for t in gone], at))
+        # Written first: commits of this loop may compact the logs that the list was read from.
+        stale = materialize(orphans(files, self.tasks.rows(), self.claims.rows(), now - dt.timedelta(hours=STALE_FILE_HOURS)).select("path"), "stale-files").toLocalIterator()
+        while batch := [r["path"] for r in islice(stale, CLEAN_BATCH)]:
+            done["orphans"] += each(self.claim_orphans(batch, at), lambda p: p, lambda gone: self.release_orphan(*gone))
         return done
