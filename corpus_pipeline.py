@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewright import shipping
 from tracewright.llm import common, jaccard_join, language_id, mixing, packing, quality_gam
 
 STAGES = [
@@ -26,5 +27,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with shipping.passing(spark) as outside:  # what a stage writes for itself goes when its result is written
+            docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}", outside)
     return STAGES[-1][1](spark, docs, sf_dir)
