@@ -77,6 +77,22 @@ def test_join_families_and_chains(spark, monkeypatch, block):
     assert answer(jaccard_join.jaccard_components(cases.docs(spark, rows))) == join_by_hand(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_join_small_sets(spark, monkeypatch, seed):
+    """Sets of 1 to 60 shingles near the threshold, where prefixes, positions and the needed agreement are tight."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3 if seed == 1 else 256)
+    rng, rows = random.Random(seed), []
+    for f in range(30):
+        base = cases.prose(4000 + 100 * seed + f, rng.randrange(5, 65)).split()
+        for _ in range(6):
+            w = base[rng.randrange(3) :][: len(base) - rng.randrange(max(1, len(base) // 4))] + cases.prose(rng.randrange(10**6), rng.randrange(1, 4)).split() * rng.randrange(2)
+            rows.append(changed(w, rng, rng.randrange(2)) if w else "")
+    rows = [(i, t, "s") for i, t in enumerate(rows)]
+    want = join_by_hand(rows)
+    assert sum(1 for *_, links in want if links) > 60
+    assert answer(jaccard_join.jaccard_components(cases.docs(spark, rows))) == want
+
+
 def test_join_rows_without_id(spark):
     """Near copies without ids: beside numbered ones, among themselves, as the middle of a chain and in a large family."""
     rng, rows = random.Random(6), []
@@ -137,7 +153,7 @@ def test_shuffled_rows_are_linear(spark, monkeypatch):
         shared = jaccard_join.shared_shingles(described)
         prefix = jaccard_join.prefixes(shared, classes).persist()
         members = jaccard_join.grouped(prefix).persist()
-        return np.array([shared.count(), prefix.count(), members.count(), jaccard_join.block_pairs(prefix, members).count() + 1])
+        return np.array([shared.count(), prefix.count(), members.count(), jaccard_join.head_pairs(prefix, members).count() + 1])
     few, many = sizes(100), sizes(200)
     assert (few > 0).all() and (many <= 2.2 * few + 10).all()
 
@@ -272,6 +288,7 @@ def test_topk_hard_rows(spark, monkeypatch):
     df = spark.createDataFrame([(i, x, "clash", 1) for i, x in rows], "vec_id long, embedding array<float>, score string, rank int")
     got = Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk_search.top_k(df).collect())
     assert got == top_by_hand(rows, 50, 5)
+    assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk_search.top_k(df.repartition(7, "score")).collect()) == got
     assert topk_search.top_k(df.limit(0)).count() == 0
     assert topk_search.top_k(df.filter("vec_id = 50")).count() == 0
 
@@ -282,9 +299,37 @@ def test_topk_beyond_exact_doubles(spark):
     assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk_search.top_k(df).collect()) == top_by_hand(rows, 50, 5)
 
 
+def best_by_hand(values, queries, k):
+    scores = queries @ values.T
+    return [[(int(j), float(r[j])) for j in np.lexsort((np.arange(len(r)), -r))[:k]] for r in scores]
+
+
 def test_blocks_below_the_bound_are_skipped():
     rng = np.random.default_rng(2)
     values = np.concatenate([rng.integers(90, 100, (128, 8)), rng.integers(0, 10, (128 * 30, 8))]).astype(float)
     shard = topk_search.Shard(np.arange(len(values)), values)
-    shard.search(values[:3], np.arange(3), 5)
-    assert shard.scored < 3 * len(values) / 4
+    got = shard.search(values[:3], np.full(3, -1), 5)
+    assert shard.scored == 3 * 128
+    assert [list(zip(i.tolist(), s.tolist(), strict=True)) for i, s in got] == best_by_hand(values, values[:3], 5)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10**6))
+def test_bounds_and_floors_lose_nothing(seed):
+    """Clustered and unclustered vectors, with and without a known floor: the same best k, ties by id."""
+    rng = np.random.default_rng(seed)
+    d, n = int(rng.integers(1, 20)), int(rng.integers(1, 700))
+    centres = rng.integers(-200, 200, (4, d))
+    values = (centres[np.arange(n) * 4 // n] + rng.integers(-9, 10, (n, d))).astype(float) if seed % 2 else rng.integers(-60, 60, (n, d)).astype(float)
+    queries = rng.integers(-200, 200, (3, d)).astype(float)
+    want = best_by_hand(values, queries, 5)
+    for floors in (None, np.array([w[-1][1] if len(w) == 5 else -np.inf for w in want])):
+        got = topk_search.Shard(np.arange(n), values).search(queries, np.full(3, -1), 5, floors)
+        assert [list(zip(i.tolist(), s.tolist(), strict=True)) for i, s in got] == want
+
+
+def test_a_task_does_not_depend_on_the_order_of_its_rows():
+    import pandas as pd
+    rows = pd.DataFrame({"chunk": 0, "vec_id": [50, 50, 100, 0], "hash": [3, -2, 1, 9], "floor": [1.0, None, None, 4.0], "embedding": [[0.1, 0.2], [0.3], [0.5, 0.5, 0.5], []]})
+    blobs = [topk_search._query_blob(rows.sample(frac=1, random_state=i)).to_dict("records") for i in range(6)]
+    assert all(b == blobs[0] for b in blobs)

@@ -6,12 +6,12 @@ of 64-bit hashes.
 
 1. Documents with the same set are one *class*; from here on only classes are compared, so copies cost one row each.
 2. Prefix filter. Shingles are ordered by range, then by the number of classes that hold them, rarest first; two classes
-   that link share one of their first n - ceil(0.75 n) + 1. Nearly all classes fill that prefix from the low range,
+   that link share AGREE of their first n - ceil(0.75 n) + AGREE. Nearly all classes fill that prefix from the low range,
    the lowest POSTED of the hashes, and only these shingles are counted for them; the others count all of theirs. So a text is
    hashed once, about a third of the shingles is shuffled, in blobs, and common passages come last by themselves.
-3. Index lists. Classes of much the same prefix form *blocks* of bounded size, and the list of a shingle is cut in these
-   blocks, each with its sizes and the most that can agree after its positions. Pairs of blocks of a list that size and position
-   exclude are skipped; what is left of all lists, each pair once, meets in a task.
+3. Index lists. Classes of much the same prefix go under one *head*, in blocks of bounded size. The list of a shingle has an entry for
+   each head, with its sizes and the most that can agree after its positions, and is cut by size; the part of a list that size and position
+   exclude for an entry is skipped. The blocks of one head, and of two heads that enough lists leave, meet in a task, each pair once.
 4. Answers. A task holds two indexed blocks. The first set is answered from the lists of its shingles; the next,
    if it is highly similar, gets its answer from that one: the lists of the shingles it lacks are subtracted, those it adds are added.
    A task returns numbers of links and at most a spanning forest.
@@ -27,9 +27,14 @@ null. Ids are integers. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
+
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.llm import common
@@ -41,9 +46,13 @@ PERCENT = 75
 POSTED = 0.30
 _LOW = np.uint64(int(POSTED * 2**64))
 #: Shingles that a counting task holds on average, those in a task that sends them, and from how many classes on one isn't held.
-PART, FLUSH, HOT = 4_000_000, 2_000_000, 65_536
+PART, FLUSH, HOT = 4_000_000, 1_000_000, 65_536
 #: A block of similar sets has about so many classes, or so many shingles, at most.
 BLOCK, BLOCK_SHINGLES = 256, 2_000_000
+#: Two classes that link share so many shingles of prefixes that are as much longer (fewer, where a set is that small).
+AGREE = 6
+#: Index lists are cut by size in steps of this ratio.
+SIZE_STEP = 1.05
 INDEX = ["classes", "copies", "sizes", "tokens", "counts", "owners"]
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -76,7 +85,8 @@ def digest(got: np.ndarray) -> int:
 
 
 def prefix_length(n: int) -> int:
-    return n - (PERCENT * n + 99) // 100 + 1
+    need = (PERCENT * n + 99) // 100
+    return n - need + min(AGREE, need)
 
 
 def linked(overlap, a, b):
@@ -204,49 +214,90 @@ def shared_shingles(described: DataFrame, *, hot: int = HOT) -> DataFrame:
     packed = described.filter("posted is not null").select("class", "posted").mapInArrow(post, "bucket long, tokens binary, owners binary")
     found = common.materialize(packed.repartition(parts, "bucket").mapInArrow(meet, "class long, token long, df long"), "shared")
     often = found.filter("class is null").select("token", F.col("df").alias("often"))
-    late = found.filter("class is not null and df is null").select("class", "token").join(often, "token").select("class", "token", F.col("often").alias("df"))
+    late = found.filter("class is not null and df is null").select("class", "token").distinct().join(often, "token").select("class", "token", F.col("often").alias("df"))
     return found.filter("class is not null and df is not null").unionByName(late)
 
 
+def needed(n: Column) -> Column:
+    """The least overlap of a class of n shingles with any that it links with."""
+    return F.floor((PERCENT * n + 99) / 100)
+
+
+def agree(n: Column) -> Column:
+    """How many prefix shingles a class of n shingles shares at least with one that it links with."""
+    return F.least(F.lit(AGREE), needed(n))
+
+
 def prefixes(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """class, n, token, pos of the shared shingles in each class's prefix, in the order (range, df, token)."""
     high = (F.col("token") < 0) | (F.col("token") >= F.lit(int(_LOW)))
-    by_class = shared.groupBy("class").agg(F.collect_set(F.struct(high.alias("high"), "df", "token")).alias("more"))
-    by_class = by_class.join(classes.select("class", "n", "low"), "class").withColumn("more", F.sort_array("more"))
-    length = F.col("n") - F.floor((PERCENT * F.col("n") + 99) / 100) + 1
-    below = F.size(F.filter("more", lambda x: ~x["high"]))  # shared ones of the low range; the others of that range come first
-    each = by_class.select("class", "n", "low", length.alias("length"), below.alias("below"), F.size("more").alias("all"), F.posexplode("more").alias("at", "x"))
-    pos = F.when(F.col("x.high"), F.col("n") - F.col("all") + F.col("at")).otherwise(F.col("low") - F.col("below") + F.col("at"))
-    return each.select("class", "n", F.col("x.token").alias("token"), pos.cast("long").alias("pos"), "length").filter("pos < length").drop("length")
+    rows = shared.join(classes.select("class", "n", "low"), "class").withColumn("high", high)
+    whole = W.partitionBy("class")
+    at = F.row_number().over(whole.orderBy("high", "df", "token")) - 1
+    rows = rows.select("class", "n", "low", "token", "high", at.alias("at"), F.count_if(~F.col("high")).over(whole).alias("below"), F.count(F.lit(1)).over(whole).alias("all"))
+    # Shingles that no other class holds come first in their range.
+    pos = F.when(F.col("high"), F.col("n") - F.col("all") + F.col("at")).otherwise(F.col("low") - F.col("below") + F.col("at"))
+    length = F.col("n") - needed(F.col("n")) + agree(F.col("n"))
+    rows = rows.select("class", "n", "token", pos.cast("long").alias("pos"), length.alias("length")).filter("pos < length")
+    # With fewer than the smallest class that may link asks for, no list can lead to a link.
+    return rows.withColumn("c", F.count(F.lit(1)).over(whole)).filter(F.col("c") >= agree(needed(F.col("n")))).select("class", "n", "token", "pos")
 
 
 def grouped(prefix: DataFrame) -> DataFrame:
-    """class, n, block: classes of much the same prefix in blocks of at most about BLOCK classes or BLOCK_SHINGLES shingles.
+    """class, n, head, part, parts: classes of much the same prefix under one head, in parts of about BLOCK classes or BLOCK_SHINGLES shingles.
 
-    A class follows the smallest class of the lists that it is in, if that is the same in a third of its prefix; else it stays
-    alone. Blocks decide which sets meet in a task, never whether they are compared.
+    A class follows the class that is the smallest of the most of its lists, if it shares enough of them with it to be compared with it anyway;
+    else it stays alone. Heads decide which sets meet in a task, never whether they are compared.
     """
     least = common.materialize(prefix.groupBy("token").agg(F.min("class").alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("token", "head"), "list-heads")
     votes = prefix.join(least, "token").groupBy("class", "head").agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"))
     best = votes.groupBy("class").agg(F.first("n").alias("n"), F.max(F.struct("votes", "head")).alias("best"))
-    length = F.col("n") - F.floor((PERCENT * F.col("n") + 99) / 100) + 1
-    members = common.materialize(best.select("class", "n", F.when(3 * F.col("best.votes") >= length, F.col("best.head")).otherwise(F.col("class")).alias("head")), "heads")
+    members = common.materialize(best.select("class", "n", F.when(F.col("best.votes") >= agree(F.col("n")), F.col("best.head")).otherwise(F.col("class")).alias("head")), "heads")
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES))
     parts = common.materialize(members.groupBy("head").agg(parts.alias("parts")), "head-parts")
-    return members.join(parts, "head").select("class", "n", F.xxhash64("head", F.pmod(F.xxhash64("class"), F.col("parts"))).alias("block"))
+    return members.join(parts, "head").select("class", "n", "head", F.pmod(F.xxhash64("class"), F.col("parts")).alias("part"), "parts")
+
+
+def block(head: str, part: str) -> Column:
+    return F.xxhash64(head, part)
+
+
+def head_pairs(prefix: DataFrame, members: DataFrame) -> DataFrame:
+    """a, b: the pairs of heads with sets that index lists, cut by head and size, don't skip by position or size."""
+    about = common.materialize(members.groupBy("head").agg(F.min(agree(F.col("n"))).alias("agree")), "head-sizes")
+    entries = prefix.join(members.select("class", "head"), "class").groupBy("token", "head")
+    lists = common.materialize(entries.agg(F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("n").alias("low"), F.max("n").alias("high")), "list-entries")
+    several = common.materialize(lists.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token"), "list-tokens")
+    # After the k-th shingle that two sets share, at positions i and j, min(n - i, n - j) must hold all but k - 1 of what a link needs.
+    # So a set goes with sets up to a size that falls as its position grows, and is skipped where that is below its own unless the other is smaller.
+    reach = F.floor((F.col("rest") + F.col("agree") - 1) * (100 + PERCENT) / PERCENT) - F.col("low")
+    lists = lists.join(several, "token").join(about, "head").withColumn("reach", F.least(reach, F.floor(100 * F.col("high") / PERCENT)))
+    lists = common.materialize(lists, "index-lists")
+    step = lambda n: F.floor(F.log(n) / math.log(SIZE_STEP)).cast("int")
+    a = lists.filter("reach >= low").withColumn("step", F.explode(F.sequence(step(F.col("low")), step(F.col("reach"))))).alias("a")
+    b = lists.withColumn("step", step(F.col("low"))).alias("b")
+    least = F.ceil(PERCENT * (F.col("a.low") + F.col("b.low")) / (100 + PERCENT))
+    both = F.least("a.agree", "b.agree")
+    room = F.least("a.rest", "b.rest") >= least - both + 1
+    later = (F.col("a.low") < F.col("b.low")) | ((F.col("a.low") == F.col("b.low")) & (F.col("a.head") < F.col("b.head")))
+    sizes = (F.col("b.low") <= F.col("a.reach")) & (F.col("a.low") <= F.col("b.reach"))
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.head") != F.col("b.head")) & later & sizes & room)
+    pair = [F.least("a.head", "b.head").alias("a"), F.greatest("a.head", "b.head").alias("b")]
+    return met.select(*pair, both.alias("agree")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("agree").alias("agree")).filter("c >= agree").select("a", "b")
 
 
 def block_pairs(prefix: DataFrame, members: DataFrame) -> DataFrame:
-    """i, j: the pairs of different blocks that an index list, cut in blocks, doesn't skip by position or size."""
-    entries = prefix.join(members.select("class", "block"), "class").groupBy("token", "block")
-    lists = common.materialize(entries.agg(F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("n").alias("low"), F.max("n").alias("high")), "block-lists")
-    several = common.materialize(lists.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token"), "block-tokens")
-    lists = common.materialize(lists.join(several, "token"), "block-lists")
-    a, b = lists.alias("a"), lists.alias("b")
-    least = F.ceil(PERCENT * (F.col("a.low") + F.col("b.low")) / (100 + PERCENT))
-    sizes = (100 * F.col("a.high") >= PERCENT * F.col("b.low")) & (100 * F.col("b.high") >= PERCENT * F.col("a.low"))
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.block") < F.col("b.block")) & sizes & (F.least("a.rest", "b.rest") >= least))
-    return met.select(F.col("a.block").alias("i"), F.col("b.block").alias("j")).distinct()
+    """i, j: the pairs of different blocks whose sets are compared: the parts of one head, and those of head_pairs(); j has more shingles."""
+    heads = common.materialize(members.groupBy("head").agg(F.first("parts").alias("parts"), F.sum("n").alias("weight")), "head-weights")
+    zero = F.lit(0).cast("long")
+    within = heads.filter("parts > 1").select("head", "parts", F.explode(F.sequence(zero, F.col("parts") - 2)).alias("p"))
+    within = within.select("head", "p", F.explode(F.sequence(F.col("p") + 1, F.col("parts") - 1)).alias("q")).select(block("head", "p").alias("i"), block("head", "q").alias("j"))
+    side = lambda x: heads.select(F.col("head").alias(x), F.struct("head", "parts", (F.col("weight") / F.col("parts")).alias("weight")).alias(f"{x}_of"))
+    across = head_pairs(prefix, members).join(side("a"), "a").join(side("b"), "b")
+    swap = F.col("a_of.weight") > F.col("b_of.weight")
+    across = across.select(F.when(swap, F.col("b_of")).otherwise(F.col("a_of")).alias("x"), F.when(swap, F.col("a_of")).otherwise(F.col("b_of")).alias("y"))
+    across = across.withColumn("p", F.explode(F.sequence(zero, F.col("x.parts") - 1))).withColumn("q", F.explode(F.sequence(zero, F.col("y.parts") - 1)))
+    return within.unionByName(across.select(block("x.head", "p").alias("i"), block("y.head", "q").alias("j")))
 
 
 def whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -263,7 +314,8 @@ def whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(d[c] for c in carried), found], [*carried, "shingles"]).filter(found.is_valid())
 
     rows = _text_rows(docs)
-    numbered = rows.join(classes.filter("rep is not null").select(*carried, F.col("rep").alias("doc_id")), "doc_id").select(*carried, "text")
+    # Some part of all texts is asked for, at any size of the input: never a broadcast.
+    numbered = rows.join(classes.filter("rep is not null").select(*carried, F.col("rep").alias("doc_id")).hint("merge"), "doc_id").select(*carried, "text")
     # A class without any id is found by a text of its rows; copies are dropped first, so that at most one a task moves.
     nameless = rows.filter("doc_id is null").select("text_hash", "text").dropDuplicates(["text_hash"])
     nameless = nameless.join(classes.filter("rep is null").select(*carried, "text_hash"), "text_hash").select(*carried, "text")
@@ -392,7 +444,7 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     classes = described.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("low").alias("low"))
     classes = common.materialize(classes, "classes")
     prefix = common.materialize(prefixes(shared_shingles(described), classes), "prefixes")
-    members = common.materialize(grouped(prefix), "members")
+    members = common.materialize(grouped(prefix).withColumn("block", block("head", "part")), "members")
     pairs = common.materialize(block_pairs(prefix, members), "block-pairs")
     several = members.groupBy("block").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("block")
     needed = several.unionByName(pairs.select(F.explode(F.array("i", "j")).alias("block"))).distinct()
