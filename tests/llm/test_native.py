@@ -30,14 +30,14 @@ def normalised(line):
     return re.sub(r"[\x20\x09-\x0D]+", " ", "".join(up.get(c, c) for c in line)).strip(" ")
 
 
-def lines_by_hand(rows, min_docs, share):
+def lines_by_hand(rows, min_docs, share, max_docs):
     held, hosts = defaultdict(set), defaultdict(set)
-    for i, t, s in rows:
-        hosts[s].add(i)
+    for _, t, s in rows:
+        hosts[s].add(t or "")
         for x in (t or "").split("\n"):
             if WORD.search(x):
-                held[s, normalised(x)].add(i)
-    frequent = {k for k, ids in held.items() if len(ids) > max(min_docs, math.ceil(share * len(hosts[k[0]])))}
+                held[s, normalised(x)].add(t)
+    frequent = {k for k, texts in held.items() if len(texts) > max(min_docs, min(max_docs, math.ceil(share * len(hosts[k[0]]))))}
     for i, t, s in rows:
         kept = [x for x in (t or "").split("\n") if (s, normalised(x)) not in frequent or not WORD.search(x)]
         yield i, "\n".join(kept), len(WORD.findall("\n".join(kept)))
@@ -58,10 +58,21 @@ def test_frequent_lines_leave_their_host_only(spark):
         rows.append((i, f"{body}\n{footer.upper() if i % 2 else footer} \n" + ("tail line" if i < 12 else ""), "a" if i < 30 else "b"))
     rows += [(900 + i, f"{footer}\n{footer}\nwords " + cases.prose(i, 2), "a") for i in range(5)]
     rows += [(950, rows[0][1], "a"), (0, rows[0][1], "a")]
+    rows += [(960 + i, cases.prose(9000, 40), "a") for i in range(30)]  # copies of one text make no line frequent
     got = line_frequency.remove_frequent_lines(cases.docs(spark, rows), min_docs=10, share=0.1).collect()
-    assert Counter((r["doc_id"], r["clean_text"], r["words_left"]) for r in got) == Counter(lines_by_hand(rows, 10, 0.1))
+    assert Counter((r["doc_id"], r["clean_text"], r["words_left"]) for r in got) == Counter(lines_by_hand(rows, 10, 0.1, 100))
     kept = {r["doc_id"]: r["kept"] for r in got}
-    assert not any(kept[900 + i] for i in range(5)) and all(kept[i] for i in range(40))
+    assert not any(kept[900 + i] for i in range(5)) and all(kept[i] for i in range(40)) and all(kept[960 + i] for i in range(30))
+
+
+def test_the_limit_does_not_grow_with_a_large_host(spark):
+    """A line in 15 of 200 documents is under a tenth of them, but over `max_docs`."""
+    rows = [(i, cases.prose(i, 12) + ("\nread more here" if i < 15 else ""), "a") for i in range(200)]
+    docs = cases.docs(spark, rows)
+    for most, gone in ((100, 0), (12, 15)):
+        got = line_frequency.remove_frequent_lines(docs, max_docs=most).collect()
+        assert Counter((r["doc_id"], r["clean_text"], r["words_left"]) for r in got) == Counter(lines_by_hand(rows, 10, 0.1, most))
+        assert sum(r["words_left"] < r["n_words"] for r in got) == gone
 
 
 def test_poisson_table():

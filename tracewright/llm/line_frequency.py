@@ -1,20 +1,20 @@
 """Quality rules: cross-document line frequency, in DataFrame functions only.
 
 Lines are normalised (A-Z lower-cased, digits as 0, white space runs as one space) and hashed. The distinct
-documents that hold a line are counted for each host (the `source`). Lines in more documents of a host than its
-limit are removed from the documents of that host; a document that keeps too few of its words is rejected. The
-limit of a host is the larger of `min_docs` and `share` of its documents.
+documents that hold a line are counted for each host (the `source`); copies of a text are one document. Lines in more documents
+of a host than its limit are removed from the documents of that host; a document that keeps too few of its words is rejected.
+The limit of a host is `share` of its documents, but `min_docs` at least and `max_docs` at most: it doesn't grow with a large host.
 
 Beside it, the base figures of a text: words, their characters, symbols, repeated lines, words in repeated
 5-word windows.
 
-Scale: a text never moves; what is shuffled is one hash a distinct line, summed before each exchange (the distinct
-count deals a common line out by document). The lines over their limit are written down, so that Spark knows their size
+Scale: texts are parsed where they are: once for the lines, which are written down as hashes, and once for the figures. What is shuffled is one hash a
+distinct line, summed before each exchange (the distinct count deals a common line out by document). A text moves only for `clean_text`, and
+only if that is asked for. The lines over their limit are written down, so that Spark knows their size
 when it joins them: below its threshold they are broadcast, else skewed keys are split.
 
 Defined cases: null texts are empty and fail the base rule. A null source is a host of its own. Rows are told apart by
-(doc_id, text, source), so repeated rows all get the same answer and count as one document; rows with a null
-doc_id count as one document of their host. Extra columns are ignored.
+(doc_id, text, source), so repeated rows all get the same answer; rows with the same text count as one document of their host, whatever their doc_id. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0000000000"
 WORD = "[^\\x20\\x09-\\x0D]+"
-MIN_DOCS, SHARE = 10, 0.1
+MIN_DOCS, SHARE, MAX_DOCS = 10, 0.1, 100
 MIN_WORDS, MIN_LEFT = 10, 0.3
 
 
@@ -83,31 +83,35 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 
 def rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text, host and a number for the row's content."""
+    """doc_id, text, host, a number for the text and one for the row's content."""
     host = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    return docs.select("doc_id", "text", host.alias("host"), F.xxhash64("doc_id", "text", host).alias("row"))
+    return docs.select("doc_id", "text", host.alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc"), F.xxhash64("doc_id", "text", host).alias("row"))
 
 
-def frequent_lines(known: DataFrame, *, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def hashed_lines(known: DataFrame) -> DataFrame:
+    """host, doc, row, pos, line (hash) and words of every line with a word."""
+    each = known.select("host", "doc", "row", F.explode(lines(F.coalesce("text", F.lit("")))).alias("x"))
+    return each.select("host", "doc", "row", F.col("x.pos").alias("pos"), F.xxhash64(normalised(F.col("x.line"))).alias("line"), F.regexp_count("x.line", F.lit(WORD)).alias("words"))
+
+
+def frequent_lines(each: DataFrame, known: DataFrame, *, min_docs: int = MIN_DOCS, share: float = SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
     """host, line (hash) of the lines over their host's limit."""
-    hashes = F.array_distinct(F.transform(lines(F.coalesce("text", F.lit(""))), lambda x: F.xxhash64(normalised(x["line"]))))
-    held = known.select("host", F.xxhash64("doc_id").alias("doc"), F.explode(hashes).alias("line"))
-    counts = held.groupBy("host", "line").agg(F.count_distinct("doc").alias("n")).filter(F.col("n") > min_docs)
-    sizes = known.select("host", F.xxhash64("doc_id").alias("doc")).groupBy("host").agg(F.count_distinct("doc").alias("docs"))
-    return counts.join(sizes, "host").filter(F.col("n") > F.greatest(F.lit(min_docs), F.ceil(F.col("docs") * share))).select("host", "line")
+    counts = each.groupBy("host", "line").agg(F.count_distinct("doc").alias("n")).filter(F.col("n") > min_docs)
+    sizes = known.select("host", "doc").groupBy("host").agg(F.count_distinct("doc").alias("docs"))
+    limit = F.greatest(F.lit(min_docs), F.least(F.lit(max_docs), F.ceil(F.col("docs") * share)))
+    return counts.join(sizes, "host").filter(F.col("n") > limit).select("host", "line")
 
 
-def remove_frequent_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS, share: float = SHARE, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT) -> DataFrame:
+def remove_frequent_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS, share: float = SHARE, max_docs: int = MAX_DOCS, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT) -> DataFrame:
     """For each row of docs: doc_id, the base figures, words_left, clean_text (without the frequent lines) and kept."""
     known = rows(docs)
-    frequent = common.materialize(frequent_lines(known, min_docs=min_docs, share=share), "frequent-lines")
-    each = known.select("host", "row", F.explode(lines(F.coalesce("text", F.lit("")))).alias("x"))
-    each = each.select("host", "row", F.col("x.pos").alias("pos"), F.xxhash64(normalised(F.col("x.line"))).alias("line"), F.regexp_count("x.line", F.lit(WORD)).alias("words"))
+    each = common.materialize(hashed_lines(known), "lines")
+    frequent = common.materialize(frequent_lines(each, known, min_docs=min_docs, share=share, max_docs=max_docs), "frequent-lines")
     hit = each.join(frequent, ["host", "line"]).groupBy("row", "pos").agg(F.first("words").alias("words"))
     gone = hit.groupBy("row").agg(F.collect_set("pos").alias("gone"), F.sum("words").alias("gone_words"))
     text = F.coalesce("text", F.lit(""))
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False))), "\n")
-    figures = base_rules(known.withColumn("__tw_text", F.col("text"))).withColumnRenamed("__tw_text", "text")
+    figures = base_rules(known.drop("doc").withColumn("__tw_text", F.col("text"))).withColumnRenamed("__tw_text", "text")
     out = figures.join(gone, "row", "left").withColumn("words_left", F.col("n_words") - F.coalesce("gone_words", F.lit(0)))
     enough = (F.col("words_left") >= min_words) & (F.col("words_left") >= min_left * F.col("n_words"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "words_left", left.alias("clean_text"), (~F.col("base_failed") & enough).alias("kept"))
@@ -128,18 +132,18 @@ WITH d AS (
 ), rep AS (
   SELECT doc_id, count(DISTINCT i + k) AS n FROM dup, range(5) r(k) GROUP BY doc_id
 ), ln AS (
-  SELECT doc_id, source, pos, line,
+  SELECT doc_id, source, t, pos, line,
          trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm,
          len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
-  FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS pos FROM d)
+  FROM (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS pos FROM d)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), dupl AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY doc_id
 ), hosts AS (
-  SELECT source, count(DISTINCT doc_id) AS docs FROM d GROUP BY source
+  SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source
 ), freq AS (
-  SELECT l.source, norm FROM (SELECT source, norm, count(DISTINCT doc_id) AS n FROM ln GROUP BY source, norm) l
-  JOIN hosts h ON h.source IS NOT DISTINCT FROM l.source WHERE n > greatest(10, ceil(docs * 0.1))
+  SELECT l.source, norm FROM (SELECT source, norm, count(DISTINCT t) AS n FROM ln GROUP BY source, norm) l
+  JOIN hosts h ON h.source IS NOT DISTINCT FROM l.source WHERE n > greatest(10, least(100, ceil(docs * 0.1)))
 ), gone AS (
   SELECT doc_id, sum(words) AS n FROM ln JOIN freq f ON f.source IS NOT DISTINCT FROM ln.source AND f.norm = ln.norm GROUP BY doc_id
 ), base AS (
