@@ -40,6 +40,8 @@ def test_upload_list_delete(api):
 def test_import_twice(api):
     body = json.dumps([old_task(), old_task(id="o2", status="failed")]).encode()
     assert api.import_history("a@x", body) == (200, {"imported": 2}) and api.import_history("a@x", body) == (200, {"imported": 0}) and api.import_history("b@x", body) == (200, {"imported": 2})
+    assert api.migrate_history("c@x", body.decode()) == {"status": "imported", "imported": 2} and api.migrate_history("c@x", body.decode()) == {"status": "already-migrated", "imported": 0}
+    assert api.migrate_history("d@x", "no json") == {"status": "skipped", "imported": 0} and api.migrate_history("d@x", body.decode())["status"] == "already-migrated"
     assert api.import_history("a@x", b"{" + b" " * 10)[0] == 400 and api.import_history("a@x", b" " * 1_400_000)[0] == 413
 
 

@@ -49,3 +49,12 @@ def test_region_errors(spark):
     assert got["e", "c", 1] == ["page_number isn't the page's number", "parent_region_id must be null", "rights_image_index must be null"]
     assert got["e", "s", None] == ["region_id is there twice", "rights_image_index must be set"] and got["e", "s", 1] == ["region_id is there twice"]
     assert got["e", "b", None] == ["parent_region_id isn't a screenshot of the page"] and got["f", "b", 1] == ["result_index isn't its screenshot's"]
+
+
+def test_sizes_on_the_command_line(tmp_path, capsys):
+    good, bad = tmp_path / "good.pdf", tmp_path / "bad.pdf"
+    good.write_bytes(made(CATALOG, TREE, *PAGES))
+    bad.write_bytes(b"no")
+    assert pdf.main([str(good)]) == 0 and pdf.main([str(good), str(bad)]) == 1
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert lines[0]["pageCount"] == 2 and lines[0]["pages"][1] == {"page": 2, "width": 612.0, "height": 792.5} and lines[2]["problem"] == "PDF_INVALID"

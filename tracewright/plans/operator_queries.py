@@ -114,6 +114,20 @@ def model_envelope(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(content, F.lit("")).alias("content"), F.coalesce(F.get_json_object(content, "$.k").cast("int"), F.lit(-1)).alias("k"))
 
 
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_suppkey % 2 = 0 AS paper FROM lineitem),
+g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS regions, max(l_linenumber) AS last, count_if(paper AND l_partkey % 9 = 0) AS marked, count_if(NOT paper AND l_partkey % 9 = 0) AS bare FROM l GROUP BY l_orderkey)
+SELECT l_orderkey AS doc_id, n = regions AND last <= 6 AND marked = 0 AND bare = 0 AS evidence_ok, n = regions AND last <= 6 AND l_orderkey % 3 <> 0 AS review_ok FROM g""")
+def request_checks(spark, sf_dir):
+    """Requests for evidence and for reviews of addresses: ids once, pages inside the document, what each type sets, two images for each pair."""
+    paper, odd = F.col("l_suppkey") % 2 == 0, F.col("l_partkey") % 9 == 0
+    index = F.when(paper != odd, F.lit(None)).otherwise(F.lit(1)).cast("int")  # a certificate has one where it mustn't, a screenshot none
+    region = F.struct(F.col("l_linenumber").cast("string").alias("regionId"), F.when(paper, "certificate").otherwise("rights_screenshot").alias("type"), F.col("l_linenumber").alias("pageNumber"), index.alias("rightsImageIndex"), index.alias("resultIndex"), F.lit(None).cast("string").alias("addressBarRegionId"))
+    pair = F.struct(F.col("l_linenumber").cast("string").alias("screenshotId"), F.col("l_linenumber").alias("pageNumber"))
+    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_list(region).alias("r"), F.collect_list(pair).alias("p"))
+    images = 2 * F.size("p") + (F.col("doc_id") % 3 == 0).cast("int")
+    return g.select("doc_id", contracts.evidence_request_ok(F.col("r"), F.lit(6)).alias("evidence_ok"), contracts.review_request_ok(F.col("p"), F.lit(6), images).alias("review_ok"))
+
+
 @query(f"""{_REGIONS} SELECT doc_id, region_id AS screenshot_id, page_number % 5 <> 0 AND rights_image_index <> 3 AS ok FROM g WHERE type = 'rights_screenshot'""")
 def evidence_check(spark, sf_dir):
     """Answers beside what was asked: every field must agree; a page and an image index are told wrong by rule."""
@@ -124,7 +138,7 @@ def evidence_check(spark, sf_dir):
 
 @query(f"""SELECT o_orderkey AS doc_id, o_orderkey % 4 <> 0 AS fallback, CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 0 END AS n_rows, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE '{contracts.TABLE_FALLBACK_WARNING}' END AS warning FROM orders""")
 def table_fallback(spark, sf_dir):
-    """Table answers that are invalid, name a region nobody asked for or repeat a row id become empty tables with a warning."""
+    """Table answers that are invalid, name a region nobody asked for or repeat a row id become empty tables with a warning."""
     k = F.col("o_orderkey") % 4
     obs = F.struct(F.lit("t").alias("rawText"), F.lit("recognized").alias("status"), F.lit(0.9).alias("confidence"), F.lit(1).alias("pageNumber"), F.lit("r1").alias("regionId"))
     row = lambda name, region: F.struct(name.alias("tableRowId"), F.lit(1).alias("pageNumber"), region.alias("regionId"), F.lit(1).alias("rightsImageIndex"), F.lit(1).alias("resultIndex"), obs.alias("platform"), obs.alias("publisher"), obs.alias("publishedAt"), F.array(F.lit("u")).alias("urlCellSegments"))

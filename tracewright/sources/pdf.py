@@ -6,7 +6,9 @@ rendering is the provider's. Files whose page tree can't be read this way are re
 
 from __future__ import annotations
 
+import json
 import re
+import sys
 import zlib
 
 import pandas as pd
@@ -81,3 +83,18 @@ def opened(files: DataFrame) -> DataFrame:
     """files(path, content) -> path, page_count, sizes, problem; more pages than allowed are a problem, too."""
     out = files.select("path", _read("content").alias("p")).select("path", F.size("p.sizes").alias("page_count"), "p.sizes", "p.problem")
     return out.withColumn("problem", F.coalesce("problem", F.when(F.col("page_count") > schemas.MAX_PDF_PAGES, "PDF_INVALID")))
+
+
+def main(paths: list[str]) -> int:
+    """The page sizes of each file as a line of JSON; 1 if one can't be read."""
+    wrong = 0
+    for path in paths:
+        with open(path, "rb") as f:
+            sizes, problem = page_sizes(f.read())
+        wrong |= problem is not None
+        print(json.dumps({"path": path, "pageCount": len(sizes), "pages": [{"page": i, "width": w, "height": h} for i, (w, h) in enumerate(sizes, 1)], "problem": problem}))
+    return int(wrong)
+
+
+if __name__ == "__main__":
+    sys.exit(main(sys.argv[1:]))

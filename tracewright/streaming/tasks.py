@@ -240,6 +240,11 @@ def detail(tasks: DataFrame, now: str) -> DataFrame:
     return tasks.withColumns({"summary": F.from_json("summary_json", schemas.SUMMARY.spark()), "report": F.from_json("report_json", schemas.REPORT.spark()), "pdf_available": pdf_available(now)}).drop("summary_json", "report_json", "pdf_path", "pdf_deleted_at", "owner_email", "attempt_count")
 
 
+def worker_view(tasks: DataFrame, now: str) -> DataFrame:
+    """What a worker gets: the detail, with the owner, the file's path and the attempts."""
+    return detail(tasks, now).join(tasks.select("id", "owner_email", "pdf_path", "attempt_count"), "id")
+
+
 def kpis(tasks: DataFrame) -> DataFrame:
     """Unfinished tasks, tasks to review, issues in all (null counts 0)."""
     return tasks.agg(F.count_if(~terminal()).alias("active"), F.count_if(F.col("outcome") == "needs_review").alias("needs_review"), F.coalesce(F.sum(F.coalesce("issue_count", F.lit(0))), F.lit(0)).alias("issues"))
@@ -333,6 +338,7 @@ class TaskLog:
         self.tasks = _Log(spark, f"{path}/tasks", "id", TASK)
         self.pending = _Log(spark, f"{path}/pending_deletions", "pdf_path", "pdf_path string, queued_at string")
         self.claims = _Log(spark, f"{path}/orphan_claims", "pdf_path", "pdf_path string, claimed_at string")
+        self.migrated = _Log(spark, f"{path}/migrations", "owner_email", "owner_email string, migrated_at string")
         self.lock = threading.RLock()
 
     def _change(self, rule) -> list:
@@ -431,6 +437,15 @@ class TaskLog:
         with self.lock:
             return self.tasks.append(importable(self.tasks.rows(), tasks, owner))
 
+    def migrate(self, owner: str, tasks: DataFrame, now: str) -> tuple[str, int]:
+        """T-15: an owner's old history, once: a marker is written when it was imported or there was nothing to import. (state, new tasks)."""
+        with self.lock:
+            if self.migrated.rows().filter(F.col("owner_email") == owner).limit(1).count():
+                return "already-migrated", 0
+            n = self.import_finished(owner, tasks) if tasks.limit(1).count() else None
+            self.migrated.append(self.spark.createDataFrame([(owner, now)], self.migrated.schema).coalesce(1))
+            return ("skipped", 0) if n is None else ("imported", n)
+
     def expired(self, now: str, most: int = CLEAN_BATCH) -> list[dict]:
         """T-8: tasks whose file is due, the first due first, at most so many."""
         return [r.asDict() for r in expired(self.tasks.rows(), now).orderBy("pdf_expires_at", "id").limit(most).collect()]
