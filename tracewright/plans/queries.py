@@ -279,10 +279,11 @@ def order_requests(spark, sf_dir) -> DataFrame:
     """Orders as audit documents (doc_id, request): lines are summary rows and, but for every tenth part, screenshots; fields differ by fixed rules of the line."""
     obs = lambda t, ok=None, **more: F.struct(t.cast("string").alias("rawText"), (F.lit("recognized") if ok is None else F.when(ok, "recognized").otherwise("partial")).alias("status"), F.lit(0.9).alias("confidence"), F.lit(1).alias("pageNumber"), F.lit("r").alias("regionId"), *[v.alias(k) for k, v in more.items()])
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate").alias("l"))
-    line = line.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")  # few bytes, much work: keep all tasks
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: keep all tasks, for the table that is written here, too
+    line = line.repartition(tasks, "l_orderkey")
     lines = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list("l")).alias("l"))
     nothing = F.array().cast(dict(lines.dtypes)["l"])
-    o = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").withColumn("l", F.coalesce("l", nothing))
+    o = table(spark, sf_dir, "orders").repartition(tasks, "o_orderkey").join(lines, "o_orderkey", "left").withColumn("l", F.coalesce("l", nothing))
     o = o.withColumns({"rows": F.transform("l", lambda x, i: F.struct(i.alias("i"), x.alias("l"))), "n": F.transform("l", lambda x: x["l_linenumber"])})
     o = o.withColumn("shots", F.filter("rows", lambda r: r["l"]["l_partkey"] % 10 != 0))
     o = o.withColumn("shot_n", F.transform("shots", lambda r: r["l"]["l_linenumber"]))
