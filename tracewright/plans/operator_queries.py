@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright import schemas
 from tracewright.functions import misc, render, text, urls
-from tracewright.operators import contracts, layout, report, verdict
+from tracewright.operators import contracts, layout, report, rules, verdict
 from tracewright.plans.queries import query, table
 from tracewright.sources import files, legacy
 
@@ -205,7 +205,21 @@ def conflict_groups(spark, sf_dir):
 def host_names(spark, sf_dir):
     """the host name of an address, and an address from the segments of a cell."""
     host = urls.url_host(F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", host.alias("host"), urls.joined_segments(F.array(F.concat(F.lit(" "), host), F.lit("/a ")), text.js_trim).alias("joined"))
+    return table(spark, sf_dir, "pages").select("page_id", host.alias("host"), urls.joined_segments(F.array(F.concat(F.lit(" "), host), F.lit("/ａ "))).alias("joined"))
+
+
+_HOSTS = ["weibo.com", "m.weibo.com", "notweibo.com", "a.xiaohongshu.com", "www.douyin.com", "weibo.com.example.org"]
+
+
+@query(f"""WITH p AS (SELECT event_id, [{_quoted(_HOSTS)}][1 + event_id % 6] AS host, CASE event_type WHEN 'click' THEN '微博' WHEN 'view' THEN '抖音' ELSE '' END AS seen FROM events),
+t AS (SELECT *, CASE WHEN event_id % 6 IN (0, 1) THEN '微博' WHEN event_id % 6 = 3 THEN '小红书' ELSE '' END AS told FROM p)
+SELECT event_id, told AS platform, CASE WHEN told <> '' THEN told ELSE seen END AS picked, told <> '' AND seen <> '' AND told <> seen AS conflict FROM t""")
+def host_platforms(spark, sf_dir):
+    """The platform of a host or of a domain above it; it wins over the one that is seen, and a difference is a conflict."""
+    seen = text.platform(F.when(F.col("event_type") == "click", "WeiBo").when(F.col("event_type") == "view", "抖音").otherwise(""))
+    told = urls.platform_of_host(F.get(F.array(*[F.lit(h) for h in _HOSTS]), (F.col("event_id") % 6).cast("int")))
+    picked = rules.resolved_platform(seen, told)
+    return table(spark, sf_dir, "events").select("event_id", told.alias("platform"), picked["value"].alias("picked"), picked["conflict"].alias("conflict"))
 
 
 _SHOWN = "CASE event_type WHEN 'error' THEN '未识别' WHEN 'view' THEN '未完整识别' WHEN 'click' THEN 'T' || event_id ELSE '未识别' END"

@@ -111,32 +111,40 @@ def last_duplicate_wins(spark, sf_dir):
     return rules.last_by(lines, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
 
-_CHUNKS = "SELECT source, doc_id, n_chars, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 6)::INTEGER AS batch FROM documents"
+_LINES = "l_shipdate, l_linenumber, l_partkey, l_suppkey"
+_CHUNKS = f"SELECT l_orderkey, l_partkey, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LINES}) AS place FROM lineitem"
 
 
-@query(f"SELECT source, batch, count(*) AS items, sum(n_chars)::BIGINT AS chars, min(doc_id) AS first_id FROM ({_CHUNKS}) GROUP BY source, batch")
+def _line_batches(spark, sf_dir) -> DataFrame:
+    """An order's lines with their place, in batches of three."""
+    order = [F.col(c) for c in _LINES.split(", ")]
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", *_LINES.split(", ")[:2], "l_suppkey")
+    return layout.batches(lines, ["l_orderkey"], order, 3).withColumn("place", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order)))
+
+
+@query(f"SELECT l_orderkey, ((place - 1) // 3)::INTEGER AS batch, count(*) AS items, min(l_partkey) AS first_part FROM ({_CHUNKS}) GROUP BY ALL")
 def chunk_batches(spark, sf_dir):
-    """Batches of six in each source's order."""
-    d = layout.batches(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), ["source"], [F.col("doc_id")], 6)
-    return d.groupBy("source", "batch").agg(F.count(F.lit(1)).alias("items"), F.sum("n_chars").alias("chars"), F.min("doc_id").alias("first_id"))
+    """Batches of three of each order's lines, in their order over the whole order."""
+    return _line_batches(spark, sf_dir).groupBy("l_orderkey", "batch").agg(F.count(F.lit(1)).alias("items"), F.min("l_partkey").alias("first_part"))
 
 
 @query(f"""
-WITH RECURSIVE c AS ({_CHUNKS}), s AS (SELECT *, row_number() OVER (PARTITION BY source, batch ORDER BY doc_id) AS rn, least(n_chars, 8000) AS size FROM c),
+WITH RECURSIVE c AS (SELECT *, ((place - 1) // 3)::INTEGER AS batch, floor(l_extendedprice)::BIGINT AS size FROM ({_CHUNKS})),
+s AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, batch ORDER BY place) AS rn, max(size) OVER (PARTITION BY l_orderkey, batch) > 80000 AS too_large FROM c),
 f AS (
-  SELECT source, batch, rn, doc_id, size AS bytes, 1 AS n, 0 AS part FROM s WHERE rn = 1
+  SELECT l_orderkey, batch, rn, place, size AS bytes, 1 AS n, 0 AS part FROM s WHERE rn = 1 AND NOT too_large
   UNION ALL
-  SELECT s.source, s.batch, s.rn, s.doc_id, CASE WHEN f.n >= 4 OR f.bytes + s.size > 8000 THEN s.size ELSE f.bytes + s.size END, CASE WHEN f.n >= 4 OR f.bytes + s.size > 8000 THEN 1 ELSE f.n + 1 END,
-         f.part + CASE WHEN f.n >= 4 OR f.bytes + s.size > 8000 THEN 1 ELSE 0 END
-  FROM f JOIN s ON s.source = f.source AND s.batch = f.batch AND s.rn = f.rn + 1
+  SELECT s.l_orderkey, s.batch, s.rn, s.place, CASE WHEN f.n >= 2 OR f.bytes + s.size > 80000 THEN s.size ELSE f.bytes + s.size END, CASE WHEN f.n >= 2 OR f.bytes + s.size > 80000 THEN 1 ELSE f.n + 1 END,
+         f.part + CASE WHEN f.n >= 2 OR f.bytes + s.size > 80000 THEN 1 ELSE 0 END
+  FROM f JOIN s ON s.l_orderkey = f.l_orderkey AND s.batch = f.batch AND s.rn = f.rn + 1
 )
-SELECT source, batch, doc_id, part FROM f""")
+SELECT l_orderkey, batch, place, part FROM f UNION ALL SELECT l_orderkey, batch, place, -1 FROM s WHERE too_large""")
 def byte_split(spark, sf_dir):
-    """D3: batches of six cut again at 8000 characters or four items, in order; a longer document counts 8000."""
-    d = layout.batches(table(spark, sf_dir, "documents").select("source", "doc_id", F.least("n_chars", F.lit(8000)).alias("size")), ["source"], [F.col("doc_id")], 6)
-    g = d.groupBy("source", "batch").agg(F.sort_array(F.collect_list(F.struct("doc_id", "size"))).alias("s"))  # six at most
-    parts = layout.byte_split(F.transform("s", lambda x: x["size"]), 8000, 4)
-    return g.select("source", "batch", F.explode(F.arrays_zip(F.transform("s", lambda x: x["doc_id"]).alias("doc_id"), parts.alias("part"))).alias("x")).select("source", "batch", "x.doc_id", "x.part")
+    """Those batches cut again at 80,000 or two items, in order; a batch with a larger item is an error (-1)."""
+    d = _line_batches(spark, sf_dir).withColumn("size", F.floor("l_extendedprice"))
+    g = d.groupBy("l_orderkey", "batch").agg(F.sort_array(F.collect_list(F.struct("place", "size"))).alias("s"))  # three at most
+    parts = F.coalesce(layout.byte_split(F.transform("s", lambda x: x["size"]), 80_000, 2), F.transform("s", lambda x: F.lit(-1)))
+    return g.select("l_orderkey", "batch", F.explode(F.arrays_zip(F.transform("s", lambda x: x["place"]).alias("place"), parts.alias("part"))).alias("x")).select("l_orderkey", "batch", "x.place", "x.part")
 
 
 def _order_tasks(spark, sf_dir) -> DataFrame:
