@@ -87,3 +87,43 @@ def test_no_near_copies_after_the_join_stage(spark):
             common_n.update((j, i) for j in held[g])
             held[g].append(i)
     assert len(rows) < docs.count() and not [p for p, c in common_n.items() if 100 * c >= 75 * (len(sets[p[0]]) + len(sets[p[1]]) - c)]
+
+
+@pytest.mark.parametrize("kind", ["hard", "empty"])
+def test_hard_rows_and_empty_tables_through_all_stages(spark, tmp_path, kind):
+    """Nulls in any column, empty and long texts, repeated rows and clashing columns: each stage on the raw rows, all in turn, and run()."""
+    raw = cases.hard(spark) if kind == "hard" else cases.empty(spark)
+    raw.write.parquet(f"{tmp_path}/documents.parquet")
+    known = [(i, 1, 0) for i in range(100, 130)] + [(13, 0, 0), (9, 0, 0), (None, 1, 1), (5, None, None)] if kind == "hard" else []
+    spark.createDataFrame(known, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    raw = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    alone, docs, ids = {}, raw, Counter(r[0] for r in raw.select("doc_id").collect())
+    for name, stage in corpus_pipeline.STAGES:
+        alone[name] = [r.asDict() for r in stage(spark, raw, str(tmp_path)).collect()]
+        docs = common.materialize(stage(spark, docs, str(tmp_path)), f"test-{name}")
+        if name != "best_fit_packing":
+            assert docs.columns == raw.columns
+        assert {r["doc_id"] for r in alone[name]} <= set(ids)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+    if kind == "empty":
+        assert not any(alone.values()) and docs.count() == 0
+        return
+    spoken = Counter(r["doc_id"] for r in alone["language_id"])
+    assert not {1, 2, 3, 9} & set(spoken) and spoken[20] in (0, 40) and spoken[4] in (0, 2, 3)
+    good = Counter(r["doc_id"] for r in alone["quality_gam"])
+    assert all(good[i] in (0, n) for i, n in ids.items() if i not in (None, 4)) and sum(good[i] for i in range(100, 130)) > 25
+    words = Counter()
+    for r in cases.hard_rows():
+        words[r[0]] += len(test_joins.WORD.findall(r[1] or ""))
+    packed = Counter()
+    for r in alone["best_fit_packing"]:
+        packed[r["doc_id"]] += r["length"]
+    assert packed == words
+
+
+def test_copies_of_a_row_are_made_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 7)
+    docs = cases.docs(spark, [(1, "a b c", "s")] * 100 + [(2, "d e", "s"), (3, "", "s")])
+    got = packing.best_fit_pack(docs, capacity=10).collect()
+    assert sorted(r["copy"] for r in got if r["doc_id"] == 1) == list(range(1, 101)) and Counter(r["doc_id"] for r in got) == Counter({1: 100, 2: 1, 3: 1})
+    assert len({r["bin_id"] for r in got if r["doc_id"] == 1}) == 100

@@ -8,9 +8,9 @@ query takes op5's components of near copies as clusters; the pipeline's stage, w
 
 Scale: texts never move, only ids, lengths and hashes. Items are dealt by hash to shards of about SHARD_ITEMS and
 every shard is packed alone, so bins need no agreement between tasks and a shard's memory is bounded. Equal rows
-are counted before the exchange and dealt out by their number, so copies of one row spread over the shards.
+are counted before the exchange, and their number is dealt out in runs of COPIES, so that no task makes all copies of one row.
 
-Defined cases: null or wordless texts have length 0 and no bin. Null sources are one source. Repeated rows are packed
+Defined cases: null or wordless texts have length 0 and no bin. Null and empty sources are one source. Repeated rows are packed
 each, never two in a bin (same cluster). Equal lengths are taken in order of a hash of the row. Extra columns are ignored.
 """
 
@@ -18,7 +18,9 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -26,7 +28,8 @@ from pyspark.sql.window import Window as W
 from tracewright.llm import common, jaccard_join
 
 CAPACITY, PER_SOURCE, SHARD_ITEMS = 2048, 4, 4096
-WORD = "[^\\x20\\x09-\\x0D]+"
+#: Copies of a row that one task makes at once.
+COPIES = 4096
 
 
 def pack(lengths: list[int], sources: list, clusters: list, capacity: int, per_source: int) -> list[int]:
@@ -72,6 +75,23 @@ def text_cluster() -> Column:
     return F.xxhash64(words)
 
 
+def word_counts(docs: DataFrame, cluster: Column) -> DataFrame:
+    """doc_id, source, cluster, words of every row."""
+    common.ship(docs.sparkSession)
+    kept = ["doc_id", "source", "cluster"]
+
+    def run(batches):
+        for batch in batches:
+            d = dict(zip(batch.schema.names, batch.columns, strict=True))
+            n = np.zeros(batch.num_rows, np.int64)
+            for at, data, offsets in common.text_chunks(d["text"]):
+                n[at : at + len(offsets) - 1] = np.bincount(common.words(data, offsets)[2], minlength=len(offsets) - 1)
+            yield pa.RecordBatch.from_arrays([*(d[c] for c in kept), pa.array(n)], [*kept, "words"])
+
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), cluster.cast("long").alias("cluster"), "text")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, source string, cluster long, words long")
+
+
 def best_fit_pack(docs: DataFrame, *, cluster: Column | None = None, groups: DataFrame | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """doc_id, source, cluster, copy, piece, start, length, bin_id of every piece (start and length in words).
 
@@ -79,21 +99,21 @@ def best_fit_pack(docs: DataFrame, *, cluster: Column | None = None, groups: Dat
     """
     spark = docs.sparkSession
     common.ship(spark)
-    length = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    cluster = text_cluster() if cluster is None else cluster
-    rows = docs.select("doc_id", "source", cluster.cast("long").alias("cluster"), length.alias("words"))
+    rows = word_counts(docs, text_cluster() if cluster is None else cluster)
     item = ["doc_id", "source", "cluster", "words"]
     rows = rows.groupBy(*item).count()
-    before = F.lit(0)
+    before = F.lit(0).cast("long")
     if groups is not None:
         rows, groups = common.materialize(rows, "packing-texts"), common.materialize(groups, "packing-groups")
         rows = rows.join(groups, "cluster", "left").withColumn("cluster", F.coalesce("group", "cluster"))
         rows = rows.groupBy(*item).agg(F.sum("count").alias("count"))
         # Different texts of one id in one group are copies as well; a window has a row for each of their lengths.
         window = W.partitionBy("doc_id", "source", "cluster").orderBy("words").rowsBetween(W.unboundedPreceding, -1)
-        before = F.coalesce(F.sum("count").over(window), F.lit(0))
-    rows = rows.select(*item, "count", before.cast("int").alias("before"))
-    rows = common.materialize(rows.select(*item, F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("count").cast("int"))).alias("copy")), "packing")
+        before = F.coalesce(F.sum("count").over(window), F.lit(0)).cast("long")
+    rows = rows.select(*item, before.alias("before"), (before + F.col("count")).alias("last"))
+    rows = rows.withColumn("first", F.explode(F.sequence(F.col("before") + 1, F.col("last"), F.lit(COPIES).cast("long")))).repartition(*item, "first")
+    each = F.explode(F.sequence(F.col("first"), F.least("last", F.col("first") + (COPIES - 1))))
+    rows = common.materialize(rows.select(*item, each.alias("copy")).withColumn("copy", F.col("copy").cast("int")), "packing")
     shards = max(1, round(rows.filter(F.col("words") % capacity > 0).count() / shard_items))
     key = F.xxhash64("doc_id", "source", "cluster", "words", "copy")
     full = (F.col("words") / capacity).cast("long")
@@ -116,6 +136,8 @@ def best_fit_pack(docs: DataFrame, *, cluster: Column | None = None, groups: Dat
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every row, see best_fit_pack(); near copies are gone by now, so clusters are equal words: copies made by the mixing stage
+    never share a bin. An empty table has no pieces."""
     return best_fit_pack(docs)
 
 
