@@ -117,6 +117,8 @@ def _mixed(docs: DataFrame, names: list[str], copy: str, weights: dict[str, floa
     rows = rows.select(*own, F.struct(F.col(at)["id"].alias("id"), count.alias("n")).alias(at)).filter(F.col(at)["n"] > 0)
     first = F.explode(F.sequence(F.lit(1).cast("long"), F.col(at)["n"], F.lit(CHUNK).cast("long")))
     rows = rows.select(*own, at, first.alias(f"{at}_from"))
+    if max(mean.values(), default=0.0) > CHUNK:  # runs of copies of one row go to several tasks
+        rows = rows.repartition(at, f"{at}_from")
     each = F.explode(F.sequence(F.col(f"{at}_from"), F.least(F.col(at)["n"], F.col(f"{at}_from") + (CHUNK - 1))))
     rows = rows.select(*own, F.col(at)["id"].alias(at), each.alias(f"{at}_copy")).select(*own, at, F.col(f"{at}_copy").cast("int").alias(copy))
     key = F.md5(F.concat(F.lit(f"order {seed}|"), F.col(at), F.lit("|"), F.col(f"`{copy}`").cast("string")).cast("binary"))
