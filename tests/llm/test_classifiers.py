@@ -182,6 +182,49 @@ def test_features_by_hand():
     assert np.isclose(np.expm1(f["log_words"]), 8) and np.isclose(f["repeated_lines"], 1 / 3) and np.isclose(f["digits"], 2 / 25) and np.isclose(f["distinct_words"], 5 / 8)
 
 
+def features_by_hand(text):
+    text = text or ""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    words, lines = [w for w in re.split(r"[\x20\x09-\x0D]+", low) if w], [x for x in low.split("\n") if x]
+    chars, some, n_lines = max(len(text), 1), max(len(words), 1), max(len(lines), 1)
+    share = lambda kinds: sum(c in kinds for c in text) / chars
+    size = lambda w: len(w.encode())
+    spaces = sum(c in " \t\n\v\f\r" for c in text)
+    return [
+        np.log1p(len(words)), (chars - spaces) / some, share("#$%&*<>^~=+@\\_/{}[]"), share("|"), share("#$%&*"), share(".,;:'\"()-"), share("!?"), share("0123456789"),
+        sum("A" <= c <= "Z" for c in text) / chars, sum(ord(c) > 127 for c in text) / chars, spaces / chars, len(words) / n_lines, 1 - max(len(set(lines)), 1) / n_lines,
+        len(set(words)) / some, max(map(size, words), default=0), sum(size(w) <= 3 for w in words) / some,
+    ]
+
+
+def test_all_features_by_hand():
+    rng = np.random.default_rng(6)
+    pieces = ["word", "Word", "é", "日本語", " ", "  ", "\n", "\t", "|", "#", "?!", "12", "a.b", "(x)", "end\n", "\U0001F600", "LONGWORD" * 4]
+    texts = ["".join(rng.choice(pieces, rng.integers(0, 40))) for _ in range(60)] + ["", None, "\n\n", " "]
+    got = quality_gam.features(pa.array(texts, pa.string()))
+    assert np.allclose(got, [features_by_hand(t) for t in texts])
+
+
+def test_gam_learning_by_hand():
+    """One round over one feature is the plain Newton tree: the best two cuts of the ordered bins, found by trying all."""
+    rng = np.random.default_rng(7)
+    g, h = rng.normal(size=7), rng.random(7) + 0.1
+    gain = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 4.0)
+
+    def grow(a, b, depth):
+        cuts = [c for c in range(a + 1, b) if depth]
+        best = max(cuts, key=lambda c: gain(a, c) + gain(c, b), default=None)
+        if best is None or gain(a, best) + gain(best, b) <= gain(a, b) + 1e-9:
+            return [-g[a:b].sum() / (h[a:b].sum() + 4.0)] * (b - a)
+        return grow(a, best, depth - 1) + grow(best, b, depth - 1)
+
+    assert np.allclose(quality_gam._step(g, h, 4.0), grow(0, 7, 2))
+    gg, hh = rng.normal(size=(4, 5)), rng.random((4, 5)) + 0.1
+    loss = lambda out: float((gg * out + 0.5 * (hh + 0) * out * out).sum())
+    values, gained = quality_gam._step2(gg, hh, 4.0)
+    assert loss(values) < 0 and gained > 0 and len(np.unique(values)) <= 4
+
+
 def test_features_do_not_depend_on_chunks(monkeypatch):
     texts = pa.array([cases.prose(i, 1 + i % 40) for i in range(50)] + ["", None, "é" * 30])
     whole = quality_gam.features(texts)
