@@ -70,7 +70,9 @@ class Shard:
             radius = np.sqrt(np.maximum.reduceat(((x - np.repeat(centre, n, 0)) ** 2).sum(1), self.starts))
             norms = np.sqrt((q * q).sum(1))
             bounds = np.minimum(bounds, _above(q @ centre.T + norms[:, None] * radius, norms[:, None] * (np.sqrt((centre**2).sum(1)) + radius)))
-            turned, squares = np.ascontiguousarray(x.T), np.ascontiguousarray((x * x).T)
+            turned = np.ascontiguousarray(x.T)
+            squares = turned * turned
+            lengths = squares.sum(0)
         out = []
         for i in range(len(q)):
             order = np.argsort(-bounds[i], kind="stable")
@@ -86,7 +88,7 @@ class Shard:
                     got = x[rows] @ q[i]
                     self.products += len(rows) * d
                 else:
-                    rows, got = self._finish(q[i], turned, squares, rows, floor)
+                    rows, got = self._finish(q[i], turned, squares, lengths, rows, floor)
                 self.scored += len(rows)
                 times = np.minimum(self.counts[rows], k)
                 ids, scores = np.concatenate([ids, np.repeat(self.ids[rows], times)]), np.concatenate([scores, np.repeat(got, times)])
@@ -94,22 +96,25 @@ class Shard:
                 ids, scores = ids[best], scores[best]
                 if len(ids) == k and scores[-1] > floor:
                     floor = scores[-1]
-                at, step = at + step, min(64, step * 4)
+                at, step = at + step, 16 if step == 1 else len(order)
             keep = (scores >= floors[i]).astype(bool)
             out.append((ids[keep], scores[keep]))
         return out
 
-    def _finish(self, q, turned, squares, rows, floor):
+    def _finish(self, q, turned, squares, lengths, rows, floor):
         """Those of the rows whose score may reach the floor, with their scores."""
         order = np.argsort(-np.abs(q), kind="stable")
         rest_q = np.append(np.sqrt(np.cumsum((q[order] ** 2)[::-1])[::-1]), 0.0)
-        got, rest_x = np.zeros(len(rows)), squares[:, rows].sum(0)
+        got, rest_x = np.zeros(len(rows)), lengths[rows]
         for t in range(0, len(order), TERMS):
             dims = order[t : t + TERMS]
             if not rest_q[t]:
                 break  # the query has no more terms
-            got = got + q[dims] @ turned[np.ix_(dims, rows)]
-            rest_x = rest_x - squares[np.ix_(dims, rows)].sum(0)
+            if 3 * len(rows) > len(lengths):  # most of the index: cheaper as a whole than by row
+                got, rest_x = got + (q[dims] @ turned[dims])[rows], rest_x - squares[dims].sum(0)[rows]
+            else:
+                part = turned[np.ix_(dims, rows)]
+                got, rest_x = got + q[dims] @ part, rest_x - (part * part).sum(0)
             self.products += len(rows) * len(dims)
             more = rest_q[min(t + TERMS, len(order))] * np.sqrt(np.maximum(rest_x, 0.0))
             able = _above(got + more, np.abs(got) + more) >= floor
@@ -163,7 +168,8 @@ def _met(held: DataFrame, asked: DataFrame, shards: int, chunks: int, k: int, *,
     place = F.pmod(F.xxhash64("vec_id", "hash"), F.lit(chunks))
     query = asked.withColumn("chunk", place).groupBy("chunk").applyInPandas(_query_blob, "chunk long, q_ids binary, q_hashes binary, q_floors binary, q_values binary")
     to = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")), chosen))
-    met = held.repartition(shards, "shard").join(query.withColumn("shard", to).repartition(shards, "shard").hint("merge"), "shard")
+    parts = 4 * shards  # so that two shards seldom fall to one task
+    met = held.repartition(parts, "shard").join(query.withColumn("shard", to).repartition(parts, "shard").hint("merge"), "shard")
 
     def run(batches):
         for batch in batches:
