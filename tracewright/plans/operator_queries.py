@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright import schemas
 from tracewright.functions import misc, render, text, urls
 from tracewright.operators import contracts, layout, report, rules, verdict
+from tracewright.plans import pipeline
 from tracewright.plans.queries import query, table
-from tracewright.sources import files, legacy
+from tracewright.sources import files, gateway, legacy, pdf
 
 _quoted = lambda items: ", ".join(f"'{x}'" for x in items)
 _REGIONS = f"""WITH r AS (
@@ -319,3 +322,92 @@ def report_blocks(spark, sf_dir):
     """An order's results under the heading of their picture, by picture and result."""
     x = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct((F.col("l_linenumber") % 3).alias("rights_image_index"), F.col("l_linenumber").alias("result_index"), F.struct("l_partkey", "l_suppkey").alias("ord"), F.array(F.concat(F.lit("line "), F.col("l_partkey").cast("string"))).alias("lines")).alias("x"))
     return x.groupBy("l_orderkey").agg(F.array_join(report.blocks(F.collect_list("x")), "\n").alias("blocks"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 6 IN (0, 1) THEN 0 ELSE 2 END AS page_count, CASE WHEN p_size % 6 IN (0, 1) THEN 0.0::DOUBLE ELSE (100 + p_size)::DOUBLE END AS first_width, CASE WHEN p_size % 6 IN (0, 1) THEN 0.0::DOUBLE ELSE 20.5::DOUBLE END AS last_height,
+  CASE WHEN p_size % 6 = 0 THEN 'PDF_INVALID' WHEN p_size % 6 = 1 THEN 'PDF_ENCRYPTED' ELSE '' END AS problem FROM part""")
+def pdf_sizes(spark, sf_dir):
+    """Page counts and sizes of PDFs written by rule; a box can be inherited from the page tree."""
+    n = F.col("p_size")
+    head = F.when(n % 6 == 0, "%PDX-1.4\n").otherwise("%PDF-1.4\n")
+    pages = F.format_string("1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R 4 0 R] /Count 2 /MediaBox [0 0 %d 50] >> endobj\n", 100 + n)
+    own = F.lit("3 0 obj << /Type /Page /Parent 2 0 R >> endobj\n4 0 obj << /Type /Page /Parent 2 0 R /MediaBox [0 -10 30 10.5] >> endobj\n")
+    locked = F.when(n % 6 == 1, "trailer << /Encrypt 9 0 R >>").otherwise("")
+    made = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), F.concat(head, pages, own, locked).cast("binary").alias("content"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return pdf.opened(made).select(F.col("path").cast("long").alias("p_partkey"), "page_count", zero(F.get("sizes", F.lit(0))["width"]).alias("first_width"), zero(F.get("sizes", F.lit(1))["height"]).alias("last_height"), F.coalesce("problem", F.lit("")).alias("problem"))
+
+
+def _answer(stage: str, request: str, correction: str | None) -> str:
+    """A model: what it says depends on the number asked, and on whether it was told to correct itself."""
+    asked = int(request) % 6
+    if asked == 0:
+        raise gateway.ModelError(503)
+    if asked == 1:
+        raise gateway.ModelError(400)
+    good = json.dumps({"headers": [], "rows": [], "warnings": [f"about {request}"]})
+    said = "not json" if asked == 2 or asked == 3 and correction is None else '{"rows": []}' if asked == 4 else good
+    return json.dumps({"choices": [{"message": {"content": said}}]})
+
+
+@query("""SELECT c_custkey::VARCHAR AS doc_id, CASE WHEN c_custkey % 6 IN (0, 1) THEN 'MODEL_UNAVAILABLE' WHEN c_custkey % 6 IN (2, 4) THEN 'INVALID_MODEL_OUTPUT' ELSE '' END AS error, CASE WHEN c_custkey % 6 IN (3, 5) THEN 'about ' || c_custkey ELSE '' END AS said FROM customer""")
+def model_answers(spark, sf_dir):
+    """Answers of a model behind a provider, with a second attempt and a correction; no second one after a refusal."""
+    requests = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"), F.lit(0).alias("batch"), F.lit(0).alias("part"), F.col("c_custkey").cast("string").alias("request"))
+    got = gateway.CallProvider(_answer).answers("table", requests)
+    return got.select("doc_id", F.coalesce("error", F.lit("")).alias("error"), F.coalesce(F.get_json_object("output", "$.warnings[0]"), F.lit("")).alias("said"))
+
+
+_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}.parquet' AS name, true AS some, true AS small" for t in _TABLES))
+def folder_files(spark, sf_dir):
+    """The files of a folder, as a listing gives them; contents aren't read."""
+    name = F.regexp_extract("path", "([^/]+\\.parquet)(?:/[^/]*)?$", 1)
+    f = files.listing(spark, sf_dir).select(name.alias("name"), (F.col("length") > 0).alias("some"), (F.col("length") < 1 << 30).alias("small"), F.col("modified").isNotNull().alias("dated"))
+    return f.filter("dated").groupBy("name").agg(F.bool_or("some").alias("some"), F.bool_and("small").alias("small"))
+
+
+def _finished(k: Column) -> Column:
+    """A customer as a finished record of an old history; counts, pages and lists of some don't agree."""
+    finding = F.struct(F.lit("X").alias("code"), F.lit("RESULT").alias("scope"), F.lit(1).alias("rightsImageIndex"), F.lit(2).alias("resultIndex"), F.lit("url").alias("field"), F.concat(F.lit("m"), k.cast("string")).alias("message"))
+    some = F.when(k % 2 == 0, F.array(finding)).otherwise(F.filter(F.array(finding), lambda _: F.lit(False)))
+    none = F.filter(F.array(finding), lambda _: F.lit(False))
+    report_of = F.struct(none.alias("certificateIssues"), some.alias("resultIssues"), F.when(k % 7 == 0, none).otherwise(some).alias("issues"), none.alias("verificationNotices"))
+    summary = F.struct(
+        F.lit("m").alias("parserMode"), F.when(k % 5 == 0, 3).otherwise(2).alias("pageCount"), F.lit(2).alias("rightsFieldCount"), F.lit(1).alias("groupCount"), F.lit(1).alias("tableRowCount"), F.lit(1).alias("screenshotHeadingCount"),
+        F.when(k % 11 == 0, F.array(F.lit("w"))).otherwise(F.array().cast("array<string>")).alias("warnings"), F.lit(0.9).alias("confidence"), F.lit(True).alias("extractionComplete"),
+    )
+    at = F.lit("2024-01-02T03:04:05Z")
+    return F.struct(
+        F.concat(F.lit("t"), k.cast("string")).alias("id"), F.lit("f.pdf").alias("fileName"), (k * 10).alias("fileSize"), F.lit("application/pdf").alias("fileType"), F.lit("completed").alias("status"), F.lit(2).alias("processedPages"), F.lit(2).alias("totalPages"),
+        at.alias("createdAt"), at.alias("completedAt"), F.lit(100).alias("progress"), F.lit(schemas.MODEL).alias("model"), F.when(k % 3 == 0, 9).otherwise(F.size(report_of["issues"])).alias("issueCount"), summary.alias("summary"), F.lit("text").alias("reportText"), report_of.alias("report"),
+    )
+
+
+@query(f"""SELECT 'o' || c_custkey AS owner_email, 't' || c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'issues_found' ELSE 'needs_review' END AS outcome, ((c_custkey + 1) % 2)::INTEGER AS issue_count, '{misc.LEGACY_NOTICE}' || chr(10) || chr(10) || 'text' AS report_text
+FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 11 <> 0 AND (c_custkey % 7 <> 0 OR c_custkey % 2 = 1)""")
+def legacy_finished(spark, sf_dir):
+    """Finished records of old histories: counts, pages, lists and completeness must agree; the outcome follows from the issues."""
+    h = table(spark, sf_dir, "customer").select(F.concat(F.lit("o"), F.col("c_custkey").cast("string")).alias("owner_email"), F.to_json(F.array(_finished(F.col("c_custkey"))), {"ignoreNullFields": "false"}).alias("text"))
+    return legacy.legacy_tasks(h).select("owner_email", "id", "outcome", "issue_count", "report_text")
+
+
+_PAGES = "WITH d AS (SELECT c_custkey::VARCHAR AS doc_id, c_nationkey AS pages, c_custkey % 4 AS kind FROM customer)"
+
+
+@query(f"""{_PAGES}, ok AS (SELECT * FROM d WHERE pages BETWEEN 1 AND 80 AND kind NOT IN (1, 2)), p AS (SELECT doc_id, unnest(range(1, pages + 1))::INTEGER AS page_number FROM ok)
+SELECT doc_id, page_number, (page_number - 1) // 6 AS batch, (page_number - 1) % 6 AS part, '' AS code FROM p UNION ALL SELECT doc_id, -1, -1, -1, 'PDF_INVALID' FROM d WHERE NOT (pages BETWEEN 1 AND 80 AND kind NOT IN (1, 2))""")
+def planned_batches(spark, sf_dir):
+    """Documents that are admitted, and the batches and parts of their pages; pictures of 13 MiB go alone."""
+    k = F.col("c_custkey") % 4
+    d = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("doc_id"), F.when(k == 1, "a.png").otherwise("a.pdf").alias("file_name"), F.when(k == 2, 0).otherwise(10).cast("long").alias("file_size"), F.lit(None).cast("string").alias("file_type"), F.col("c_nationkey").alias("page_count"),
+    )
+    good, bad = pipeline.admitted(d)
+    pages = good.withColumn("page_number", F.explode(F.sequence(F.lit(1), F.col("page_count")))).withColumn("item", F.col("page_number").cast("string"))
+    measured = pages.select("doc_id", F.lit("page").alias("kind"), "item", F.lit(13 << 20).cast("long").alias("bytes"))
+    placed, _ = pipeline.cut(pages, gateway.ReplayProvider(measured, measured), "page", schemas.MAX_BATCH_ITEMS, [F.col("page_number")])
+    none = F.lit(-1)
+    return placed.select("doc_id", "page_number", "batch", "part", F.lit("").alias("code")).unionByName(bad.select("doc_id", none.alias("page_number"), none.alias("batch"), none.alias("part"), "code"))
