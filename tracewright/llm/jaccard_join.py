@@ -388,7 +388,7 @@ def index_blocks(sets: DataFrame) -> DataFrame:
 
 
 def met_blocks(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """class, other, links, derived: a class's linked documents in one meeting (other null), spanning links, and of each meeting (class null) the numbers of sets and of derived answers."""
+    """class, other, links, derived: a class's linked documents in one meeting (other null), links as stars, and of each meeting (class null) the numbers of sets and of derived answers."""
 
     def side(row, mark):
         part = lambda name, kind: np.frombuffer(row[mark + name], kind)
@@ -415,7 +415,7 @@ def meeting(one, two) -> pa.RecordBatch:
     others, other_copies, other = one if two is None else two
     off = 0 if two is None else len(classes)
     label = np.arange(off + len(others))
-    links, spanning, n_derived = np.zeros(len(label), np.int64), [], 0
+    links, n_derived = np.zeros(len(label), np.int64), 0
     for i, found, derived in block_links(index, other):
         n_derived += derived
         if two is None:
@@ -424,12 +424,15 @@ def meeting(one, two) -> pa.RecordBatch:
             continue
         links[i] += other_copies[found].sum()
         links[off + found] += copies[i]
-        parts, first = np.unique(label[off + found], return_index=True)
-        spanning += [(int(classes[i]), int(others[found[f]])) for p, f in zip(parts, first, strict=True) if p != label[i]]
+        parts = np.unique(label[off + found])
         label[np.isin(label, parts)] = label[i]
     ids = classes if two is None else np.concatenate([classes, others])
+    # What is linked here, as stars around the smallest class: a group that one meeting finds whole needs no further step.
+    order = np.lexsort((ids, label))
+    first = np.concatenate([[True], label[order][1:] != label[order][:-1]])
+    centre = ids[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
     some = np.flatnonzero(links)
-    rows = [(int(ids[k]), None, int(links[k]), None) for k in some] + [(a, b, 0, None) for a, b in spanning] + [(None, None, len(classes), n_derived)]
+    rows = [(int(ids[k]), None, int(links[k]), None) for k in some] + [(int(a), int(b), 0, None) for a, b in zip(ids[order][~first], centre[~first], strict=True)] + [(None, None, len(classes), n_derived)]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["class", "other", "links", "derived"])
 
 
