@@ -15,10 +15,17 @@ __all__ = ["LOWER", "NON_WORD", "SPACE", "fold", "hash_sample_bound", "materiali
 
 #: Documents of one vectorised step hold about this many bytes together (a longer text is its own step).
 CHUNK_BYTES = 1 << 20
+#: A table with less than this for each core is dealt out when it is read.
+SMALL_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A table of a folder. A file's row group is read by one task; a table too small to have a row group for each core is dealt out first,
+    since work on a text costs far more than moving it once."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_BYTES else df
 
 
 def fold(key: str, folds: int) -> Column:
