@@ -1,10 +1,11 @@
 import json
 import zlib
 
+import pytest
 from golden import GOLDEN
 
 from tracewright.operators import layout
-from tracewright.sources import gateway, pdf, prompts
+from tracewright.sources import files, gateway, pdf, prompts
 
 
 def made(*objects, head=b"%PDF-1.7\n"):
@@ -58,3 +59,22 @@ def test_sizes_on_the_command_line(tmp_path, capsys):
     assert pdf.main([str(good)]) == 0 and pdf.main([str(good), str(bad)]) == 1
     lines = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
     assert lines[0]["pageCount"] == 2 and lines[0]["pages"][1] == {"page": 2, "width": 612.0, "height": 792.5} and lines[2]["problem"] == "PDF_INVALID"
+
+
+def test_uploads_are_written_whole_and_removed_once(spark, tmp_path):
+    store = files.FileStore(spark, str(tmp_path / "up"))
+    name = "0f8fad5b-d9cb-469f-a165-70867728950e.pdf"
+    path = store.store(name, b"%PDF-1.7 body")
+    assert (tmp_path / "up" / name).read_bytes() == b"%PDF-1.7 body" and (tmp_path / "up" / name).stat().st_mode & 0o777 == 0o600
+    with pytest.raises(OSError):
+        store.store(name, b"another")
+    assert (tmp_path / "up" / name).read_bytes() == b"%PDF-1.7 body" and not [f for f in (tmp_path / "up").iterdir() if f.name.endswith(".part")]
+    for bad in ("x.pdf", f"../{name}", f"{name}\n"):
+        with pytest.raises(ValueError):
+            store.store(bad, b"")
+    store.remove(path)
+    store.remove(path)
+    assert not (tmp_path / "up" / name).exists()
+    for bad in ("/etc/passwd", f"{tmp_path}/up/../x", f"{tmp_path}/up", f"{tmp_path}/upper/x"):
+        with pytest.raises(ValueError):
+            store.remove(bad)
