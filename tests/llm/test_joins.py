@@ -158,9 +158,10 @@ def test_shuffled_rows_are_linear(spark, monkeypatch):
     assert (few > 0).all() and (many <= 2.2 * few + 10).all()
 
 
-@pytest.mark.parametrize("hot", [3, 10])
-def test_hot_shingles_are_not_held(spark, monkeypatch, hot):
-    """Shingles of many classes leave the counting task and get their count back, so that the answer is the same."""
+@pytest.mark.parametrize("hot, most", [(3, 20_000), (10, 20_000), (3, 2), (10**9, 2)])
+def test_hot_shingles_are_not_held(spark, monkeypatch, hot, most):
+    """Shingles of many classes leave the counting task and get their count back, and few tasks count in groups: the answer is the same."""
+    monkeypatch.setattr(jaccard_join, "MOST_PARTS", most)
     monkeypatch.setattr(jaccard_join, "PART", 500)
     monkeypatch.setattr(jaccard_join, "FLUSH", 300)
     rng = random.Random(12)
@@ -171,8 +172,13 @@ def test_hot_shingles_are_not_held(spark, monkeypatch, hot):
     described = jaccard_join.describe_sets(docs)
     df = lambda x: {(r["class"], r["token"]): r["df"] for r in x.collect()}
     kept, passed = df(jaccard_join.shared_shingles(described, hot=10**9)), df(jaccard_join.shared_shingles(described, hot=hot))
-    assert {k for k, v in kept.items()} == {k for k in passed} and all(passed[k] >= v for k, v in kept.items())
+    assert kept.keys() == passed.keys() and all(passed[k] >= v for k, v in kept.items())
     assert len({(t, v) for (_, t), v in passed.items()}) == len({t for _, t in passed})  # one count a shingle
+    counter = jaccard_join._Counter(hot, 50)
+    out = [b for i in range(40) for b in counter.add(np.arange(10), np.full(10, i))] + list(counter.finish())
+    out = [r for b in out for r in b.to_pylist()]
+    without = [r for r in out if r["class"] is not None and r["df"] is None]
+    assert len(out) >= 400 and (len(without) == 400 and all(r["df"] >= 40 for r in out if r["class"] is None) if hot < 40 else not without)
     monkeypatch.setattr(jaccard_join, "shared_shingles", lambda d, f=jaccard_join.shared_shingles: f(d, hot=hot))
     assert answer(jaccard_join.jaccard_components(docs)) == join_by_hand(rows)
 

@@ -45,8 +45,10 @@ PERCENT = 75
 #: Share of the hash range whose shingles are counted first: the low range.
 POSTED = 0.30
 _LOW = np.uint64(int(POSTED * 2**64))
-#: Shingles that a counting task holds on average, those in a task that sends them, and from how many classes on one isn't held.
+#: Shingles that a counting task holds at once on average, those in a task that sends them, and from how many classes on one isn't held.
 PART, FLUSH, HOT = 4_000_000, 1_000_000, 65_536
+#: Counting tasks at most: Spark keeps a number for each pair of tasks of an exchange.
+MOST_PARTS = 20_000
 #: A block of similar sets has about so many classes, or so many shingles, at most.
 BLOCK, BLOCK_SHINGLES = 256, 2_000_000
 #: Two classes that link share so many shingles of prefixes that are as much longer (fewer, where a set is that small).
@@ -125,94 +127,133 @@ def describe_sets(docs: DataFrame) -> DataFrame:
     return _text_rows(docs).mapInArrow(run, "doc_id long, text_hash long, n long, class long, low long, posted binary")
 
 
+def _dealt(at: np.ndarray, tokens: np.ndarray, owners: np.ndarray, name: str) -> pa.RecordBatch:
+    """Shingles and their classes as a row of blobs for each number in `at`."""
+    order = np.argsort(at, kind="stable")
+    at, tokens, owners = at[order], tokens[order], owners[order]
+    cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    ends = np.append(cuts[1:], len(at))
+    blobs = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(at[cuts].astype(np.int64)), blobs(tokens), blobs(owners)], [name, "tokens", "owners"])
+
+
+def _flushed(pairs, number, name: str, flush: int):
+    """(shingles, classes) dealt out by a number of the shingle, about `flush` of them at a time."""
+    tokens, owners, held = [], [], 0
+    for t, o in pairs:
+        tokens.append(t), owners.append(o)
+        held += len(t)
+        if held >= flush:
+            whole = np.concatenate(tokens)
+            yield _dealt(number(whole), whole, np.concatenate(owners), name)
+            tokens, owners, held = [], [], 0
+    if held:
+        whole = np.concatenate(tokens)
+        yield _dealt(number(whole), whole, np.concatenate(owners), name)
+
+
+class _Counter:
+    """Counts the classes of each shingle of one group; gives class, token, df of those that several hold. From 2 x `part` on it passes hot ones on."""
+
+    def __init__(self, hot: int, part: int):
+        self.hot, self.part = hot, part
+        self.reset()
+
+    def reset(self):
+        self.tokens, self.owners, self.held, self.most = [], [], 0, 2 * self.part
+        self.counted: dict[int, int] = {}  # hot shingles: their rows are passed on without df
+
+    def add(self, tokens: np.ndarray, owners: np.ndarray):
+        self.tokens.append(tokens), self.owners.append(owners)
+        self.held += len(tokens)
+        if self.held >= self.most:
+            yield from self._pass_hot()
+
+    def _ordered(self):
+        t, o = np.concatenate(self.tokens), np.concatenate(self.owners)
+        order = np.lexsort((o, t))
+        t, o = t[order], o[order]
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (o[1:] != o[:-1])
+        t, o = t[new], o[new]
+        edges = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        df = np.diff(np.append(edges, len(t)))
+        return t, o, t[edges], df, np.repeat(df, df)
+
+    def _known(self, t):
+        for x in self.counted:
+            self.counted[x] += int(np.searchsorted(t, x, "right") - np.searchsorted(t, x))
+        return np.isin(t, np.fromiter(self.counted, np.int64, len(self.counted)))
+
+    @staticmethod
+    def _rows(classes, tokens, df):
+        for a in range(0, len(tokens), 1 << 16):
+            part = slice(a, a + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(x[part], pa.int64()) if x is not None else pa.nulls(len(tokens[part]), pa.int64()) for x in (classes, tokens, df)], ["class", "token", "df"])
+
+    def _pass_hot(self):
+        t, o, named, df, _ = self._ordered()
+        for x in named[df > self.hot].tolist():
+            self.counted.setdefault(x, 0)
+        much = self._known(t)
+        yield from self._rows(o[much], t[much], None)
+        self.tokens, self.owners, self.held = [t[~much]], [o[~much]], int((~much).sum())
+        self.most = max(2 * self.part, 2 * self.held)
+
+    def finish(self):
+        if self.held:
+            t, o, _, _, each = self._ordered()
+            late = self._known(t)
+            yield from self._rows(o[late], t[late], None)
+            more = (each > 1) & ~late
+            yield from self._rows(o[more], t[more], each[more])
+        if self.counted:
+            yield from self._rows(None, np.array(list(self.counted)), np.array(list(self.counted.values())))
+        self.reset()
+
+
 def shared_shingles(described: DataFrame, *, hot: int = HOT) -> DataFrame:
     """class, token, df for the counted shingles that more than one class holds.
 
-    Shingles are dealt to a fixed number of buckets, in blobs (one a bucket for each FLUSH shingles of a task). A task that
-    counts holds PART shingles on average. A shingle of more classes than `hot` doesn't stay in its memory: its
-    rows are passed on without df and get it from a join; their df counts copies of other tasks again, but it is one number.
+    Shingles are dealt to buckets, in blobs (one a bucket for each FLUSH shingles of a task). A task counts the shingles of its buckets, PART at a time on
+    average: beyond MOST_PARTS tasks, a task sorts its shingles into groups (Spark's sort, which spills) and counts one group after the other. A shingle of
+    more classes than `hot` doesn't stay in memory: its rows are passed on without df and get it from a join; their df counts copies of
+    other tasks again, but it is one number.
     """
     spark = described.sparkSession
     common.ship(spark)
     total = described.agg(F.coalesce(F.sum(F.octet_length("posted")), F.lit(0))).first()[0] // 8
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
-    buckets = 4 * parts
+    parts = min(MOST_PARTS, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART)))
+    buckets, groups = 4 * parts, max(1, -(-total // (PART * parts)))
+    part, flush = PART, FLUSH
 
     def post(batches):
-        tokens, owners, held = [], [], 0
-
-        def flush():
-            t, o = np.concatenate(tokens), np.concatenate(owners)
-            at = t % np.uint64(buckets)
-            order = np.argsort(at, kind="stable")
-            at, t, o = at[order], t[order], o[order]
-            cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            ends = np.append(cuts[1:], len(at))
-            blobs = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(at[cuts].astype(np.int64)), blobs(t), blobs(o)], ["bucket", "tokens", "owners"])
+        pairs = ((np.frombuffer(blob.as_buffer(), np.uint64), c) for batch in batches for c, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        yield from _flushed(((t, np.full(len(t), c, np.int64)) for t, c in pairs), lambda t: t % np.uint64(buckets), "bucket", flush)
 
-        for batch in batches:
-            for c, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                t = np.frombuffer(blob.as_buffer(), np.uint64)
-                tokens.append(t), owners.append(np.full(len(t), c, np.int64))
-                held += len(t)
-                if held >= FLUSH:
-                    yield flush()
-                    tokens, owners, held = [], [], 0
-        if held:
-            yield flush()
+    def blobs(batch, kind):
+        return ((np.frombuffer(t.as_buffer(), kind), np.frombuffer(o.as_buffer(), np.int64)) for t, o in zip(batch.column(1), batch.column(2), strict=True))
 
-    def meet(batches):
-        tokens, owners, held, most = [], [], 0, 2 * PART
-        counted: dict[int, int] = {}
-        rows = lambda c, t, df: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(t, pa.int64()), pa.array(df, pa.int64())], ["class", "token", "df"])
-        nulls = lambda n: pa.nulls(n, pa.int64())
-
-        def ordered():
-            t, o = np.concatenate(tokens), np.concatenate(owners)
-            order = np.lexsort((o, t))
-            t, o = t[order], o[order]
-            new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (o[1:] != o[:-1])
-            t, o = t[new], o[new]
-            edges = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            df = np.diff(np.append(edges, len(t)))
-            return t, o, t[edges], df, np.repeat(df, df)
+    def regroup(batches):
+        yield from _flushed((pair for batch in batches for pair in blobs(batch, np.uint64)), lambda t: t // np.uint64(buckets) % np.uint64(groups), "group", flush)
 
+    def meet(batches):
+        counter, now = _Counter(hot, part), None
         for batch in batches:
-            for t, o in zip(batch.column(1), batch.column(2), strict=True):
-                t, o = np.frombuffer(t.as_buffer(), np.int64), np.frombuffer(o.as_buffer(), np.int64)
-                tokens.append(t), owners.append(o)
-                held += len(t)
-            if held >= most:
-                t, o, named, df, each = ordered()
-                much = (each > hot) | np.isin(t, np.fromiter(counted, np.int64, len(counted)))
-                for x, c in zip(named[df > hot].tolist(), df[df > hot].tolist(), strict=True):
-                    counted.setdefault(x, 0)
-                for x in counted:
-                    counted[x] += int(np.searchsorted(t, x, "right") - np.searchsorted(t, x))
-                for a in range(0, int(much.sum()), 1 << 16):
-                    c = o[much][a : a + (1 << 16)]
-                    yield rows(c, t[much][a : a + (1 << 16)], nulls(len(c)))
-                tokens, owners, held = [t[~much]], [o[~much]], int((~much).sum())
-                most = max(2 * PART, 2 * held)
-        if held:
-            t, o, named, df, each = ordered()
-            late = np.isin(t, np.fromiter(counted, np.int64, len(counted)))
-            for x in counted:
-                counted[x] += int(np.searchsorted(t, x, "right") - np.searchsorted(t, x))
-            if late.any():
-                yield rows(o[late], t[late], nulls(int(late.sum())))
-            more = (each > 1) & ~late
-            at = np.flatnonzero(more)
-            for a in range(0, len(at), 1 << 16):
-                i = at[a : a + (1 << 16)]
-                yield rows(o[i], t[i], each[i])
-        if counted:
-            yield rows(nulls(len(counted)), list(counted), list(counted.values()))
+            for group, (t, o) in zip(batch.column(0).to_pylist(), blobs(batch, np.int64), strict=True):
+                if group != now:
+                    yield from counter.finish()
+                    now = group
+                yield from counter.add(t, o)
+        yield from counter.finish()
 
     packed = described.filter("posted is not null").select("class", "posted").mapInArrow(post, "bucket long, tokens binary, owners binary")
-    found = common.materialize(packed.repartition(parts, "bucket").mapInArrow(meet, "class long, token long, df long"), "shared")
+    packed = packed.repartition(parts, "bucket")
+    if groups > 1:
+        packed = packed.mapInArrow(regroup, "group long, tokens binary, owners binary").sortWithinPartitions("group")
+    else:
+        packed = packed.select(F.lit(0).cast("long").alias("group"), "tokens", "owners")
+    found = common.materialize(packed.mapInArrow(meet, "class long, token long, df long"), "shared")
     often = found.filter("class is null").select("token", F.col("df").alias("often"))
     late = found.filter("class is not null and df is null").select("class", "token").distinct().join(often, "token").select("class", "token", F.col("often").alias("df"))
     return found.filter("class is not null and df is not null").unionByName(late)
