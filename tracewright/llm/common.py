@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.shipping import materialize, scratch_dir, ship
+from tracewright.shipping import materialize, passing, scratch_dir, ship
 
-__all__ = ["LOWER", "NON_WORD", "SPACE", "fold", "hash_sample_bound", "materialize", "mix", "one_text_a_document", "per_row", "scratch_dir", "ship", "span_hashes", "table", "text_chunks", "words"]
+__all__ = ["LOWER", "NON_WORD", "SPACE", "fold", "hash_sample_bound", "materialize", "mix", "one_text_a_document", "passing", "per_row", "scratch_dir", "ship", "span_hashes", "table", "text_chunks", "words"]
 
 #: Documents of one vectorised step hold about this many bytes together (a longer text is its own step).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: A table with less than this for each core is dealt out when it is read.
 SMALL_BYTES = 4 << 20
 

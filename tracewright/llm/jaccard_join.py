@@ -483,18 +483,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Written tables: describe_sets(), the classes (class, rep, text_hash, copies, n, low), and met_blocks()."""
-    described = common.materialize(describe_sets(docs), "sets")
-    classes = described.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("low").alias("low"))
-    classes = common.materialize(classes, "classes")
-    prefix = common.materialize(prefixes(shared_shingles(described), classes), "prefixes")
-    members = common.materialize(grouped(prefix).withColumn("block", block("head", "part")), "members")
-    pairs = common.materialize(block_pairs(prefix, members), "block-pairs")
-    several = members.groupBy("block").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("block")
-    needed = several.unionByName(pairs.select(F.explode(F.array("i", "j")).alias("block"))).distinct()
-    wanted = common.materialize(members.join(needed, "block").select("class", "block").join(classes, "class").select("class", "block", "rep", "text_hash", "copies"), "wanted")
-    blocks = common.materialize(index_blocks(whole_sets(docs, wanted)), "blocks")
-    return described, classes, common.materialize(met_blocks(blocks, pairs), "links")
+    """Written tables: the rows (doc_id, text_hash, n, class), the classes (class, rep, text_hash, copies, n, low), and met_blocks(). All others are removed."""
+    with common.passing(docs.sparkSession) as outside:
+        described = common.materialize(describe_sets(docs), "sets")
+        rows = common.materialize(described.select("doc_id", "text_hash", "n", "class"), "rows", outside)
+        classes = described.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("low").alias("low"))
+        classes = common.materialize(classes, "classes", outside)
+        prefix = common.materialize(prefixes(shared_shingles(described), classes), "prefixes")
+        members = common.materialize(grouped(prefix).withColumn("block", block("head", "part")), "members")
+        pairs = common.materialize(block_pairs(prefix, members), "block-pairs")
+        several = members.groupBy("block").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("block")
+        needed = several.unionByName(pairs.select(F.explode(F.array("i", "j")).alias("block"))).distinct()
+        wanted = common.materialize(members.join(needed, "block").select("class", "block").join(classes, "class").select("class", "block", "rep", "text_hash", "copies"), "wanted")
+        blocks = common.materialize(index_blocks(whole_sets(docs, wanted)), "blocks")
+        return rows, classes, common.materialize(met_blocks(blocks, pairs), "links", outside)
 
 
 def derived_sets(met: DataFrame) -> tuple[int, int]:
@@ -505,7 +507,7 @@ def derived_sets(met: DataFrame) -> tuple[int, int]:
 
 def _answers(docs: DataFrame) -> DataFrame:
     """jaccard_components() with the rows' text_hash and their component's root class (null for empty sets)."""
-    described, classes, met = linked_classes(docs)
+    described, classes, met = linked_classes(docs)  # the rows with their class and size
     roots = components(met.filter("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")))
     ends = met.filter("class is not null and other is null").groupBy("class").agg(F.sum("links").alias("links"))
     whole = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")).join(ends, "class", "left")
