@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import common, language_id, quality_gam, toxicity
 
-SF = "/root/testdata/sf0.01"
+SF, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
@@ -58,9 +58,9 @@ def test_held_out_language(spark):
     assert (p["lang"] == p["lang_pred"]).mean() > 0.97
 
 
-@needs_data
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test data")
 def test_held_out_toxicity(spark):
-    docs, known = common.table(spark, "/root/testdata/sf0.1", "documents"), common.table(spark, "/root/testdata/sf0.1", "labels")
+    docs, known = common.table(spark, LARGER, "documents"), common.table(spark, LARGER, "labels")
     p = toxicity.score_toxicity(docs, toxicity.train(docs, known)).filter("held_out").join(known, "doc_id").toPandas()
     toxic, caught = p["toxic"] == 1, p["predicted"] == 1
     assert toxic.sum() >= 20 and (toxic & caught).sum() >= 0.8 * toxic.sum() and (toxic & caught).sum() >= 0.95 * caught.sum()
