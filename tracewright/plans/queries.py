@@ -354,7 +354,7 @@ SELECT o_orderkey AS doc_id, coalesce(issue_codes, '') AS issue_codes, coalesce(
        CASE WHEN coalesce(shots, 0) > 0 AND NOT all_linked THEN 0.0::DOUBLE ELSE 0.9::DOUBLE END AS confidence, (o_orderstatus = 'F')::INTEGER * 2 AS rights_fields
 FROM orders LEFT JOIN g ON d = o_orderkey LEFT JOIN c ON l_orderkey = o_orderkey""")
 def audit_orders(spark, sf_dir):
-    """The whole audit of every order: rules, completeness, outcome."""
+    """The whole audit of every order: rules, completeness, outcome."""
     done = audit(materialize(order_requests(spark, sf_dir), "order-requests"))  # read five times
     codes = lambda c: F.array_join(F.transform(c, lambda f: f["code"]), ",")
     return done.select("doc_id", codes("issues").alias("issue_codes"), codes("notices").alias("notice_codes"), "outcome", F.col("summary.confidence").alias("confidence"), F.col("summary.rightsFieldCount").alias("rights_fields"))
