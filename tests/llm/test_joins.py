@@ -112,6 +112,17 @@ def test_join_rows_without_id(spark):
     assert answer(jaccard_join.jaccard_components(cases.docs(spark, [(i, t, "s") for i, t in rows]))) == want
 
 
+def test_join_one_id_for_many_texts(spark):
+    """An id that a third of all rows bears, under different texts and repeated rows, brings each text once."""
+    rng, base = random.Random(9), cases.prose(520, 80).split()
+    rows = [(7, changed(base, rng, rng.randrange(3))) for _ in range(40)] + [(7, " ".join(base))] * 60 + [(i, changed(base, rng, 1)) for i in range(100, 110)] + [(i, cases.prose(5200 + i, 40)) for i in range(200, 260)]
+    docs = cases.docs(spark, [(i, t, "s") for i, t in rows])
+    assert answer(jaccard_join.jaccard_components(docs)) == join_by_hand(rows)
+    described = jaccard_join.describe_sets(docs)
+    known = described.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("text_hash")).select("class", F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("block"), "rep", "text_hash")
+    assert jaccard_join.whole_sets(docs.coalesce(1), known).coalesce(1).count() <= known.count() * 5  # a task gives each set once
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 10**6))
 def test_block_links(seed):

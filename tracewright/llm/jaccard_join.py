@@ -342,21 +342,24 @@ def block_pairs(prefix: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """class, copies, block, shingles (blob) of the given classes(class, rep, text_hash, copies, block), once or more each."""
+    """class, copies, block, shingles (blob) of the given classes(class, rep, text_hash, copies, block), at most once from a task."""
     common.ship(docs.sparkSession)
     carried = ["class", "copies", "block"]
 
     def run(batches):
+        seen: set[int] = set()  # repeated rows of a task count once
         for batch in batches:
             d = dict(zip(batch.schema.names, batch.columns, strict=True))
-            wanted = d["class"].to_pylist()
-            sets = [s.tobytes() if digest(s) == c else None for c, (_, s) in zip(wanted, sets_of(d["text"]), strict=True)]
+            new = [c not in seen and not seen.add(c) for c in d["class"].to_pylist()]
+            batch = batch.filter(pa.array(new, pa.bool_()))
+            d = dict(zip(batch.schema.names, batch.columns, strict=True))
+            sets = [s.tobytes() if digest(s) == c else None for c, (_, s) in zip(d["class"].to_pylist(), sets_of(d["text"]), strict=True)]
             found = pa.array(sets, pa.binary())
             yield pa.RecordBatch.from_arrays([*(d[c] for c in carried), found], [*carried, "shingles"]).filter(found.is_valid())
 
     rows = _text_rows(docs)
     # Some part of all texts is asked for, at any size of the input: never a broadcast.
-    numbered = rows.join(classes.filter("rep is not null").select(*carried, F.col("rep").alias("doc_id")).hint("merge"), "doc_id").select(*carried, "text")
+    numbered = rows.join(classes.filter("rep is not null").select(*carried, "text_hash", F.col("rep").alias("doc_id")).hint("merge"), ["doc_id", "text_hash"]).select(*carried, "text")
     # A class without any id is found by a text of its rows; copies are dropped first, so that at most one a task moves.
     nameless = rows.filter("doc_id is null").select("text_hash", "text").dropDuplicates(["text_hash"])
     nameless = nameless.join(classes.filter("rep is null").select(*carried, "text_hash"), "text_hash").select(*carried, "text")
@@ -487,7 +490,10 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     with common.passing(docs.sparkSession) as outside:
         described = common.materialize(describe_sets(docs), "sets")
         rows = common.materialize(described.select("doc_id", "text_hash", "n", "class"), "rows", outside)
-        classes = described.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("low").alias("low"))
+        # A class is fetched by one row of it, by id and text, so that an id that many texts bear brings no more than that.
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+        classes = described.filter("n > 0").groupBy("class").agg(first.alias("row"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("low").alias("low"))
+        classes = classes.select("class", F.col("row.doc_id").alias("rep"), F.col("row.text_hash").alias("text_hash"), "copies", "n", "low")
         classes = common.materialize(classes, "classes", outside)
         prefix = common.materialize(prefixes(shared_shingles(described), classes), "prefixes")
         members = common.materialize(grouped(prefix).withColumn("block", block("head", "part")), "members")
