@@ -7,8 +7,8 @@ sum of as many independent draws of smaller, equal means, which has the same dis
 row is exploded into that many copies, and all copies are dealt out and sorted by a hash of seed, id and copy.
 
 Scale: one pass counts rows by bucket (summed before the exchange; as many rows as weights are listed reach the
-driver, at most MAX_SOURCES), one draws, explodes and shuffles. Copies of one document have different keys, so no task gets them all,
-and no array holds more than CHUNK of them.
+driver, at most MAX_SOURCES), one draws, explodes and shuffles. Copies of one document have different keys, and rows that repeat an id are
+spread by the task that they come from, so no task gets them all; no array holds more than CHUNK copies.
 
 Defined cases: a null source belongs to OTHER. A null doc_id is drawn by its text's md5; rows with the same id (or, without id,
 the same text) get the same count. Null texts stay null. A bucket without rows gets nothing; its weight can't be reached, which a warning tells,
@@ -123,7 +123,8 @@ def _mixed(docs: DataFrame, names: list[str], copy: str, weights: dict[str, floa
     rows = rows.select(*own, F.col(at)["id"].alias(at), each.alias(f"{at}_copy")).select(*own, at, F.col(f"{at}_copy").cast("int").alias(copy))
     key = F.md5(F.concat(F.lit(f"order {seed}|"), F.col(at), F.lit("|"), F.col(f"`{copy}`").cast("string")).cast("binary"))
     dealt = rows.select(*own, F.col(f"`{copy}`"), key.alias(at))
-    return dealt.repartition(at).sortWithinPartitions(at).drop(at)
+    # Rows that repeat an id share their keys; the task that they come from spreads them.
+    return dealt.repartition(at, F.spark_partition_id()).sortWithinPartitions(at).drop(at)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
