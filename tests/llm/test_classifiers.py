@@ -97,7 +97,7 @@ def test_toxicity_gradient():
     rng = np.random.default_rng(3)
     x, y, w = rng.integers(0, 2, (40, 6)).astype(float), rng.integers(0, 2, 40).astype(float), rng.normal(size=6)
     d = rng.integers(-1, 2, (9, 6))
-    at = lambda w, b: toxicity.loss(w, b, x, y, d.T @ d / 9, 1.5, 0.1)
+    at = lambda w, b: toxicity.loss(w, b, x, y, 1 + 2 * y, d.T @ d / 9, 1.5, 0.1)
     _, g, gb = at(w, 0.3)
     for k in range(6):
         e = np.eye(6)[k] * 1e-5
