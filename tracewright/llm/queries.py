@@ -5,6 +5,7 @@ from __future__ import annotations
 from tracewright.llm.chat_rotation import OP9_SQL, op9_chat_rotation
 from tracewright.llm.jaccard_join import OP5_SQL, op5_jaccard_join
 from tracewright.llm.language_id import op8_language_id
+from tracewright.llm.line_dedup import OP13_SQL, op13_line_dedup
 from tracewright.llm.line_frequency import OP3_SQL, op3_line_frequency
 from tracewright.llm.mixing import OP7_SQL, op7_mix_sources
 from tracewright.llm.packing import op6_best_fit_packing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_chat_rotation": op9_chat_rotation,
     "op10_topk_search": op10_topk_search,
+    "op13_line_dedup": op13_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_line_frequency": OP3_SQL,
@@ -31,4 +33,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_mix_sources": OP7_SQL,
     "op9_chat_rotation": OP9_SQL,
     "op10_topk_search": OP10_SQL,
+    "op13_line_dedup": OP13_SQL,
 }
