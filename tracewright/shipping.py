@@ -50,7 +50,9 @@ def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFram
     spark = df.sparkSession
     path = f"{folder or _folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._tracewright_path = path
+    return written
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
@@ -58,6 +60,11 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard(written: DataFrame) -> None:
+    """Remove a table that materialize returned; nothing may read it any more."""
+    _delete(written.sparkSession, written._tracewright_path)
+
+
 def clear(spark: SparkSession) -> None:
     """Remove all intermediate tables of this application; results that were not written before are lost."""
     _delete(spark, "/".join([scratch_dir(spark), f"tracewright-{spark.sparkContext.applicationId}"]))
