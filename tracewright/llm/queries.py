@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tracewright.llm.ball_kmeans import OP11_SQL, op11_ball_kmeans
 from tracewright.llm.chat_rotation import OP9_SQL, op9_chat_rotation
 from tracewright.llm.jaccard_join import OP5_SQL, op5_jaccard_join
 from tracewright.llm.language_id import op8_language_id
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_chat_rotation": op9_chat_rotation,
     "op10_topk_search": op10_topk_search,
+    "op11_ball_kmeans": op11_ball_kmeans,
     "op13_line_dedup": op13_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -33,5 +35,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_mix_sources": OP7_SQL,
     "op9_chat_rotation": OP9_SQL,
     "op10_topk_search": OP10_SQL,
+    "op11_ball_kmeans": OP11_SQL,
     "op13_line_dedup": OP13_SQL,
 }
