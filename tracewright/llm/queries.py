@@ -11,6 +11,7 @@ from tracewright.llm.line_frequency import OP3_SQL, op3_line_frequency
 from tracewright.llm.mixing import OP7_SQL, op7_mix_sources
 from tracewright.llm.packing import op6_best_fit_packing
 from tracewright.llm.quality_gam import op1_quality_gam
+from tracewright.llm.token_alignment import op12_token_alignment
 from tracewright.llm.token_count import op4_token_count
 from tracewright.llm.topk_search import OP10_SQL, op10_topk_search
 from tracewright.llm.toxicity import op2_toxicity
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_chat_rotation": op9_chat_rotation,
     "op10_topk_search": op10_topk_search,
     "op11_ball_kmeans": op11_ball_kmeans,
+    "op12_token_alignment": op12_token_alignment,
     "op13_line_dedup": op13_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
