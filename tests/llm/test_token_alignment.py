@@ -102,7 +102,7 @@ def aligner():
 
 
 def joined(aligner, text):
-    numbers = aligner.numbers(text)
+    (numbers,) = aligner.numbers([text])
     if not text or any(aligner.n_a[u] < 0 for u in numbers):
         return ""
     return ";".join(aligner.groups[u] for u in numbers)
@@ -126,6 +126,16 @@ def test_a_text_is_one_unit_where_places_to_cut_are_not_proved(aligner, monkeypa
     aligner.forget()
 
 
+def test_both_libraries_for_a_agree(aligner, monkeypatch):
+    assert aligner.ranked
+    texts = [cases.prose(i, 50) + f" x{i}y <|endoftext|> {'ab' * i} {'aaa ' * i}it's DON'T\t--{i}.{i}%" for i in range(60)]
+    fast = [joined(aligner, t) for t in texts]
+    aligner.forget()
+    monkeypatch.setattr(aligner, "ranked", None)
+    assert [joined(aligner, t) for t in texts] == fast
+    aligner.forget()
+
+
 def test_best_pairs(spark):
     df = cases.docs(spark, [(i, cases.prose(i, 30), "s") for i in range(20)])
     chunks, stripes = token_alignment.encoded(df, A_PATH, B_PATH, matrix=8 << 20)

@@ -5,7 +5,8 @@ tokens of both end cut them into groups. Each elementary stretch between neighbo
 
 Texts are cut into units before a space or line feed that follows a character that isn't white space. No pre-token of A crosses such a place, and no piece of B
 does, since on the driver it is proved that no piece has its space sign after another character or a line feed beside one; otherwise a text
-is one unit. A unit is encoded by the libraries and aligned once for as long as it stays in a bounded cache, so that a common word costs one lookup.
+is one unit. A unit is encoded by the libraries and aligned once for as long as it stays in a bounded cache, so that a common word costs one lookup. ASCII units
+of A go to a faster library with the same ranks, where it is proved on the driver that both merge alike.
 
 Documents are read once and written as chunks: a row of figures each, and for every stripe of B's ids (id modulo the number of stripes, so that the low, frequent ids lie in
 different ones) one blob of the chunk's id pairs, their links, and which documents hold them how often. A task adds the pairs of a stripe with np.add.at to one dense
@@ -20,19 +21,21 @@ their doc_id; special strings are plain text; other columns are ignored. An empt
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from array import array
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tracewright.llm import common
-from tracewright.llm.token_count import byte_characters
+from tracewright.llm.token_count import PATTERN, byte_characters
 
 #: Bytes of text in a chunk (at most 65,535 documents), of a stripe's matrix, and of text for each task of a stripe.
 CHUNK, MATRIX, SALT = 4 << 20, 96 << 20, 16 << 30
@@ -49,67 +52,109 @@ class Aligner:
     def __init__(self, a_json: str, b_model: bytes):
         self.a, self.b = Tokenizer.from_str(a_json), sentencepiece.SentencePieceProcessor(model_proto=b_model)
         self.a.encode_special_tokens = True  # their strings in a text are then plain text
-        self.signs = byte_characters()
         self.sizes = self.a.get_vocab_size(with_added_tokens=True), self.b.vocab_size()
         pieces = [self.b.id_to_piece(i) for i in range(self.sizes[1])]
-        self.bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_SIGN, " ").encode() for i, p in enumerate(pieces)]
+        back = {sign: byte for byte, sign in byte_characters().items()}
+        self.a_bytes = [bytes([back[x] for x in t]) if all(x in back for x in t) else b"" for t in (self.a.id_to_token(i) or "" for i in range(self.sizes[0]))]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_SIGN, " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([len(x) for x in known], np.int64) for known in (self.a_bytes, self.b_bytes))
+        self.texts = [f"{i}{sign}" for i in range(max(self.sizes)) for sign in ",|;\n"]
         self.cuts = not any(SPACE_SIGN in p.lstrip(SPACE_SIGN) or "\n" in p and p != "\n" for p in pieces)
+        self.ranked = self._ranked(json.loads(a_json))
         self.forget()
 
-    def forget(self) -> None:
-        known = self
-
-        class Units(dict):
-            def __missing__(self, unit):
-                n = self[unit] = known.learn(unit)
-                return n
+    def _ranked(self, told: dict) -> tiktoken.Encoding | None:
+        """A faster library for A's ASCII units, if it surely gives the same: it merges neighbours by the rank of what they make, A by the rank of the pair. Where every
+        token is the only result of encoding its own string, and ids follow the merges, a token's last merge is the only way to it, and both are one."""
+        kind, model = told.get("pre_tokenizer") or {}, told["model"]
+        plain = kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True) and told.get("normalizer") is None and told.get("post_processor") is None
+        if not plain or model["type"] != "BPE" or model.get("ignore_merges") or model.get("dropout"):
+            return None
+        vocab = model["vocab"]
+        added = {t["content"] for t in told["added_tokens"]}
+        tokens = [t for t in vocab if t not in added]
+        made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        ids = [vocab.get(m, -1) for m in made]
+        single = {t for t in tokens if len(t) == 1}
+        if len(single) != 256 or set(made) | single != set(tokens) or any(x >= y for x, y in zip(ids, ids[1:], strict=False)) or max(map(vocab.get, single)) >= min(ids, default=1 << 31):
+            return None
+        if any(len(got) != 1 or got[0].value != t for t in tokens for got in [self.a.model.tokenize(t)]):
+            return None
+        return tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={self.a_bytes[vocab[t]]: vocab[t] for t in tokens}, special_tokens={})
 
-        self.units, self.groups = Units(), []
+    def forget(self) -> None:
+        self.units, self.groups = {}, []
         self.n_a, self.n_b, self.n_groups, self.ends, self.pairs = array("q"), array("q"), array("q"), array("q", [0]), array("q")
 
-    def numbers(self, text: str) -> list[int]:
-        """The units of space + text."""
-        whole = " " + text
-        return list(map(self.units.__getitem__, UNIT.findall(whole))) if self.cuts else [self.units[whole]]
-
-    def tokens(self, unit: str) -> tuple[list[int], list[int], list[int], list[int]] | None:
-        """Ids and byte ends of the A and B tokens of a unit; None where they don't give its bytes."""
-        data = unit.encode()
-        got = self.a.encode(unit, add_special_tokens=False)
-        if "".join(got.tokens) != data.decode("latin-1").translate(self.signs):
-            return None
-        # B adds a space to what it is given: behind a line feed a unit stands as within a text.
-        ids = self.b.encode("\n" + unit)[2:] if self.cuts else self.b.encode(unit[1:])
-        parts = [self.bytes[i] for i in ids]
-        if b"".join(parts) != data:
-            return None
-        ends = lambda sizes: np.cumsum(sizes, dtype=np.int64).tolist()
-        return got.ids, ends([len(t) for t in got.tokens]), ids, ends([len(p) for p in parts])
-
-    def learn(self, unit: str) -> int:
-        found = self.tokens(unit)
-        if found is None:
-            self.n_a.append(_NO_TOKENS)
-            self.n_b.append(0)
-            self.n_groups.append(0)
-            self.groups.append("")
+    def numbers(self, texts: list[str]) -> list[list[int]]:
+        """The units of space + text, of each text; an empty one has none."""
+        cut = [(UNIT.findall(" " + t) if self.cuts else [" " + t]) if t else [] for t in texts]
+        self.learn([u for u in {u for us in cut for u in us} if u not in self.units])
+        number = self.units.__getitem__
+        return [list(map(number, us)) for us in cut]
+
+    def learn(self, units: list[str]) -> None:
+        """Encode and align new units."""
+        if self.ranked:
+            fast = self.ranked.encode_ordinary
+            a_ids = [fast(u) if u.isascii() else None for u in units]
         else:
-            a, a_ends, b, b_ends = found
-            i = j = from_a = from_b = 0
-            groups = []
-            while i < len(a):
-                self.pairs.append(b[j] * self.sizes[0] + a[i])
-                step = a_ends[i] - b_ends[j]
-                i, j = i + (step <= 0), j + (step >= 0)
-                if not step:
-                    groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-                    from_a, from_b = i, j
-            self.n_a.append(len(a))
-            self.n_b.append(len(b))
-            self.n_groups.append(len(groups))
-            self.groups.append(";".join(groups))
-        self.ends.append(len(self.pairs))
-        return len(self.groups) - 1
+            a_ids = [None] * len(units)
+        slow = [i for i, ids in enumerate(a_ids) if ids is None]
+        for i, got in zip(slow, self.a.encode_batch_fast([units[i] for i in slow], add_special_tokens=False) if slow else [], strict=True):
+            a_ids[i] = got.ids
+        # B adds a space to what it is given: behind a line feed a unit stands as within a text.
+        b_ids = self.b.encode(["\n" + u if self.cuts else u[1:] for u in units], num_threads=1) if units else []
+        self._add(units, a_ids, [b[2:] for b in b_ids] if self.cuts else b_ids)
+
+    def _add(self, units: list[str], a_ids: list[list[int]], b_ids: list[list[int]]) -> None:
+        """Align all new units at once: their bytes stand one after another, and both sides' tokens end together where a unit ends."""
+        if not units:
+            return
+        size = np.array([len(u) if u.isascii() else len(u.encode()) for u in units], np.int64)
+        fit = (self._size(a_ids, self.a_size) == size) & (self._size(b_ids, self.b_size) == size)
+        good = np.flatnonzero(fit)
+        if not self._gives([units[i] for i in good], [a_ids[i] for i in good], [b_ids[i] for i in good]):
+            fit[good] = [self._gives([units[i]], [a_ids[i]], [b_ids[i]]) for i in good]
+            good = np.flatnonzero(fit)
+        flat = lambda ids: np.fromiter((x for i in good for x in ids[i]), np.int64)
+        a, b = flat(a_ids), flat(b_ids)
+        a_end, b_end, end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), np.cumsum(size[good])
+        links, cuts = np.union1d(a_end, b_end), np.intersect1d(a_end, b_end, assume_unique=True)
+        # One pair for each stretch between neighbouring ends; tokens by group and side, each with the sign that follows it.
+        pairs = b[np.searchsorted(b_end, links)] * self.sizes[0] + a[np.searchsorted(a_end, links)]
+        side = np.concatenate([2 * np.searchsorted(cuts, a_end), 2 * np.searchsorted(cuts, b_end) + 1])
+        order = np.argsort(side, kind="stable")
+        side = side[order]
+        follows = np.zeros(len(side), np.int64)
+        last = np.flatnonzero(np.append(side[1:] != side[:-1], True)) if len(side) else side
+        follows[last] = 1 + side[last] % 2
+        follows[last[1::2][np.searchsorted(cuts, end)]] = 3
+        told = "".join(map(self.texts.__getitem__, (4 * np.concatenate([a, b])[order] + follows).tolist())).split("\n")
+        counts = np.full((4, len(units)), [[_NO_TOKENS], [0], [0], [0]], np.int64)
+        for row, ends in zip(counts, (a_end, b_end, cuts, links), strict=True):
+            row[good] = np.diff(np.searchsorted(ends, end, "right"), prepend=0)
+        groups = [""] * len(units)
+        for i, text in zip(good.tolist(), told, strict=False):  # the last one is what follows the last unit
+            groups[i] = text
+        self.units.update(zip(units, range(len(self.groups), len(self.groups) + len(units)), strict=True))
+        self.groups += groups
+        for kept, row in zip((self.n_a, self.n_b, self.n_groups), counts, strict=False):
+            kept.frombytes(row.tobytes())
+        self.ends.frombytes((self.ends[-1] + np.cumsum(counts[3])).tobytes())
+        self.pairs.frombytes(pairs.astype(np.int64).tobytes())
+
+    @staticmethod
+    def _size(ids: list[list[int]], sizes: np.ndarray) -> np.ndarray:
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        sums = np.concatenate([[0], np.cumsum(sizes[np.fromiter((x for i in ids for x in i), np.int64, int(n.sum()))])])
+        ends = np.cumsum(n)
+        return sums[ends] - sums[ends - n]
+
+    def _gives(self, units: list[str], a_ids: list[list[int]], b_ids: list[list[int]]) -> bool:
+        """Whether both sides' tokens, joined, are the units' bytes."""
+        data = "".join(units).encode()
+        return all(b"".join([known[x] for i in ids for x in i]) == data for ids, known in ((a_ids, self.a_bytes), (b_ids, self.b_bytes)))
 
 
 class Stripes:
@@ -185,7 +230,7 @@ def _batch(names: list[str], form: str, held: dict, n: int, key: pa.DataType) ->
 
 def _chunk(aligner: Aligner, stripes: Stripes, texts: list[str]) -> tuple[dict, dict]:
     """Figures of each text, and the blobs of each stripe that has links."""
-    numbers = [aligner.numbers(t) if t else [] for t in texts]
+    numbers = aligner.numbers(texts)
     size = np.array([len(u) for u in numbers], np.int64)
     unit = np.fromiter((u for us in numbers for u in us), np.int64, int(size.sum()))
     doc = np.repeat(np.arange(len(texts)), size)
