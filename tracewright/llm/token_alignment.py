@@ -38,9 +38,9 @@ from tracewright.llm import common
 from tracewright.llm.token_count import PATTERN, byte_characters
 
 #: Bytes of text in a chunk (at most 65,535 documents), of a stripe's matrix, and of text for each task of a stripe.
-CHUNK, MATRIX, SALT = 4 << 20, 96 << 20, 16 << 30
+CHUNK, MATRIX, SALT = 2 << 20, 64 << 20, 16 << 30
 #: Units kept by a worker between chunks, and their links.
-CACHE_UNITS, CACHE_LINKS = 300_000, 4_000_000
+CACHE_UNITS, CACHE_LINKS = 150_000, 2_000_000
 SPACE_SIGN = "▁"
 UNIT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 _NO_TOKENS = -1
@@ -217,6 +217,7 @@ def encoded(docs: DataFrame, a_path: str, b_path: str, *, chunk: int = CHUNK, ma
                     number += 1
                     if len(aligner.groups) > CACHE_UNITS or len(aligner.pairs) > CACHE_LINKS:
                         aligner.forget()
+        aligner.forget()  # the worker's next task may need the memory for a matrix
 
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return common.materialize(rows.mapInArrow(run, form), "token-chunks"), stripes
@@ -285,14 +286,15 @@ def _counted(blobs: DataFrame, stripes: Stripes, *keys: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([cells.astype(np.uint32).tobytes()], pa.binary()), pa.array([matrix[cells].tobytes()], pa.binary())], ["stripe", "cells", "links"])
 
     def run(batches):
-        at, matrix = None, None
+        at, matrix = None, np.zeros(stripes.rows * stripes.n_a, np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
                 key = tuple(batch.column(k)[i].as_py() for k in keys)
                 if key != at:
                     if at is not None:
                         yield done(at, matrix)
-                    at, matrix = key, np.zeros(stripes.rows * stripes.n_a, np.int64)
+                        matrix[:] = 0
+                    at = key
                 np.add.at(matrix, np.frombuffer(batch.column("cells")[i].as_py(), np.uint32), np.frombuffer(batch.column("links")[i].as_py(), np.int64))
         if at is not None:
             yield done(at, matrix)
@@ -316,7 +318,7 @@ def best_pairs(counts: DataFrame, stripes: Stripes) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                stripe, matrix = batch.column("stripe")[i].as_py(), _matrix(batch, i, stripes)
+                stripe, matrix = batch.column("stripe")[i].as_py(), _fill(np.zeros(stripes.rows * stripes.n_a, np.int64), batch, i)
                 cells = np.flatnonzero(matrix)
                 b, a = stripes.ids(stripe, cells)
                 best = matrix[cells] == matrix.reshape(stripes.rows, -1).max(1)[cells // stripes.n_a]
@@ -325,8 +327,8 @@ def best_pairs(counts: DataFrame, stripes: Stripes) -> DataFrame:
     return counts.mapInArrow(run, "b_id long, a_id long, n_links long, best boolean")
 
 
-def _matrix(batch: pa.RecordBatch, i: int, stripes: Stripes) -> np.ndarray:
-    matrix = np.zeros(stripes.rows * stripes.n_a, np.int64)
+def _fill(matrix: np.ndarray, batch: pa.RecordBatch, i: int) -> np.ndarray:
+    matrix[:] = 0
     matrix[np.frombuffer(batch.column("cells")[i].as_py(), np.uint32)] = np.frombuffer(batch.column("links")[i].as_py(), np.int64)
     return matrix
 
@@ -335,14 +337,14 @@ def scored(chunks: DataFrame, counts: DataFrame, stripes: Stripes, salts: int =
     """doc_id, the figures, n_best and count_sum of every document."""
 
     def score(batches):
-        at, matrix, best = None, None, None
+        at, matrix, best = None, np.zeros(stripes.rows * stripes.n_a, np.int64), None
         for batch in batches:
             for i in range(batch.num_rows):
                 key = batch.column("stripe")[i].as_py(), batch.column("salt")[i].as_py()
                 chunk = batch.column("chunk")[i].as_py()
                 if chunk is None:
-                    at, matrix = key, _matrix(batch, i, stripes)
-                    best = matrix.reshape(stripes.rows, -1).max(1)
+                    at = key
+                    best = _fill(matrix, batch, i).reshape(stripes.rows, -1).max(1)
                     continue
                 if key != at:
                     raise RuntimeError(f"counts of stripe {key[0]} are missing")
