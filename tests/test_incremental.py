@@ -1,0 +1,211 @@
+"""Runs that come again, calls that break off, and runs that are cancelled."""
+
+import json
+import os
+import sys
+import threading
+import time
+
+import pytest
+import test_pipeline_plan as plan
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+
+from tracewright.plans import incremental
+from tracewright.sources import gateway, ledger
+
+for module in (plan, plan.golden, sys.modules[__name__]):
+    cloudpickle.register_pickle_by_value(module)  # workers don't see the tests' folder
+
+GOOD = json.dumps({"choices": [{"message": {"content": json.dumps({"headers": [], "rows": [], "warnings": []})}}]})
+
+
+def saver(spark, root):
+    root.mkdir(exist_ok=True)
+
+    def save(df, name):
+        path = f"{root}/{len(os.listdir(root))}-{name}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return save
+
+
+def counting(folder, send):
+    """send, with a line for each call."""
+
+    def call(stage, request, correction):
+        with open(f"{folder}/calls", "a") as f:
+            f.write(json.dumps([stage, request]) + "\n")
+        return send(stage, request, correction)
+
+    return call
+
+
+def calls(folder):
+    try:
+        with open(f"{folder}/calls") as f:
+            return [tuple(json.loads(line)) for line in f]
+    except FileNotFoundError:
+        return []
+
+
+def requests(spark, n, twice=0):
+    rows = [(str(i), 0, 0, f'{{"n": {i}}}') for i in range(n)] + [(str(i), 0, 0, f'{{"n": {i}}}') for i in range(twice)]
+    return spark.createDataFrame(rows, gateway.REQUEST)
+
+
+def test_settled_keeps_order_and_bounds():
+    running, most, lock = [0], [0], threading.Lock()
+
+    def call(i):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        time.sleep(0.01 * (5 - i % 5))
+        with lock:
+            running[0] -= 1
+        if i % 4 == 3:
+            raise ValueError(i)
+        return i * i
+
+    got = ledger.settled(list(range(20)), 3, call)
+    assert [v for v, _ in got] == [None if i % 4 == 3 else i * i for i in range(20)] and most[0] == 3
+    assert [str(e) for _, e in got if e] == [str(i) for i in range(20) if i % 4 == 3]
+    assert ledger.settled([], 3, call) == []
+
+
+def test_answers_are_asked_once(spark, tmp_path):
+    book = ledger.AnswerLedger(spark, f"{tmp_path}/book")
+    send = counting(tmp_path, lambda stage, request, correction: GOOD)
+    make = lambda name="m", **more: ledger.LedgerProvider(send, book, name, tasks=2, calls=3, batch=4, **more)
+    first = make()
+    got = first.answers("table", requests(spark, 30, twice=5)).collect()
+    assert len(got) == 35 and all(r["error"] is None for r in got) and first.asked == {"table": 30} and len(calls(tmp_path)) == 30
+    again = make()
+    assert again.answers("table", requests(spark, 33)).filter("error is null").count() == 33 and again.asked == {"table": 3}
+    changed = spark.createDataFrame([("1", "v2"), ("2", None)], "doc_id string, fingerprint string")
+    assert make(versions=changed).answers("table", requests(spark, 33)).count() == 33 and len(calls(tmp_path)) == 34  # one document has another version
+    assert make("other").answers("table", requests(spark, 2)).count() == 2 and len(calls(tmp_path)) == 36  # another model
+
+
+def test_failures_are_rows_and_asked_again(spark, tmp_path):
+    book = ledger.AnswerLedger(spark, f"{tmp_path}/book")
+
+    def send(stage, request, correction):
+        n = json.loads(request)["n"]
+        if n == 1:
+            raise gateway.ModelError(503)
+        if n == 2:
+            raise gateway.ModelError(403)
+        if n == 3:
+            return "no json"
+        if n == 4:
+            raise RuntimeError("unforeseen")
+        return GOOD
+
+    provider = ledger.LedgerProvider(counting(tmp_path, send), book, "m", calls=2)
+    got = {r["doc_id"]: r["error"] for r in provider.answers("table", requests(spark, 6)).collect()}
+    assert got == {"0": None, "1": "MODEL_UNAVAILABLE", "2": "MODEL_UNAVAILABLE", "3": "INVALID_MODEL_OUTPUT", "4": "INTERNAL_ERROR", "5": None}
+    assert len(calls(tmp_path)) == 8  # two attempts after 503 and an invalid output, one after 403
+    mended = ledger.LedgerProvider(counting(tmp_path, lambda *a: GOOD), book, "m")
+    assert mended.answers("table", requests(spark, 6)).filter("error is null").count() == 6 and mended.asked == {"table": 4}
+
+
+def test_a_killed_worker_repeats_only_its_round(spark, tmp_path):
+    book = ledger.AnswerLedger(spark, f"{tmp_path}/book")
+
+    def dies(stage, request, correction):
+        if sum(1 for _ in open(f"{tmp_path}/calls")) >= 22 and not os.path.exists(f"{tmp_path}/died"):
+            open(f"{tmp_path}/died", "w").close()
+            os._exit(1)  # as a lost executor
+        return GOOD
+
+    make = lambda: ledger.LedgerProvider(counting(tmp_path, dies), book, "m", tasks=2, calls=1, batch=3)
+    with pytest.raises(Exception):  # noqa: B017  one process has no second attempt at a task
+        make().answers("table", requests(spark, 40)).collect()
+    before = calls(tmp_path)
+    kept = book.rows().count()
+    assert 22 <= len(before) <= 26 and kept >= 10
+    second = make()
+    assert second.answers("table", requests(spark, 40)).filter("error is null").count() == 40
+    assert second.asked == {"table": 40 - kept}  # what was kept isn't asked again
+    assert len(calls(tmp_path)) == len(before) + 40 - kept
+
+
+def documents(spark, rows):
+    df = spark.createDataFrame(rows, plan.DOCS + ", version int")
+    return df.withColumn("fingerprint", incremental.fingerprint("m", "file_name", "file_size", "file_type", "page_count", "version"))
+
+
+def run(spark, tmp_path, rows, send=plan.send, check=lambda: None, name="m", owner=""):
+    docs = documents(spark, rows)
+    book = ledger.AnswerLedger(spark, f"{tmp_path}/book{owner}")
+    provider = ledger.LedgerProvider(counting(tmp_path, send), book, name, versions=docs.select("doc_id", "fingerprint"), check=check)
+    store = incremental.AuditStore(spark, f"{tmp_path}/store{owner}")
+    root = tmp_path / f"steps-{owner}-{time.monotonic_ns()}"
+    audits, failed, asked = incremental.run(docs, provider, store, saver(spark, root), check=check)
+    return {r["doc_id"]: r["outcome"] for r in audits.collect()}, {r["doc_id"]: r["code"] for r in failed.collect()}, asked.groupBy("doc_id").count().collect()
+
+
+def test_only_changed_documents_run_again(spark, tmp_path):
+    names = ["example.pdf", "once.pdf", "badtable.pdf", "wrongpage.pdf", "note.txt", "down.pdf"]
+    rows = [(n, n, 100, None, 1, 1) for n in names]
+    outcomes, failed, asked = run(spark, tmp_path, rows)
+    assert outcomes == {"example.pdf": "passed", "once.pdf": "passed", "badtable.pdf": "needs_review"}
+    assert failed == {"wrongpage.pdf": "INVALID_MODEL_OUTPUT", "note.txt": "PDF_INVALID", "down.pdf": "MODEL_UNAVAILABLE"}
+    assert {r["doc_id"]: r["count"] for r in asked} == {"example.pdf": 4, "once.pdf": 4, "badtable.pdf": 4, "wrongpage.pdf": 1, "down.pdf": 1}
+    before = len(calls(tmp_path))
+    rows[0] = ("example.pdf", "example.pdf", 100, None, 1, 2)  # new content under the same name
+    again, failed_again, asked = run(spark, tmp_path, rows)
+    assert (again, failed_again) == (outcomes, failed)
+    assert {r["doc_id"]: r["count"] for r in asked} == {"example.pdf": 4, "down.pdf": 1}  # a lasting failure isn't asked again, a passing one is
+    assert len(calls(tmp_path)) == before + 4 + 2
+    gone, _, asked = run(spark, tmp_path, rows[1:2])
+    assert gone == {"once.pdf": "passed"} and asked == []
+
+
+def test_a_run_that_broke_off_is_not_read(spark, tmp_path):
+    steps = iter(range(30))
+
+    def check():
+        if next(steps) == 18:
+            raise ledger.Cancelled
+
+    rows = [("example.pdf", "example.pdf", 100, None, 1, 1)]
+    with pytest.raises(ledger.Cancelled):
+        run(spark, tmp_path, rows, check=check)
+    asked = len(calls(tmp_path))
+    assert asked and incremental.AuditStore(spark, f"{tmp_path}/store").manifest().count() == 0
+    outcomes, _, _ = run(spark, tmp_path, rows)
+    assert outcomes == {"example.pdf": "passed"} and len(calls(tmp_path)) == 4  # answers of the first run are used
+
+
+def test_one_owner_is_cancelled_and_the_other_goes_on(spark, tmp_path):
+    for name in ("slow", "quick"):
+        (tmp_path / name).mkdir()
+
+    answer = plan.send
+
+    def slow(stage, request, correction):
+        if stage == "evidence":
+            open(f"{tmp_path}/slow/begun", "w").close()
+            time.sleep(60)
+        return answer(stage, request, correction)
+
+    rows = [("example.pdf", "example.pdf", 100, None, 1, 1)]
+    runs = incremental.Runs(spark, slots=2)
+    runs.submit("slow@x", lambda check: run(spark, tmp_path / "slow", rows, slow, check, owner="s"))
+    runs.submit("quick@x", lambda check: run(spark, tmp_path / "quick", rows, check=check, owner="q"))
+    began = time.time()
+    while not os.path.exists(f"{tmp_path}/slow/begun"):
+        assert time.time() - began < 120
+        time.sleep(0.1)
+    at = time.time()
+    runs.cancel("slow@x")
+    assert runs.futures["slow@x"].result(50) == ("cancelled", None) and time.time() - at < 45  # the call under way isn't waited for
+    results = runs.results()
+    assert results["quick@x"][0] == "done" and results["quick@x"][1][0] == {"example.pdf": "passed"}
+    assert ledger.AnswerLedger(spark, f"{tmp_path}/slow/books").rows().filter(F.col("error").isNull()).count() == 1  # the layout's answer is kept
+    outcomes, _, _ = run(spark, tmp_path / "slow", rows, owner="s")
+    assert outcomes == {"example.pdf": "passed"} and [s for s, _ in calls(tmp_path / "slow")].count("layout") == 1

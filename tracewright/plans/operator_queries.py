@@ -211,6 +211,26 @@ def host_names(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", host.alias("host"), urls.joined_segments(F.array(F.concat(F.lit(" "), host), F.lit("/ａ "))).alias("joined"))
 
 
+#: Labels as they may be typed, and as browsers write them; empty where they reject the name.
+_TYPED = {
+    "stra\u00dfe": "xn--strae-oqa", "\u03b2\u03cc\u03bb\u03bf\u03c2": "xn--nxasmm1c", "\uff25\uff58ample": "example", "MA\u00d1ANA": "xn--maana-pta", "e\u0301clair": "xn--clair-9ra", "\u2603": "xn--n3h", "FA\u1e9e": "xn--fa-hia",
+    "\u0646\u0627\u0645\u0647\u200c\u0627\u06cc": "xn--mgba3gch31f060k", "\u0915\u094d\u200d\u0937": "xn--11b2ezcw70k", "XN--Bcher-KVA": "xn--bcher-kva", "a\u200db": "", "xn--a": "",
+}
+
+
+@query(f"""WITH t AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{t}', '{a}')" for i, (t, a) in enumerate(_TYPED.items()))}) t(label, typed, written)),
+p AS (SELECT page_id, label, written, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') AS path, typed FROM pages, t),
+w AS (SELECT *, regexp_replace(lower(replace(host, 'example', CASE WHEN written = '' THEN typed ELSE written END)), '^www\\.', '') AS name FROM p)
+SELECT page_id, label, name AS host, CASE WHEN written = '' THEN '' ELSE name || path END AS canonical_url FROM w""")
+def unicode_hosts(spark, sf_dir):
+    """the pages' addresses with a label of their hosts in other scripts and forms, as browsers write them."""
+    typed = F.posexplode(F.array(*[F.lit(t) for t in _TYPED])).alias("label", "typed")
+    p = table(spark, sf_dir, "pages").select("page_id", "url", typed)
+    host = F.regexp_extract("url", "^https?://([^/?#]*)", 1)
+    address = F.concat(F.regexp_extract("url", "^(https?://)", 1), F.replace(host, F.lit("example"), F.col("typed")), F.regexp_extract("url", "^https?://[^/?#]*(.*)$", 1))
+    return p.select("page_id", "label", urls.url_host(address).alias("host"), urls.canonical_url(address).alias("canonical_url"))
+
+
 _HOSTS = ["weibo.com", "m.weibo.com", "notweibo.com", "a.xiaohongshu.com", "www.douyin.com", "weibo.com.example.org"]
 
 

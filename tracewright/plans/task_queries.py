@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tracewright import schemas
 from tracewright.functions import misc
-from tracewright.operators import history
+from tracewright.operators import clustered, history
 from tracewright.plans.queries import query, table
+from tracewright.shipping import place
 from tracewright.streaming import tasks as store
 
 NOW = "2001-08-01T00:00:00.000Z"
@@ -236,3 +237,41 @@ def pending_deletions(spark, sf_dir):
     """Files waiting for deletion, each once under its first time, oldest first."""
     t = tasks(spark, sf_dir).filter("status = 'failed' and pdf_path is not null")
     return store.waiting(t.select("pdf_path", F.col("created_at").alias("queued_at")), 50)
+
+
+_HISTORY = """WITH t AS (SELECT printf('%010d', o_orderkey) AS id, 'segment-' || (o_custkey % 7) AS owner_email, o_orderpriority AS file_name, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') AS created_at,
+  CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'rendering' ELSE 'queued' END AS status, CASE WHEN o_orderstatus = 'F' AND o_totalprice > 200000 THEN 'needs_review' END AS outcome, CASE WHEN o_orderstatus = 'F' THEN floor(o_totalprice / 100000)::INTEGER END AS issue_count FROM orders)"""
+_PAGE = 25
+
+
+@query(f"""{_HISTORY}, p AS (SELECT owner_email, id, created_at, row_number() OVER (PARTITION BY owner_email ORDER BY created_at DESC, id DESC) AS place FROM t WHERE owner_email IN ('segment-1', 'segment-4') AND created_at <= '2000-06-30T00:00:00.000Z'),
+q AS (SELECT owner_email, id, created_at, row_number() OVER (ORDER BY created_at DESC, id DESC) AS place FROM t WHERE owner_email = 'segment-2' AND contains(lower(file_name), 'urgent')),
+k AS (SELECT owner_email, count_if(status NOT IN ('completed', 'failed'))::BIGINT AS active, count_if(coalesce(outcome, '') = 'needs_review')::BIGINT AS review, sum(coalesce(issue_count, 0))::BIGINT AS issues FROM t WHERE owner_email = 'segment-1' GROUP BY 1)
+SELECT 'page' AS kind, owner_email, id, created_at, place, true AS few_files FROM p WHERE place <= {3 * _PAGE} UNION ALL SELECT 'found', owner_email, id, created_at, place, true FROM q WHERE place <= {_PAGE}
+UNION ALL SELECT 'active', owner_email, '', '', active, true FROM k UNION ALL SELECT 'needs_review', owner_email, '', '', review, true FROM k UNION ALL SELECT 'issues', owner_email, '', '', issues, true FROM k""")
+def history_pages(spark, sf_dir):
+    """Pages of a history that is clustered by owner and time, each from its cursor, and the dashboard's figures from the index; a page reads three files at most."""
+    o = table(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "rendering").otherwise("queued")
+    done = F.col("o_orderstatus") == "F"
+    t = o.select(
+        F.format_string("%010d", "o_orderkey").alias("id"), F.concat(F.lit("segment-"), F.col("o_custkey") % 7).alias("owner_email"), F.col("o_orderpriority").alias("file_name"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created_at"),
+        status.alias("status"), F.when(done & (F.col("o_totalprice") > 200000), "needs_review").alias("outcome"), F.when(done, F.floor(F.col("o_totalprice") / 100000).cast("int")).alias("issue_count"),
+    )
+    kept = clustered.ClusteredHistory(spark, place(spark, "history"))
+    kept.write(t, file_rows=1000)
+    out = []
+    for owner in ("segment-1", "segment-4"):
+        after, n = None, 0
+        for _ in range(3):
+            page = kept.page(owner, created_to="2000-06-30T00:00:00.000Z", after=after, limit=_PAGE)
+            out += [("page", owner, r["id"], r["created_at"], n + i + 1, page.files_read <= 3) for i, r in enumerate(page.rows)]
+            n += len(page.rows)
+            if page.cursor is None:
+                break
+            after = kept.cursor(owner, page.cursor[1])  # as a client gives it: the id alone
+    page = kept.page("segment-2", query="uRGENT", limit=_PAGE)
+    out += [("found", "segment-2", r["id"], r["created_at"], i + 1, page.files_read <= 3) for i, r in enumerate(page.rows)]
+    figures = kept.kpis("segment-1").first()
+    out += [(c, "segment-1", "", "", figures[c], True) for c in ("active", "needs_review", "issues")]
+    return spark.createDataFrame(out, "kind string, owner_email string, id string, created_at string, place long, few_files boolean")

@@ -45,6 +45,11 @@ def _folder(spark: SparkSession) -> str:
     return "/".join([scratch_dir(spark), f"tracewright-{context.applicationId}", *getattr(context, "_tracewright_inside", [])])
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path among this application's tables."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write df as a table in the shared scratch folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
