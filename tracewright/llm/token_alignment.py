@@ -20,6 +20,8 @@ their doc_id; special strings are plain text; other columns are ignored. An empt
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import json
 import re
@@ -40,7 +42,7 @@ from tracewright.llm.token_count import PATTERN, byte_characters
 #: Bytes of text in a chunk (at most 65,535 documents), of a stripe's matrix, and of text for each task of a stripe.
 CHUNK, MATRIX, SALT = 2 << 20, 64 << 20, 16 << 30
 #: Units kept by a worker between chunks, and their links.
-CACHE_UNITS, CACHE_LINKS = 150_000, 2_000_000
+CACHE_UNITS, CACHE_LINKS = 100_000, 1_500_000
 SPACE_SIGN = "▁"
 UNIT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 _NO_TOKENS = -1
@@ -180,6 +182,18 @@ class Stripes:
 
 
 _aligners: dict[int, Aligner] = {}
+
+
+def release() -> None:
+    """Give the libraries' memory of an earlier task of this worker back, before a matrix is made."""
+    _aligners.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 FIGURES = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
 
@@ -286,6 +300,7 @@ def _counted(blobs: DataFrame, stripes: Stripes, *keys: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([cells.astype(np.uint32).tobytes()], pa.binary()), pa.array([matrix[cells].tobytes()], pa.binary())], ["stripe", "cells", "links"])
 
     def run(batches):
+        release()
         at, matrix = None, np.zeros(stripes.rows * stripes.n_a, np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
@@ -337,6 +352,7 @@ def scored(chunks: DataFrame, counts: DataFrame, stripes: Stripes, salts: int =
     """doc_id, the figures, n_best and count_sum of every document."""
 
     def score(batches):
+        release()
         at, matrix, best = None, np.zeros(stripes.rows * stripes.n_a, np.int64), None
         for batch in batches:
             for i in range(batch.num_rows):
