@@ -1,3 +1,4 @@
+import math
 import os
 import re
 import zlib
@@ -86,6 +87,7 @@ def test_toxicity_by_hand(spark):
     moments, n = toxicity.swap_moments(texts[:40])
     m = np.zeros((len(toxicity.TERMS),) * 2)
     pairs = [(s, o) for t in texts[:40] for s in t.split(".") for o in toxicity.swapped(s)]
+    assert len(pairs) == sum(len(toxicity.IDENTITY_TERMS[k]) - 1 for t in texts[:40] for k in ("religion", "orientation") for w in toxicity.IDENTITY_TERMS[k] if w in t.split())
     for s, o in pairs:
         holds = lambda x: np.array([w in x.lower().split() for w in toxicity.TERMS], float)
         d = holds(s) - holds(o)
@@ -131,12 +133,105 @@ def test_language_scores_by_hand(monkeypatch):
         assert np.allclose(model.logits(texts), want, atol=1e-4)
 
 
-def test_language_learning_reads_windows_of_long_texts(spark):
-    text = "".join(chr(97 + i // 1000 % 26) for i in range(50_000))
-    got = spark.createDataFrame([(text,), ("short",), (None,)], "text string").select(language_id.windows(F.col("text"), 800, 8).alias("w")).collect()
-    assert [r["w"] for r in got][1:] == ["short", None]
-    parts = got[0]["w"].split("\n")
-    assert len(got[0]["w"]) <= 800 and len(parts) == 8 and parts[0][0] == text[0] and parts[-1][-1] == text[-1] and all(p in text for p in parts)
+def plain_ftrl(texts, langs, epochs=4, alpha=0.3, beta=1.0, l1=0.02, l2=0.02, seed=7):
+    """The learning of language_id.fit with dictionaries and single numbers, from texts."""
+    names = sorted(set(langs))
+    rows = []
+    for t in texts:
+        count = {}
+        for g in grams_by_hand(t):
+            count[g] = count.get(g, 0) + 1
+        rows.append({g: c * language_id.SCALE / max(1, len(t)) for g, c in count.items()})
+    df = {}
+    for r in rows:
+        for g in r:
+            df[g] = df.get(g, 0) + 1
+    idf = {g: math.log((1 + len(rows)) / (1 + n)) + 1 for g, n in df.items()}
+    order = np.random.default_rng(seed).permutation(len(rows))
+    held, used = order[: len(order) // 5], order[len(order) // 5 :]
+    z, n = {}, {}
+
+    def weight(g, k):
+        if abs(z.get((g, k), 0.0)) <= l1:
+            return 0.0
+        return -math.copysign(abs(z[g, k]) - l1, z[g, k]) / ((beta + math.sqrt(n[g, k])) / alpha + l2)
+
+    rng = np.random.default_rng(seed + 1)
+    for _ in range(epochs):
+        for i in rng.permutation(used):
+            w = {(g, k): weight(g, k) for g in rows[i] for k in range(len(names))}
+            scores = [sum(x * idf[g] * w[g, k] for g, x in rows[i].items()) for k in range(len(names))]
+            e = [math.exp(s - max(scores)) for s in scores]
+            for k in range(len(names)):
+                error = e[k] / sum(e) - (names[k] == langs[i])
+                for g, x in rows[i].items():
+                    step, had = x * idf[g] * error, n.get((g, k), 0.0)
+                    z[g, k] = z.get((g, k), 0.0) + step - (math.sqrt(had + step * step) - math.sqrt(had)) / alpha * w[g, k]
+                    n[g, k] = had + step * step
+    logits = [[sum(x * idf[g] * weight(g, k) for g, x in rows[i].items()) for k in range(len(names))] for i in held]
+
+    def loss(t):
+        total = 0.0
+        for i, row in zip(held, logits, strict=True):
+            top = max(row)
+            norm = math.log(sum(math.exp((v - top) / t) for v in row))
+            for k, v in enumerate(row):
+                share = 1 / (len(held) + 2)
+                total -= (1 - share if names[k] == langs[i] else share / (len(names) - 1)) * ((v - top) / t - norm)
+        return total
+
+    grid = [math.exp(math.log(0.05) + j * (math.log(20) - math.log(0.05)) / 120) for j in range(121)]
+    return {(g, k): weight(g, k) * idf[g] for g in idf for k in range(len(names))}, min(grid, key=loss)
+
+
+def test_language_learning_by_hand(spark):
+    """FTRL, idf and temperature by plain Python; learning where the rows are gives the model of learning at hand."""
+    texts = [cases.prose(i, 12) if i % 2 else " ".join(w[::-1] for w in cases.prose(i, 12).split()) for i in range(40)]
+    langs = ["xx" if i % 2 else "yy" for i in range(40)]
+    model = language_id.learn(texts, langs)
+    table, temperature = plain_ftrl(texts, langs)
+    want = np.zeros((language_id.NONE + 1, 2))
+    for (g, k), w in table.items():
+        want[g, k] = w
+    assert np.allclose(model.table, want, atol=1e-5) and abs(model.temperature - temperature) < 1e-9
+    docs = spark.createDataFrame(list(zip(range(40), texts, langs, strict=True)), "doc_id long, text string, lang string")
+    keep = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = sorted((*(x.astype(k).tobytes() for x, k in zip(language_id.counted(texts[i])[:2], (np.int32, np.uint32), strict=True)), i) for i in keep)
+    far, near = language_id.train(docs), language_id.learn([texts[i] for *_, i in rows], [langs[i] for *_, i in rows])
+    assert np.array_equal(far.table, near.table) and far.temperature == near.temperature
+
+
+def test_what_only_the_middle_of_a_long_text_shows_is_learned(spark):
+    filler = cases.prose(1, 60_000)
+    half = len(filler) // 2
+    rows = [(i, filler[:half] + (" qqxq" if i % 2 else " zzwz") * 3000 + filler[half:], "xx" if i % 2 else "yy") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    names = [model.langs[k] for k in model.predict([" qqxq" * 40, " zzwz" * 40])[0]]
+    assert names == ["xx", "yy"]
+
+
+def test_counts_do_not_depend_on_the_step(monkeypatch):
+    text = "Hello\0World é日本 " + cases.prose(2, 300)
+    want = {}
+    for g in grams_by_hand(text):
+        want[g] = want.get(g, 0) + 1
+    for step in (400_000, 5, 64):
+        monkeypatch.setattr(language_id, "STEP", step)
+        ids, counts, n = language_id.counted(text)
+        assert dict(zip(ids.tolist(), counts.tolist(), strict=True)) == want and n == len(text)
+    assert [len(x) for x in language_id.counted("")[:2]] == [0, 0]
+
+
+def test_weight_of_toxic_texts_is_chosen_without_held_out_rows(spark):
+    texts, y = toxic_texts()
+    docs = cases.docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    known = [(i, 1, int(y[i])) for i in range(len(texts))]
+    weight, told = toxicity.choose_weight(docs, labels(spark, known), weights=(1.0, 5.0))
+    wrong = [(i, q, t if zlib.crc32(str(i).encode()) % 5 else 1 - t) for i, q, t in known]  # other labels where the queries hold out
+    assert toxicity.choose_weight(docs, labels(spark, wrong), weights=(1.0, 5.0)) == (weight, told)
+    inner = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 and zlib.crc32(f"inner:{i}".encode()) % 5 == 0]
+    assert weight in told and all(t[1] == sum(int(y[i]) for i in inner) and t[1] + t[3] == len(inner) for t in told.values())
 
 
 def test_samples_do_not_depend_on_the_order_of_rows(spark):
@@ -162,7 +257,7 @@ def test_neutral_mentions_move_scores_less_with_the_penalty():
     free, bound = toxicity.learn(texts, y, counterfactual=0.0), toxicity.learn(texts, y, counterfactual=5.0)
     assert gap(bound) < 0.3 * gap(free)
     assert bound.score(pa.array(["what an idiot you are"]))[0] > 0.5
-    assert toxicity.swapped("A Muslim man.")[0] == "A jewish woman." and toxicity.swapped("nobody here") == []
+    assert toxicity.swapped("A Muslim man.")[:2] == ["A Muslim woman.", "A Muslim male."] and toxicity.swapped("A Muslim man.")[5] == "A jewish man." and toxicity.swapped("nobody here") == []
 
 
 def test_gam_tables_add_up():

@@ -163,12 +163,62 @@ def test_shuffled_rows_are_linear(spark, monkeypatch):
         classes = described.groupBy("class").agg(F.min("n").alias("n"), F.min("low").alias("low"))
         shared = jaccard_join.shared_shingles(described)
         prefix = jaccard_join.prefixes(shared, classes).persist()
-        members = jaccard_join.grouped(prefix).persist()
-        return np.array([shared.count(), prefix.count(), members.count(), jaccard_join.head_pairs(prefix, members).count() + 1])
+        members, met = jaccard_join._met_heads(docs, classes, prefix)
+        members = members.persist()
+        return np.array([shared.count(), prefix.count(), members.count(), met(members).count() + 1])
     few, many = sizes(100), sizes(200)
     assert (few > 0).all() and (many <= 2.2 * few + 10).all()
 
 
+def template_rows(n, shared, own):
+    """Texts of a template and own words; too few shingles are shared for a link."""
+    base = " ".join(cases.WORDS[i % 70] + str(i) for i in range(shared))
+    return [(i, " ".join(f"{w}{i}" for w in cases.WORDS[:own]) + " " + base, "s") for i in range(n)]
+
+
+@pytest.mark.parametrize("shared, own", [(9, 3), (34, 10), (200, 70), (60, 60)])
+def test_templates_that_do_not_link_are_linear(spark, monkeypatch, shared, own):
+    """Footers and templates below the threshold: twice the texts, about twice the meetings in lists and of blocks, and no link."""
+    monkeypatch.setattr(jaccard_join, "CROWD", 64)
+
+    def work(n):
+        docs = cases.docs(spark, template_rows(n, shared, own))
+        described = jaccard_join.describe_sets(docs)
+        classes = described.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("low").alias("low"))
+        prefix = jaccard_join.prefixes(jaccard_join.shared_shingles(described), classes).persist()
+        rows, meetings = [0], jaccard_join.list_meetings
+
+        def counted(*args):
+            met = meetings(*args)
+            rows[0] += met.count()
+            return met
+
+        monkeypatch.setattr(jaccard_join, "list_meetings", counted)
+        members, met = jaccard_join._met_heads(docs, classes, prefix)
+        members = members.withColumn("block", jaccard_join.block("head", "part")).persist()
+        pairs = jaccard_join.block_pairs(met(members), members).count() if prefix.count() else 0
+        monkeypatch.setattr(jaccard_join, "list_meetings", meetings)
+        return rows[0], pairs
+
+    few, many = work(600), work(1200)
+    assert all(m <= 2.5 * f + 600 for f, m in zip(few, many, strict=True)), (few, many)
+
+
+@pytest.mark.parametrize("crowd", [2, 8])
+def test_crowded_lists_lose_no_link(spark, monkeypatch, crowd):
+    """Families around the threshold, templates, footers and short texts, with lists that are crowded almost at once."""
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+    rng, rows = random.Random(31), []
+    for f in range(6):
+        base = cases.prose(3100 + f, rng.choice([12, 40, 90, 200])).split()
+        rows += [(len(rows) + i, changed(base, rng, rng.randrange(0, 1 + len(base) // 20)), "s") for i in range(22)]
+    footer = cases.prose(3200, 30)
+    rows += [(500 + i, f"{cases.prose(3300 + i // 2, rng.randrange(3, 14))} {footer}", "s") for i in range(50)]
+    rows += [(600 + i, cases.prose(3400 + i % 7, rng.randrange(1, 9)), "s") for i in range(50)]
+    rows += [(None, rows[3][1] + " x", "s"), (None, rows[25][1] + " y", "s"), (700, rows[3][1], "s")]
+    assert answer(jaccard_join.jaccard_components(cases.docs(spark, rows))) == join_by_hand(rows)
+
+
 @pytest.mark.parametrize("hot, most", [(3, 20_000), (10, 20_000), (3, 2), (10**9, 2)])
 def test_hot_shingles_are_not_held(spark, monkeypatch, hot, most):
     """Shingles of many classes leave the counting task and get their count back, and few tasks count in groups: the answer is the same."""

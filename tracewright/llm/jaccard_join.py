@@ -9,6 +9,8 @@ of 64-bit hashes.
    that link share AGREE of their first n - ceil(0.75 n) + AGREE. Nearly all classes fill that prefix from the low range,
    the lowest POSTED of the hashes, and only these shingles are counted for them; the others count all of theirs. So a text is
    hashed once, about a third of the shingles is shuffled, in blobs, and common passages come last by themselves.
+   Where a list has more than CROWD classes that its positions don't exclude (texts of templates, long footers), its classes are ordered anew by all their shingles among
+   themselves: then what they all share comes last, beyond the position up to which a pair may link, unless they do link.
 3. Index lists. Classes of much the same prefix go under one *head*, in blocks of bounded size. The list of a shingle has an entry for
    each head, with its sizes and the most that can agree after its positions, and is cut by size; the part of a list that size and position
    exclude for an entry is skipped. The blocks of one head, and of two heads that enough lists leave, meet in a task, each pair once.
@@ -53,6 +55,8 @@ MOST_PARTS = 20_000
 BLOCK, BLOCK_SHINGLES = 256, 2_000_000
 #: Two classes that link share so many shingles of prefixes that are as much longer (fewer, where a set is that small).
 AGREE = 6
+#: A list with more classes that may link with one of their own size by it is crowded: its classes are ordered anew, among themselves.
+CROWD = 512
 #: Index lists are cut by size in steps of this ratio.
 SIZE_STEP = 1.05
 INDEX = ["classes", "copies", "sizes", "tokens", "counts", "owners"]
@@ -284,16 +288,40 @@ def prefixes(shared: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.withColumn("c", F.count(F.lit(1)).over(whole)).filter(F.col("c") >= agree(needed(F.col("n")))).select("class", "n", "token", "pos")
 
 
+def may_meet(agreed: Column) -> Column:
+    """Whether a row of prefixes can lead to a link with a class of the same size: what is left after its position must hold all but `agreed` - 1 of what the link needs."""
+    return (F.col("n") - F.col("pos") + agreed - 1) * (100 + PERCENT) >= 2 * PERCENT * F.col("n")
+
+
+def crowded_tokens(prefix: DataFrame) -> DataFrame:
+    """token: the crowded lists."""
+    return prefix.filter(may_meet(agree(F.col("n")))).groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > CROWD).select("token")
+
+
+def whole_prefixes(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """prefixes() of classes whose shingles are all counted: two that link share one of their first n - ceil(0.75 n) + 1."""
+    whole = W.partitionBy("class")
+    rows = shared.join(classes.select("class", "n"), "class").select("class", "n", "token", (F.row_number().over(whole.orderBy("df", "token")) - 1).alias("at"), F.count(F.lit(1)).over(whole).alias("all"))
+    # Shingles that no other of these classes holds come first.
+    pos = (F.col("n") - F.col("all") + F.col("at")).cast("long")
+    return rows.withColumn("pos", pos).filter(F.col("pos") <= F.col("n") - needed(F.col("n"))).select("class", "n", "token", "pos")
+
+
 def grouped(prefix: DataFrame) -> DataFrame:
-    """class, n, head, part, parts: classes of much the same prefix under one head, in parts of about BLOCK classes or BLOCK_SHINGLES shingles.
+    """class, n, head: classes of much the same prefix under one head. prefix has the votes that a class asks for in `enough`.
 
-    A class follows the class that is the smallest of the most of its lists, if it shares enough of them with it to be compared with it anyway;
-    else it stays alone. Heads decide which sets meet in a task, never whether they are compared.
+    A class follows the class that is the smallest of the most of its lists, if it shares enough of them with it; else it stays alone. Heads decide which sets meet in a task, never
+    whether they are compared.
     """
     least = common.materialize(prefix.groupBy("token").agg(F.min("class").alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("token", "head"), "list-heads")
-    votes = prefix.join(least, "token").groupBy("class", "head").agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"))
-    best = votes.groupBy("class").agg(F.first("n").alias("n"), F.max(F.struct("votes", "head")).alias("best"))
-    members = common.materialize(best.select("class", "n", F.when(F.col("best.votes") >= agree(F.col("n")), F.col("best.head")).otherwise(F.col("class")).alias("head")), "heads")
+    votes = prefix.join(least, "token").groupBy("class", "head").agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"), F.first("enough").alias("enough"))
+    best = votes.groupBy("class").agg(F.first("n").alias("n"), F.first("enough").alias("enough"), F.max(F.struct("votes", "head")).alias("best"))
+    return best.select("class", "n", F.when(F.col("best.votes") >= F.col("enough"), F.col("best.head")).otherwise(F.col("class")).alias("head"))
+
+
+def parted(members: DataFrame) -> DataFrame:
+    """members(class, n, head) with part, parts: of about BLOCK classes or BLOCK_SHINGLES shingles."""
+    members = common.materialize(members, "heads")
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES))
     parts = common.materialize(members.groupBy("head").agg(parts.alias("parts")), "head-parts")
     return members.join(parts, "head").select("class", "n", "head", F.pmod(F.xxhash64("class"), F.col("parts")).alias("part"), "parts")
@@ -303,9 +331,15 @@ def block(head: str, part: str) -> Column:
     return F.xxhash64(head, part)
 
 
-def head_pairs(prefix: DataFrame, members: DataFrame) -> DataFrame:
-    """a, b: the pairs of heads with sets that index lists, cut by head and size, don't skip by position or size."""
-    about = common.materialize(members.groupBy("head").agg(F.min(agree(F.col("n"))).alias("agree")), "head-sizes")
+def head_pairs(prefix: DataFrame, members: DataFrame, agreed=agree) -> DataFrame:
+    """a, b: the pairs of heads that meet in enough lists. agreed(n): how many lists a class of n shingles shares with one that it links with."""
+    met = list_meetings(prefix, members, agreed)
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("agree").alias("agree")).filter("c >= agree").select("a", "b")
+
+
+def list_meetings(prefix: DataFrame, members: DataFrame, agreed=agree) -> DataFrame:
+    """a, b, agree: a row for each list in which two heads have sets that it, cut by head and size, doesn't skip by position or size."""
+    about = common.materialize(members.groupBy("head").agg(F.min(agreed(F.col("n"))).alias("agree")), "head-sizes")
     entries = prefix.join(members.select("class", "head"), "class").groupBy("token", "head")
     lists = common.materialize(entries.agg(F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("n").alias("low"), F.max("n").alias("high")), "list-entries")
     several = common.materialize(lists.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token"), "list-tokens")
@@ -324,24 +358,24 @@ def head_pairs(prefix: DataFrame, members: DataFrame) -> DataFrame:
     sizes = (F.col("b.low") <= F.col("a.reach")) & (F.col("a.low") <= F.col("b.reach"))
     met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.head") != F.col("b.head")) & later & sizes & room)
     pair = [F.least("a.head", "b.head").alias("a"), F.greatest("a.head", "b.head").alias("b")]
-    return met.select(*pair, both.alias("agree")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("agree").alias("agree")).filter("c >= agree").select("a", "b")
+    return met.select(*pair, both.alias("agree"))
 
 
-def block_pairs(prefix: DataFrame, members: DataFrame) -> DataFrame:
-    """i, j: the pairs of different blocks whose sets are compared: the parts of one head, and those of head_pairs(); j has more shingles."""
+def block_pairs(met: DataFrame, members: DataFrame) -> DataFrame:
+    """i, j: the pairs of different blocks whose sets are compared: the parts of one head, and those of met(a, b); j has more shingles."""
     heads = common.materialize(members.groupBy("head").agg(F.first("parts").alias("parts"), F.sum("n").alias("weight")), "head-weights")
     zero = F.lit(0).cast("long")
     within = heads.filter("parts > 1").select("head", "parts", F.explode(F.sequence(zero, F.col("parts") - 2)).alias("p"))
     within = within.select("head", "p", F.explode(F.sequence(F.col("p") + 1, F.col("parts") - 1)).alias("q")).select(block("head", "p").alias("i"), block("head", "q").alias("j"))
     side = lambda x: heads.select(F.col("head").alias(x), F.struct("head", "parts", (F.col("weight") / F.col("parts")).alias("weight")).alias(f"{x}_of"))
-    across = head_pairs(prefix, members).join(side("a"), "a").join(side("b"), "b")
+    across = met.join(side("a"), "a").join(side("b"), "b")
     swap = F.col("a_of.weight") > F.col("b_of.weight")
     across = across.select(F.when(swap, F.col("b_of")).otherwise(F.col("a_of")).alias("x"), F.when(swap, F.col("a_of")).otherwise(F.col("b_of")).alias("y"))
     across = across.withColumn("p", F.explode(F.sequence(zero, F.col("x.parts") - 1))).withColumn("q", F.explode(F.sequence(zero, F.col("y.parts") - 1)))
     return within.unionByName(across.select(block("x.head", "p").alias("i"), block("y.head", "q").alias("j")))
 
 
-def whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def whole_sets(docs: DataFrame, classes: DataFrame, *, how: str = "merge") -> DataFrame:
     """class, copies, block, shingles (blob) of the given classes(class, rep, text_hash, copies, block), at most once from a task."""
     common.ship(docs.sparkSession)
     carried = ["class", "copies", "block"]
@@ -358,8 +392,8 @@ def whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(d[c] for c in carried), found], [*carried, "shingles"]).filter(found.is_valid())
 
     rows = _text_rows(docs)
-    # Some part of all texts is asked for, at any size of the input: never a broadcast.
-    numbered = rows.join(classes.filter("rep is not null").select(*carried, "text_hash", F.col("rep").alias("doc_id")).hint("merge"), ["doc_id", "text_hash"]).select(*carried, "text")
+    wanted = classes.filter("rep is not null").select(*carried, "text_hash", F.col("rep").alias("doc_id"))
+    numbered = rows.join(wanted.hint(how) if how else wanted, ["doc_id", "text_hash"]).select(*carried, "text")
     # A class without any id is found by a text of its rows; copies are dropped first, so that at most one a task moves.
     nameless = rows.filter("doc_id is null").select("text_hash", "text").dropDuplicates(["text_hash"])
     nameless = nameless.join(classes.filter("rep is null").select(*carried, "text_hash"), "text_hash").select(*carried, "text")
@@ -485,6 +519,33 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return _answers(docs).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def _met_heads(docs: DataFrame, classes: DataFrame, prefix: DataFrame):
+    """The members of heads with their parts, and a function that gives the pairs of heads to compare for (written) members.
+
+    Classes of crowded lists are dense. Two dense classes are found by the order of all their shingles among the dense ones alone, where what is common to many comes last and nearly always behind
+    the position up to which a link is possible; any other pair shares no crowded list, so the other lists find it."""
+    crowded = common.materialize(crowded_tokens(prefix), "crowded")
+    votes = prefix.filter(may_meet(agree(F.col("n")))).withColumn("enough", agree(F.col("n")))
+    if crowded.isEmpty():
+        return parted(_everyone(grouped(votes), prefix)), lambda members: head_pairs(prefix, members)
+    dense = common.materialize(prefix.join(crowded, "token", "left_semi").select("class").distinct().join(classes, "class"), "dense")
+    light = common.materialize(prefix.join(crowded, "token", "left_anti"), "light-lists")
+    # Broadcast only if Spark finds the dense classes small enough for that.
+    sets = common.materialize(whole_sets(docs, dense.withColumn("block", F.lit(0).cast("long")), how="").select("class", F.col("shingles").alias("posted")), "dense-sets")
+    whole = common.materialize(whole_prefixes(shared_shingles(sets), dense), "dense-prefixes")
+    half = F.least(F.lit(AGREE), F.ceil(F.count(F.lit(1)).over(W.partitionBy("class")) / 2))
+    alike = grouped(whole.filter(may_meet(F.lit(1))).withColumn("enough", half)).unionByName(grouped(votes.join(dense.select("class"), "class", "left_anti")))
+    members = parted(_everyone(alike, light.select("class", "n").unionByName(whole.select("class", "n"))))
+    return members, lambda members: head_pairs(light, members).unionByName(head_pairs(whole, members, lambda n: n * 0 + 1)).distinct()
+
+
+def _everyone(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """members(class, n, head) and, each under itself, the other classes of the rows."""
+    members = common.materialize(members, "alike")
+    alone = rows.select("class", "n").distinct().join(members.select("class"), "class", "left_anti")
+    return members.unionByName(alone.select("class", "n", F.col("class").alias("head")))
+
+
 def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Written tables: the rows (doc_id, text_hash, n, class), the classes (class, rep, text_hash, copies, n, low), and met_blocks(). All others are removed."""
     with common.passing(docs.sparkSession) as outside:
@@ -496,8 +557,9 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         classes = classes.select("class", F.col("row.doc_id").alias("rep"), F.col("row.text_hash").alias("text_hash"), "copies", "n", "low")
         classes = common.materialize(classes, "classes", outside)
         prefix = common.materialize(prefixes(shared_shingles(described), classes), "prefixes")
-        members = common.materialize(grouped(prefix).withColumn("block", block("head", "part")), "members")
-        pairs = common.materialize(block_pairs(prefix, members), "block-pairs")
+        members, met = _met_heads(docs, classes, prefix)
+        members = common.materialize(members.withColumn("block", block("head", "part")), "members")
+        pairs = common.materialize(block_pairs(met(members), members), "block-pairs")
         several = members.groupBy("block").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("block")
         needed = several.unionByName(pairs.select(F.explode(F.array("i", "j")).alias("block"))).distinct()
         wanted = common.materialize(members.join(needed, "block").select("class", "block").join(classes, "class").select("class", "block", "rep", "text_hash", "copies"), "wanted")

@@ -4,7 +4,8 @@ Features are hashed character 1- to 3-grams of the lower-cased text: count / len
 learned by follow-the-regularised-leader with an L1 and an L2 penalty, and the softmax is calibrated by a
 temperature fitted on rows kept out of the learning. A feature is linear in the positions of a text, so whole
 texts are scored by gathering idf x weight for each position and summing, without per-document dictionaries; a long text is
-summed in steps, so that memory doesn't grow with it. Learning reads at most SAMPLE_CHARS characters of a text: all, or WINDOWS windows spread evenly over it.
+summed in steps, so that memory doesn't grow with it. Learning reads whole texts, too: n-grams are counted where the sampled texts are, and the driver gets a text's
+features and their counts, at most NONE of them, instead of the text.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; so is every text when no row could be
 learned from. Repeated rows are answered each; of several rows with one id one is learned from. Extra columns are ignored. Of equal scores the first language by
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import common
@@ -25,8 +26,8 @@ from tracewright.llm import common
 BITS, ORDERS = 15, 3
 WIDTH = 1 << BITS
 NONE = ORDERS * WIDTH
-#: Learning reads a bounded, uniform sample of the labelled rows: so many, and of each at most so many characters, in windows if it has more.
-SAMPLE_ROWS, SAMPLE_CHARS, WINDOWS = 3000, 20_000, 8
+#: Learning reads a bounded, uniform sample of so many labelled rows.
+SAMPLE_ROWS = 3000
 SCALE = 30.0
 #: Characters that are scored in one vectorised step.
 STEP = 400_000
@@ -51,6 +52,18 @@ def grams(text: str) -> list[np.ndarray]:
     return out
 
 
+def counted(text: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """A text's features, ascending, how often each occurs, and the number of its characters; in steps, whatever its length."""
+    low = lowered(text)
+    total = np.zeros(NONE + 1, np.int64)
+    for at in range(0, len(low), STEP):
+        n = min(STEP, len(low) - at)
+        for codes in grams(low[at : at + STEP + ORDERS - 1]):
+            total += np.bincount(codes[:n], minlength=NONE + 1)
+    ids = np.flatnonzero(total[:NONE])
+    return ids, total[ids], len(low)
+
+
 @dataclass
 class LanguageModel:
     langs: list[str]
@@ -90,16 +103,17 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def learn(texts: list[str], langs: list[str], *, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 7) -> LanguageModel:
+def learn(texts: list[str], langs: list[str], **options) -> LanguageModel:
+    """fit() for texts at hand."""
+    return fit([counted(t) for t in texts], langs, **options)
+
+
+def fit(texts: list[tuple[np.ndarray, np.ndarray, int]], langs: list[str], *, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 7) -> LanguageModel:
+    """The model for texts as counted() gives them."""
     names = sorted(set(langs))
     if not names:
         return LanguageModel([], np.zeros((NONE + 1, 0), np.float32), 1.0)
-    rows = []
-    texts = [lowered(t) for t in texts]
-    for t in texts:
-        codes = np.concatenate(grams(t))
-        ids, counts = np.unique(codes[codes != NONE], return_counts=True)
-        rows.append((ids, counts * (SCALE / max(1, len(t)))))
+    rows = [(ids, counts * (SCALE / max(1, n))) for ids, counts, n in texts]
     target = np.array([names.index(x) for x in langs])
     df = np.zeros(NONE + 1)
     for ids, _ in rows:
@@ -127,7 +141,7 @@ def learn(texts: list[str], langs: list[str], *, epochs: int = 4, alpha: float =
     table[NONE] = 0
     model = LanguageModel(names, table, 1.0)
     if len(names) > 1 and len(held):
-        logits = model.logits([texts[i] for i in held])
+        logits = np.stack([rows[i][1] @ table[rows[i][0]].astype(np.float64) for i in held])
         grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
         soft = np.full(logits.shape, 1 / (len(held) + 2) / (len(names) - 1))  # smoothed targets: separable rows don't drive the temperature to 0
         soft[np.arange(len(held)), target[held]] = 1 - 1 / (len(held) + 2)
@@ -136,23 +150,25 @@ def learn(texts: list[str], langs: list[str], *, epochs: int = 4, alpha: float =
     return model
 
 
-def windows(text: Column, chars: int, n: int = WINDOWS) -> Column:
-    """The text, or if it has more than `chars` characters, n windows of chars / n spread evenly over it, one a line."""
-    wide = chars // n
-    step = (F.length(text) - wide) / (n - 1)
-    parts = [F.substring(text, F.floor(step * k).cast("int") + 1, F.lit(wide - 1)) for k in range(n)]
-    return F.when(F.length(text) > chars, F.concat_ws("\n", *parts)).otherwise(text)
-
-
-def train(docs: DataFrame, *, folds: int = 4, held: int = 2, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> LanguageModel:
-    """Learn from a uniform sample (by hash of doc_id) of at most `rows` labelled rows outside the held-out fold."""
+def train(docs: DataFrame, *, folds: int = 4, held: int = 2, rows: int = SAMPLE_ROWS) -> LanguageModel:
+    """Learn from a uniform sample (by hash of doc_id) of at most `rows` labelled rows outside the held-out fold: whole texts, counted in the tasks."""
+    common.ship(docs.sparkSession)
     usable = docs.filter(F.col("lang").isNotNull() & (common.fold("doc_id", folds) != held))
     bound = common.hash_sample_bound(usable, "doc_id", rows)
     if bound is None:
         return learn([], [])
-    sample = usable.filter((F.xxhash64("doc_id") <= bound) & F.col("text").rlike("\\p{L}")).select("doc_id", "lang", windows(F.col("text"), chars).alias("text"))
-    got = sorted((r["text"], r["lang"]) for r in common.one_text_a_document(sample, "lang").collect())
-    return learn([t for t, _ in got], [x for _, x in got])
+    sample = usable.filter((F.xxhash64("doc_id") <= bound) & F.col("text").rlike("\\p{L}")).select("doc_id", "lang", "text")
+
+    def run(batches):
+        for batch in batches:
+            for text, lang in zip(batch.column(0), batch.column(1), strict=True):  # one long text at a time
+                ids, counts, n = counted(text.as_py())
+                one = lambda value, kind: pa.array([value], kind)
+                yield pa.RecordBatch.from_arrays([one(lang.as_py(), pa.string()), one(n, pa.int64()), one(ids.astype(np.int32).tobytes(), pa.binary()), one(counts.astype(np.uint32).tobytes(), pa.binary())], ["lang", "chars", "ids", "counts"])
+
+    whole = common.one_text_a_document(sample, "lang").select("text", "lang").mapInArrow(run, "lang string, chars long, ids binary, counts binary")
+    got = sorted((bytes(r["ids"]), bytes(r["counts"]), r["chars"], r["lang"]) for r in whole.collect())  # at most `rows` texts' features
+    return fit([(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(c, np.uint32).astype(np.float64), n) for i, c, n, _ in got], [x for *_, x in got])
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
