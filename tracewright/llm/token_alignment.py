@@ -26,6 +26,7 @@ import hashlib
 import json
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ from tracewright.llm.token_count import PATTERN, byte_characters
 CHUNK, MATRIX, SALT = 2 << 20, 64 << 20, 16 << 30
 #: Units kept by a worker between chunks, and their links.
 CACHE_UNITS, CACHE_LINKS = 100_000, 1_500_000
+#: New units that are encoded and aligned together.
+LEARN = 16_384
 SPACE_SIGN = "▁"
 UNIT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 _NO_TOKENS = -1
@@ -91,7 +94,9 @@ class Aligner:
     def numbers(self, texts: list[str]) -> list[list[int]]:
         """The units of space + text, of each text; an empty one has none."""
         cut = [(UNIT.findall(" " + t) if self.cuts else [" " + t]) if t else [] for t in texts]
-        self.learn([u for u in {u for us in cut for u in us} if u not in self.units])
+        new = [u for u in set(chain.from_iterable(cut)) if u not in self.units]
+        for at in range(0, len(new), LEARN):
+            self.learn(new[at : at + LEARN])
         number = self.units.__getitem__
         return [list(map(number, us)) for us in cut]
 
@@ -114,13 +119,14 @@ class Aligner:
         if not units:
             return
         size = np.array([len(u) if u.isascii() else len(u.encode()) for u in units], np.int64)
-        fit = (self._size(a_ids, self.a_size) == size) & (self._size(b_ids, self.b_size) == size)
+        (n_a, a), (n_b, b) = (_flat(ids) for ids in (a_ids, b_ids))
+        fit = (_summed(self.a_size[a], n_a) == size) & (_summed(self.b_size[b], n_b) == size)
         good = np.flatnonzero(fit)
         if not self._gives([units[i] for i in good], [a_ids[i] for i in good], [b_ids[i] for i in good]):
             fit[good] = [self._gives([units[i]], [a_ids[i]], [b_ids[i]]) for i in good]
             good = np.flatnonzero(fit)
-        flat = lambda ids: np.fromiter((x for i in good for x in ids[i]), np.int64)
-        a, b = flat(a_ids), flat(b_ids)
+        if len(good) < len(units):
+            a, b = a[np.repeat(fit, n_a)], b[np.repeat(fit, n_b)]
         a_end, b_end, end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), np.cumsum(size[good])
         links, cuts = np.union1d(a_end, b_end), np.intersect1d(a_end, b_end, assume_unique=True)
         # One pair for each stretch between neighbouring ends; tokens by group and side, each with the sign that follows it.
@@ -146,19 +152,24 @@ class Aligner:
         self.ends.frombytes((self.ends[-1] + np.cumsum(counts[3])).tobytes())
         self.pairs.frombytes(pairs.astype(np.int64).tobytes())
 
-    @staticmethod
-    def _size(ids: list[list[int]], sizes: np.ndarray) -> np.ndarray:
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        sums = np.concatenate([[0], np.cumsum(sizes[np.fromiter((x for i in ids for x in i), np.int64, int(n.sum()))])])
-        ends = np.cumsum(n)
-        return sums[ends] - sums[ends - n]
-
     def _gives(self, units: list[str], a_ids: list[list[int]], b_ids: list[list[int]]) -> bool:
         """Whether both sides' tokens, joined, are the units' bytes."""
         data = "".join(units).encode()
         return all(b"".join([known[x] for i in ids for x in i]) == data for ids, known in ((a_ids, self.a_bytes), (b_ids, self.b_bytes)))
 
 
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """How many numbers each list has, and all of them."""
+    n = np.fromiter(map(len, ids), np.int64, len(ids))
+    return n, np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+
+
+def _summed(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the values over runs of n of them."""
+    sums, ends = np.concatenate([[0], np.cumsum(values)]), np.cumsum(n)
+    return sums[ends] - sums[ends - n]
+
+
 class Stripes:
     """How B's ids are dealt to stripes, and where a pair of ids stands."""
 
@@ -184,14 +195,19 @@ class Stripes:
 _aligners: dict[int, Aligner] = {}
 
 
+def trim() -> None:
+    """Give freed memory back to the system, where that can be asked for."""
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free:
+        free(0)
+
+
 def release() -> None:
-    """Give the libraries' memory of an earlier task of this worker back, before a matrix is made."""
+    """Drop the libraries of an earlier task of this worker, before a matrix is made."""
     _aligners.clear()
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    trim()
 
 
 FIGURES = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
@@ -231,7 +247,9 @@ def encoded(docs: DataFrame, a_path: str, b_path: str, *, chunk: int = CHUNK, ma
                     number += 1
                     if len(aligner.groups) > CACHE_UNITS or len(aligner.pairs) > CACHE_LINKS:
                         aligner.forget()
+                        trim()
         aligner.forget()  # the worker's next task may need the memory for a matrix
+        trim()
 
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return common.materialize(rows.mapInArrow(run, form), "token-chunks"), stripes
@@ -247,7 +265,7 @@ def _chunk(aligner: Aligner, stripes: Stripes, texts: list[str]) -> tuple[dict,
     """Figures of each text, and the blobs of each stripe that has links."""
     numbers = aligner.numbers(texts)
     size = np.array([len(u) for u in numbers], np.int64)
-    unit = np.fromiter((u for us in numbers for u in us), np.int64, int(size.sum()))
+    unit = np.fromiter(chain.from_iterable(numbers), np.int64, int(size.sum()))
     doc = np.repeat(np.arange(len(texts)), size)
     n_a, n_b, n_groups, ends = (np.array(x) for x in (aligner.n_a, aligner.n_b, aligner.n_groups, aligner.ends))
     able = np.ones(len(texts), bool)
