@@ -67,8 +67,11 @@ def visible(tasks: DataFrame, limit: int = DEFAULT_LIMIT, **filters: str | None)
 def evicted(cache: DataFrame, most: int = MAX_CACHED) -> DataFrame:
     """cache(id, status, visible, used) without what goes first when it is too large: neither active nor visible, longest unused."""
     needed = F.col("visible") | ~F.col("status").isin(*schemas.TERMINAL_STATUSES)
-    rank = F.row_number().over(W.orderBy(needed.desc(), F.desc("used"), "id"))  # a client's cache: some hundred rows
-    return cache.withColumn("__rank", rank).filter((F.col("__rank") <= most) | needed).drop("__rank")
+    rest = cache.filter(~needed).orderBy(F.desc("used"), "id").limit(most)
+    rest = rest.withColumn("__place", F.row_number().over(W.orderBy(F.desc("used"), "id")))  # at most `most` rows
+    held = cache.agg(F.count_if(needed).alias("__held")).withColumn("__one", F.lit(1))  # one row
+    rest = rest.withColumn("__one", F.lit(1)).join(F.broadcast(held), "__one").filter(F.col("__place") + F.col("__held") <= most)
+    return cache.filter(needed).unionByName(rest.select(*cache.columns))
 
 
 def merged(cached: DataFrame, read: DataFrame) -> DataFrame:

@@ -227,11 +227,11 @@ def partial_date_match(spark, sf_dir):
 @query("""
 WITH w AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), u AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM w),
 f AS (SELECT doc_id, line, min(pos) AS pos FROM u WHERE line <> '' GROUP BY doc_id, line), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM f)
-SELECT d.doc_id, count(r.rn) AS n_distinct, coalesce(string_agg(CASE WHEN rn <= 20 THEN left(line, 50) END, '|' ORDER BY rn), '') AS first_20 FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id""")
+SELECT d.doc_id, count(r.rn) AS n_distinct, coalesce(string_agg(line, chr(10) ORDER BY rn), '') AS lines FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id""")
 def warning_dedupe(spark, sf_dir):
-    """A document's distinct lines in order of first occurrence, and the first 20 of them, shown by 50 characters each. A14 (document_warnings) isn't run here."""
+    """A document's distinct lines in order of first occurrence, without empty ones."""
     d = table(spark, sf_dir, "documents").select("doc_id", text.stage_warnings(F.split("text", "\n", -1)).alias("w"))
-    return d.select("doc_id", F.size("w").cast("long").alias("n_distinct"), F.array_join(F.transform(F.slice("w", 1, 20), lambda x: F.left(x, F.lit(50))), "|").alias("first_20"))
+    return d.select("doc_id", F.size("w").cast("long").alias("n_distinct"), F.array_join("w", "\n").alias("lines"))
 
 
 @query("""

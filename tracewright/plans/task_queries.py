@@ -174,11 +174,10 @@ def task_views(spark, sf_dir):
     return shown.select("id", "status", "pdf_available", F.coalesce("summary.pageCount", F.lit(-1)).alias("pages"), F.coalesce("summary.confidence", F.lit(-1.0)).alias("confidence"), private.alias("shows_path"), F.lit("report" in whole.columns and "report" not in shown.columns).alias("report_in_detail"))
 
 
-@query(f"""{_TASKS} SELECT id, owner_email, coalesce(pdf_path, '') AS pdf_path, attempt_count, total_pages FROM t WHERE k % 50 = 1""")
+@query(f"""{_TASKS} SELECT id, owner_email, coalesce(pdf_path, '') AS pdf_path, attempt_count, total_pages FROM t""")
 def worker_rows(spark, sf_dir):
     """Tasks as a worker gets them, with owner, path and attempts."""
-    t = tasks(spark, sf_dir).filter(number() % 50 == 1)
-    return store.worker_view(t, NOW).select("id", "owner_email", F.coalesce("pdf_path", F.lit("")).alias("pdf_path"), "attempt_count", "total_pages")
+    return store.worker_view(tasks(spark, sf_dir), NOW).select("id", "owner_email", F.coalesce("pdf_path", F.lit("")).alias("pdf_path"), "attempt_count", "total_pages")
 
 
 @query(f"""SELECT event_id, CASE WHEN event_type = 'error' THEN (CASE WHEN user_id % 4 = 0 THEN 'PDF_INVALID' WHEN user_id % 4 = 1 THEN 'INTERNAL_ERROR' WHEN user_id % 4 = 2 THEN 'INTERNAL_ERROR' ELSE 'PDF_ENCRYPTED' END)

@@ -1,15 +1,13 @@
 """Page counts and sizes of PDFs, without a PDF library.
 
-Reads page objects from the file body and from compressed object streams, with inherited page boxes. Pictures of pages aren't made here:
-rendering is the provider's. Files whose page tree can't be read this way are reported as invalid, encrypted ones as encrypted.
+A page's size is that of its crop box within its media box, turned as the page is, in points times its unit; boxes and rotation are inherited from the page tree. Pictures of pages aren't made
+here: rendering is the provider's. Files whose page tree can't be read are reported as invalid, encrypted ones as encrypted.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import sys
-import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,60 +15,66 @@ from pyspark.sql import functions as F
 
 from tracewright import schemas
 from tracewright.shipping import vectorised
+from tracewright.sources.pdf_objects import Pdf, PdfError, Ref
 
-_OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj\b", re.S)
-_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
-_BOX = re.compile(rb"/MediaBox\s*\[\s*([-+.\d]+)\s+([-+.\d]+)\s+([-+.\d]+)\s+([-+.\d]+)\s*\]")
-_REFERENCE = rb"\s*(\d+)\s+\d+\s+R"
-MAX_INFLATED = 64 * 1024 * 1024
-
-
-def _objects(data: bytes) -> dict[int, bytes]:
-    found = {int(m[1]): m[3] for m in _OBJECT.finditer(data)}
-    for body in list(found.values()):
-        if b"/ObjStm" not in body:
-            continue
-        stream, n, first = _STREAM.search(body), re.search(rb"/N\s+(\d+)", body), re.search(rb"/First\s+(\d+)", body)
-        if not (stream and n and first):
-            continue
-        plain = zlib.decompressobj().decompress(stream[1], MAX_INFLATED) if b"/FlateDecode" in body else stream[1]
-        head = [int(x) for x in plain[: int(first[1])].split()[: 2 * int(n[1])]]
-        places = [*head[1::2], len(plain)]
-        for number, a, b in zip(head[::2], places, places[1:], strict=False):
-            found[number] = plain[int(first[1]) + a : int(first[1]) + b]
-    return found
+# Fixed value: the media box of a page that has none.
+LETTER = (0.0, 0.0, 612.0, 792.0)
+
+
+def _box(pdf: Pdf, value) -> tuple[float, float, float, float] | None:
+    corners = pdf.get(value)
+    corners = [pdf.get(c) for c in corners] if isinstance(corners, list) else []
+    if len(corners) != 4 or not all(isinstance(c, int | float) and not isinstance(c, bool) for c in corners):
+        return None
+    x0, y0, x1, y1 = corners
+    box = min(x0, x1), min(y0, y1), max(x0, x1), max(y0, y1)
+    return box if box[2] > box[0] and box[3] > box[1] else None
+
+
+def _size(pdf: Pdf, page: dict, inherited: dict) -> tuple[float, float]:
+    media = _box(pdf, inherited.get("MediaBox")) or LETTER
+    crop = _box(pdf, inherited.get("CropBox")) or media
+    shown = max(media[0], crop[0]), max(media[1], crop[1]), min(media[2], crop[2]), min(media[3], crop[3])
+    if shown[2] <= shown[0] or shown[3] <= shown[1]:
+        shown = media
+    unit = pdf.get(page.get("UserUnit"))
+    unit = unit if isinstance(unit, int | float) and not isinstance(unit, bool) and unit > 0 else 1.0
+    width, height = (shown[2] - shown[0]) * unit, (shown[3] - shown[1]) * unit
+    turn = pdf.get(inherited.get("Rotate"))
+    return (height, width) if isinstance(turn, int) and turn % 90 == 0 and turn % 180 else (width, height)
 
 
 def page_sizes(data: bytes) -> tuple[list[tuple[float, float]], str | None]:
     """Width and height in points of every page in order, and what is wrong: PDF_ENCRYPTED, PDF_INVALID or null."""
     if not data.startswith(b"%PDF-"):
         return [], "PDF_INVALID"
-    if re.search(rb"/Encrypt" + _REFERENCE, data):
-        return [], "PDF_ENCRYPTED"
     try:
-        objects = _objects(data)
-    except (zlib.error, ValueError):
-        return [], "PDF_INVALID"
-    root = next((re.search(rb"/Pages" + _REFERENCE, b) for b in objects.values() if re.search(rb"/Type\s*/Catalog\b", b)), None)
-    sizes: list[tuple[float, float]] = []
-    seen: set[int] = set()
-    todo = [(int(root[1]), None)] if root else []
-    while todo:
-        number, box = todo.pop()
-        body = objects.get(number)
-        if body is None or number in seen:
-            return [], "PDF_INVALID"
-        seen.add(number)
-        own = _BOX.search(body)
-        box = own or box
-        kids = re.search(rb"/Kids\s*\[(.*?)\]", body, re.S)
-        if kids:
-            todo += [(int(k), box) for k in reversed(re.findall(_REFERENCE, kids[1]))]
-        elif box is None:
+        pdf = Pdf(data)
+        if pdf.trailer.get("Encrypt") is not None:
+            return [], "PDF_ENCRYPTED"
+        catalog = pdf.get(pdf.trailer.get("Root"))
+        root = catalog.get("Pages") if isinstance(catalog, dict) else None
+        tree = pdf.get(root)
+        if not isinstance(tree, dict) or not isinstance(pdf.get(tree.get("Kids")), list):
             return [], "PDF_INVALID"
-        else:
-            x0, y0, x1, y1 = (float(v) for v in box.groups())
-            sizes.append((abs(x1 - x0), abs(y1 - y0)))
+        sizes: list[tuple[float, float]] = []
+        seen: set[int] = set()
+        todo: list[tuple[object, dict]] = [(root, {})]
+        while todo:
+            at, inherited = todo.pop()
+            node = pdf.get(at)
+            if not isinstance(node, dict) or isinstance(at, Ref) and at[0] in seen:
+                return [], "PDF_INVALID"
+            if isinstance(at, Ref):
+                seen.add(at[0])
+            inherited = inherited | {k: node[k] for k in ("MediaBox", "CropBox", "Rotate") if node.get(k) is not None}
+            kids = pdf.get(node.get("Kids"))
+            if isinstance(kids, list):
+                todo += [(k, inherited) for k in reversed(kids)]
+            else:
+                sizes.append(_size(pdf, node, inherited))
+    except (PdfError, RecursionError, OverflowError):
+        return [], "PDF_INVALID"
     return sizes, None if sizes else "PDF_INVALID"
 
 

@@ -235,14 +235,14 @@ def summary(tasks: DataFrame, now: str) -> DataFrame:
     return tasks.withColumns({"summary": parsed, "pdf_available": pdf_available(now)}).drop("summary_json", "report_json", "report_text", "pdf_path", "pdf_deleted_at", "owner_email", "attempt_count")
 
 
-def detail(tasks: DataFrame, now: str) -> DataFrame:
-    """A task with its report."""
-    return tasks.withColumns({"summary": F.from_json("summary_json", schemas.SUMMARY.spark()), "report": F.from_json("report_json", schemas.REPORT.spark()), "pdf_available": pdf_available(now)}).drop("summary_json", "report_json", "pdf_path", "pdf_deleted_at", "owner_email", "attempt_count")
+def worker_view(tasks: DataFrame, now: str) -> DataFrame:
+    """What a worker gets: a task with its report, its owner, the file's path and the attempts."""
+    return tasks.withColumns({"summary": F.from_json("summary_json", schemas.SUMMARY.spark()), "report": F.from_json("report_json", schemas.REPORT.spark()), "pdf_available": pdf_available(now)}).drop("summary_json", "report_json", "pdf_deleted_at")
 
 
-def worker_view(tasks: DataFrame, now: str) -> DataFrame:
-    """What a worker gets: the detail, with the owner, the file's path and the attempts."""
-    return detail(tasks, now).join(tasks.select("id", "owner_email", "pdf_path", "attempt_count"), "id")
+def detail(tasks: DataFrame, now: str) -> DataFrame:
+    """A task with its report, for its owner."""
+    return worker_view(tasks, now).drop("pdf_path", "owner_email", "attempt_count")
 
 
 def kpis(tasks: DataFrame) -> DataFrame:
