@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewright.shipping import materialize, passing, scratch_dir, ship
 
-__all__ = ["LOWER", "NON_WORD", "SPACE", "fold", "hash_sample_bound", "materialize", "mix", "one_text_a_document", "passing", "per_row", "scratch_dir", "ship", "span_hashes", "table", "text_chunks", "words"]
+__all__ = ["LOWER", "NON_WORD", "SPACE", "arrow_rows", "fold", "hash_sample_bound", "materialize", "mix", "one_text_a_document", "passing", "per_row", "scratch_dir", "ship", "span_hashes", "table", "text_chunks", "words"]
 
 #: Documents of one vectorised step hold about this many bytes together (a longer text is its own step).
 CHUNK_BYTES = 1 << 19
@@ -28,6 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if size < cores * SMALL_BYTES else df
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Jobs run within send at most so many rows at a time to Python: for long texts of which a task needs few at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fold(key: str, folds: int) -> Column:
     """crc32 of the key's text modulo folds; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds

@@ -44,8 +44,10 @@ from tracewright.llm.token_count import PATTERN, byte_characters
 CHUNK, MATRIX, SALT = 2 << 20, 64 << 20, 16 << 30
 #: Units kept by a worker between chunks, and their links.
 CACHE_UNITS, CACHE_LINKS = 100_000, 1_500_000
+#: Texts that a task is given at once.
+ROWS = 512
 #: New units that are encoded and aligned together.
-LEARN = 16_384
+LEARN = 8_192
 SPACE_SIGN = "▁"
 UNIT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 _NO_TOKENS = -1
@@ -252,7 +254,8 @@ def encoded(docs: DataFrame, a_path: str, b_path: str, *, chunk: int = CHUNK, ma
         trim()
 
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return common.materialize(rows.mapInArrow(run, form), "token-chunks"), stripes
+    with common.arrow_rows(spark, ROWS):
+        return common.materialize(rows.mapInArrow(run, form), "token-chunks"), stripes
 
 
 def _batch(names: list[str], form: str, held: dict, n: int, key: pa.DataType) -> pa.RecordBatch:
