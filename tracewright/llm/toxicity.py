@@ -49,7 +49,7 @@ TERMS = sorted(_KIND)
 SAMPLE_ROWS = 12_000
 MAX_FEATURES = 2000
 #: How much a toxic text weighs in learning, as choose_weight() found it on learning rows alone (README has the figures), and what it chose among.
-POSITIVE = 5.0
+POSITIVE = 8.0
 WEIGHTS = (1.0, 2.0, 3.0, 5.0, 8.0)
 THRESHOLD = 0.5
 _SENTENCE = re.compile(r"(?<=[.!?\n])")
@@ -210,10 +210,11 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, counte
     """Learn from at most `rows` labelled texts, drawn by hash of doc_id outside the held-out fold."""
     common.ship(docs.sparkSession)
     chosen = _sampled(docs, labels, rows)
-    return ToxicityModel() if chosen is None else _learned(chosen, counterfactual=counterfactual)
+    prepared = None if chosen is None else _prepared(chosen)
+    return ToxicityModel() if prepared is None else fit(*prepared, counterfactual=counterfactual)
 
 
-def choose_weight(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, weights: tuple[float, ...] = WEIGHTS) -> tuple[float, dict[float, tuple[int, int, int, int]]]:
+def choose_weight(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS // 3, weights: tuple[float, ...] = WEIGHTS) -> tuple[float, dict[float, tuple[int, int, int, int]]]:
     """The weight of toxic texts with the greatest mean of the shares of toxic and of other texts that are judged right (the smallest of equals), and for each weight: toxic texts caught, toxic
     texts, others left alone, others.
 
@@ -223,21 +224,22 @@ def choose_weight(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS
     if chosen is None:
         return POSITIVE, {}
     inner = F.pmod(F.crc32(F.concat(F.lit("inner:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), F.lit(5)) == 0
-    told = {}
-    tried = [r["text"] for r in chosen.filter(inner).orderBy("doc_id").select("text").collect()]  # at most a fifth of `rows`, or so
-    toxic = np.array([r["toxic"] for r in chosen.filter(inner).orderBy("doc_id").select("toxic").collect()], bool)
+    tried = chosen.filter(inner).orderBy("doc_id").select("text", "toxic").collect()  # at most a fifth of `rows`, or so
+    texts, toxic = pa.array([r["text"] for r in tried], pa.string()), np.array([r["toxic"] for r in tried], bool)
+    prepared, told = _prepared(chosen.filter(~inner)), {}
     for weight in weights:
-        caught = _learned(chosen.filter(~inner), positive=weight).score(pa.array(tried, pa.string())) >= THRESHOLD
+        caught = (fit(*prepared, positive=weight) if prepared else ToxicityModel()).score(texts) >= THRESHOLD
         told[weight] = int((caught & toxic).sum()), int(toxic.sum()), int((~caught & ~toxic).sum()), int((~toxic).sum())
     right = lambda t: t[0] / max(1, t[1]) + t[2] / max(1, t[3])
     return max(weights, key=lambda w: (right(told[w]), -w)), told
 
 
-def _learned(chosen: DataFrame, **options) -> ToxicityModel:
+def _prepared(chosen: DataFrame) -> tuple | None:
+    """What fit() needs of the sample: known words, sets of them, labels, sums and number of swaps. None without rows."""
     chosen = chosen.select("toxic", "text")
     n, n_toxic = chosen.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("toxic").cast("int")), F.lit(0))).first()
     if not n:
-        return ToxicityModel()
+        return None
 
     def hashed(batches):
         for batch in batches:
@@ -265,7 +267,7 @@ def _learned(chosen: DataFrame, **options) -> ToxicityModel:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["toxic", "places"])
 
     got = sorted((r["toxic"], bytes(r["places"])) for r in chosen.mapInArrow(placed, "toxic boolean, places binary").collect())
-    return fit(known, [np.frombuffer(p, np.int32) for _, p in got], np.array([t for t, _ in got], float), swaps, pairs, **options)
+    return known, [np.frombuffer(p, np.int32) for _, p in got], np.array([t for t, _ in got], float), swaps, pairs
 
 
 def _strongest(counts: DataFrame, n_toxic: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
