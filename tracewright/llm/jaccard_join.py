@@ -525,16 +525,14 @@ def _met_heads(docs: DataFrame, classes: DataFrame, prefix: DataFrame):
     Classes of crowded lists are dense. Two dense classes are found by the order of all their shingles among the dense ones alone, where what is common to many comes last and nearly always behind
     the position up to which a link is possible; any other pair shares no crowded list, so the other lists find it."""
     crowded = common.materialize(crowded_tokens(prefix), "crowded")
-    votes = prefix.filter(may_meet(agree(F.col("n")))).withColumn("enough", agree(F.col("n")))
-    if crowded.isEmpty():
-        return parted(_everyone(grouped(votes), prefix)), lambda members: head_pairs(prefix, members)
     dense = common.materialize(prefix.join(crowded, "token", "left_semi").select("class").distinct().join(classes, "class"), "dense")
     light = common.materialize(prefix.join(crowded, "token", "left_anti"), "light-lists")
     # Broadcast only if Spark finds the dense classes small enough for that.
     sets = common.materialize(whole_sets(docs, dense.withColumn("block", F.lit(0).cast("long")), how="").select("class", F.col("shingles").alias("posted")), "dense-sets")
     whole = common.materialize(whole_prefixes(shared_shingles(sets), dense), "dense-prefixes")
     half = F.least(F.lit(AGREE), F.ceil(F.count(F.lit(1)).over(W.partitionBy("class")) / 2))
-    alike = grouped(whole.filter(may_meet(F.lit(1))).withColumn("enough", half)).unionByName(grouped(votes.join(dense.select("class"), "class", "left_anti")))
+    votes = light.filter(may_meet(agree(F.col("n")))).withColumn("enough", agree(F.col("n")))
+    alike = grouped(votes).join(dense.select("class"), "class", "left_anti").unionByName(grouped(whole.filter(may_meet(F.lit(1))).withColumn("enough", half)))
     members = parted(_everyone(alike, light.select("class", "n").unionByName(whole.select("class", "n"))))
     return members, lambda members: head_pairs(light, members).unionByName(head_pairs(whole, members, lambda n: n * 0 + 1)).distinct()
 
