@@ -10,6 +10,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def ship(spark: SparkSession) -> None:
@@ -60,6 +61,16 @@ def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFram
     return written
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df by its keys over all tasks of an exchange: for few bytes of much work, which would else be read, or put together, as a few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows of a schema, without a job of Python workers."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
