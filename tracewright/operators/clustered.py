@@ -17,6 +17,8 @@ from tracewright.streaming import tasks as store
 
 #: Tasks of a file, about.
 FILE_ROWS = 200_000
+#: Files that one task writes, one after the other, about: what the driver hears of a layout (samples of ranges, results of tasks) grows with the tasks.
+TASK_FILES = 100
 
 
 def _order():
@@ -43,7 +45,8 @@ class ClusteredHistory:
         rows = tasks.filter("owner_email is not null and created_at is not null and id is not null")
         files = max(1, -(-rows.count() // file_rows))
         data = f"{self.folder}/data-{uuid.uuid4().hex}"
-        rows.repartitionByRange(files, *_order()).sortWithinPartitions(*_order()).write.parquet(data)
+        tasks = min(files, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-files // TASK_FILES)))
+        rows.repartitionByRange(tasks, *_order()).sortWithinPartitions(*_order()).write.option("maxRecordsPerFile", file_rows).parquet(data)
         kept = self.spark.read.schema(rows.schema).parquet(data)
         place = F.struct("created_at", "id")
         index = kept.groupBy("owner_email", F.col("_metadata.file_path").alias("file")).agg(
