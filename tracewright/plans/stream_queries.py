@@ -29,7 +29,7 @@ def played(events: DataFrame, stream: Callable[[DataFrame], DataFrame], name: st
     copies = F.explode(F.when(F.pmod(F.xxhash64("seq", "id"), F.lit(3)) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     span = ((last or 0) - (first or 0) + LATEST) // PARTS + 1
     arriving = events.withColumn("copy", copies).withColumn("part", F.floor((F.unix_seconds("at") + F.when(F.col("copy") == 0, late(0)).otherwise(late(1)) - (first or 0)) / span)).drop("copy")
-    arriving.repartition("part").write.partitionBy("part").parquet(f"{folder}/deliveries")
+    arriving.write.partitionBy("part").parquet(f"{folder}/deliveries")
     clock = spark.createDataFrame([("", NOW + dt.timedelta(days=2), n) for n in (-1, -2)], "id string, at timestamp, seq long")
     for part in range(PARTS + 2):
         if part < PARTS:
