@@ -136,6 +136,30 @@ def test_both_libraries_for_a_agree(aligner, monkeypatch):
     aligner.forget()
 
 
+def test_common_units_stay_when_the_cache_is_full(aligner, monkeypatch):
+    monkeypatch.setattr(token_alignment, "CACHE_UNITS", 60)
+    stripes = token_alignment.Stripes(*aligner.sizes)
+    chunks = [[f"the common wörds of it {'ab' * i} r{c}x{i} rär{c}y{i} {'▁' if i == 7 else ''}\n" for i in range(20)] for c in range(5)]
+    learned, learn = Counter(), aligner.learn
+    monkeypatch.setattr(aligner, "learn", lambda units: (learned.update(units), learn(units)))
+
+    def told(texts):
+        figures, blobs = token_alignment._chunk(aligner, stripes, texts)
+        return {k: list(v) for k, v in (figures | blobs).items()}, [joined(aligner, t) for t in texts]
+
+    aligner.forget()
+    kept = []
+    for texts in chunks:
+        kept.append(told(texts))
+        aligner.thin()
+        assert len(aligner.units) == len(aligner.groups) == len(aligner.n_a) == len(aligner.ends) - 1 <= 30
+    assert [learned[u] for u in (" the", " common", " wörds", " of", " it")] == [1] * 5
+    for texts, before in zip(chunks, kept, strict=True):
+        aligner.forget()
+        assert told(texts) == before
+    aligner.forget()
+
+
 def test_best_pairs(spark):
     df = cases.docs(spark, [(i, cases.prose(i, 30), "s") for i in range(20)])
     chunks, stripes = token_alignment.encoded(df, A_PATH, B_PATH, matrix=8 << 20)

@@ -5,8 +5,9 @@ tokens of both end cut them into groups. Each elementary stretch between neighbo
 
 Texts are cut into units before a space or line feed that follows a character that isn't white space. No pre-token of A crosses such a place, and no piece of B
 does, since on the driver it is proved that no piece has its space sign after another character or a line feed beside one; otherwise a text
-is one unit. A unit is encoded by the libraries and aligned once for as long as it stays in a bounded cache, so that a common word costs one lookup. ASCII units
-of A go to a faster library with the same ranks, where it is proved on the driver that both merge alike.
+is one unit. A unit is encoded by the libraries and aligned once for as long as it stays in a bounded cache, so that a common word costs one lookup; when the cache is full,
+the units that most documents had stay in it. ASCII units of A go to a faster library with the same ranks, where it is proved on the driver that both merge alike. Since A cuts wherever
+units are cut, it is given many new units as one text.
 
 Documents are read once and written as chunks: a row of figures each, and for every stripe of B's ids (id modulo the number of stripes, so that the low, frequent ids lie in
 different ones) one blob of the chunk's id pairs, their links, and which documents hold them how often. A task adds the pairs of a stripe with np.add.at to one dense
@@ -42,7 +43,7 @@ from tracewright.llm.token_count import PATTERN, byte_characters
 
 #: Bytes of text in a chunk (at most 65,535 documents), of a stripe's matrix, and of text for each task of a stripe.
 CHUNK, MATRIX, SALT = 2 << 20, 64 << 20, 16 << 30
-#: Units kept by a worker between chunks, and their links.
+#: Units kept by a worker between chunks, and their links; beyond either, all but the most used ones go, which are at most half of both.
 CACHE_UNITS, CACHE_LINKS = 100_000, 1_500_000
 #: Texts that a task is given at once.
 ROWS = 512
@@ -92,11 +93,37 @@ class Aligner:
     def forget(self) -> None:
         self.units, self.groups = {}, []
         self.n_a, self.n_b, self.n_groups, self.ends, self.pairs = array("q"), array("q"), array("q"), array("q", [0]), array("q")
+        self.uses = np.zeros(0, np.int64)
+
+    def used(self, units: np.ndarray) -> None:
+        """Count a use of each of these units."""
+        uses = np.bincount(units, minlength=len(self.groups))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
+
+    def thin(self) -> None:
+        """Forget all units but the most used, and half of their uses."""
+        uses, ends = np.zeros(len(self.groups), np.int64), np.array(self.ends)
+        uses[: len(self.uses)] = self.uses
+        links = np.diff(ends)
+        most = np.argsort(-uses, kind="stable")[: CACHE_UNITS // 2]
+        most = most[uses[most] > 1]
+        kept = np.sort(most[np.cumsum(links[most]) <= CACHE_LINKS // 2])
+        number = np.full(len(uses), -1)
+        number[kept] = np.arange(len(kept))
+        units = {u: k for u, k in zip(self.units, number[list(self.units.values())].tolist(), strict=True) if k >= 0}
+        groups = [self.groups[k] for k in kept.tolist()]
+        columns = [np.array(x)[kept] for x in (self.n_a, self.n_b, self.n_groups)]
+        pairs = np.array(self.pairs)[_runs(ends[kept], links[kept])]
+        self.forget()
+        self.units, self.groups, self.uses = units, groups, uses[kept] // 2
+        for held, values in zip((self.n_a, self.n_b, self.n_groups, self.ends, self.pairs), (*columns, np.cumsum(links[kept]), pairs), strict=True):
+            held.frombytes(values.tobytes())
 
     def numbers(self, texts: list[str]) -> list[list[int]]:
         """The units of space + text, of each text; an empty one has none."""
         cut = [(UNIT.findall(" " + t) if self.cuts else [" " + t]) if t else [] for t in texts]
-        new = [u for u in set(chain.from_iterable(cut)) if u not in self.units]
+        new = list(set(chain.from_iterable(cut)).difference(self.units))
         for at in range(0, len(new), LEARN):
             self.learn(new[at : at + LEARN])
         number = self.units.__getitem__
@@ -104,31 +131,46 @@ class Aligner:
 
     def learn(self, units: list[str]) -> None:
         """Encode and align new units."""
-        if self.ranked:
-            fast = self.ranked.encode_ordinary
-            a_ids = [fast(u) if u.isascii() else None for u in units]
-        else:
-            a_ids = [None] * len(units)
-        slow = [i for i, ids in enumerate(a_ids) if ids is None]
-        for i, got in zip(slow, self.a.encode_batch_fast([units[i] for i in slow], add_special_tokens=False) if slow else [], strict=True):
-            a_ids[i] = got.ids
-        # B adds a space to what it is given: behind a line feed a unit stands as within a text.
-        b_ids = self.b.encode(["\n" + u if self.cuts else u[1:] for u in units], num_threads=1) if units else []
-        self._add(units, a_ids, [b[2:] for b in b_ids] if self.cuts else b_ids)
-
-    def _add(self, units: list[str], a_ids: list[list[int]], b_ids: list[list[int]]) -> None:
-        """Align all new units at once: their bytes stand one after another, and both sides' tokens end together where a unit ends."""
+        plain, other, alone = [], [], []
+        for u in units:
+            ascii = self.ranked and u.isascii()
+            (alone if not self.cuts or u[-1].isspace() else plain if ascii else other).append(u)
+        units = plain + other + alone
         if not units:
             return
         size = np.array([len(u) if u.isascii() else len(u.encode()) for u in units], np.int64)
-        (n_a, a), (n_b, b) = (_flat(ids) for ids in (a_ids, b_ids))
+        slow = lambda texts: [got.ids for got in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        fast = (lambda texts: list(map(self.ranked.encode_ordinary, texts))) if self.ranked else slow
+        at = len(plain) + len(other)
+        parts = [self._together(plain, size[: len(plain)], fast), self._together(other, size[len(plain) : at], slow), _flat([(fast if u.isascii() else slow)([u])[0] for u in alone])]
+        n_a, a = (np.concatenate(x) for x in zip(*parts, strict=True))
+        # B adds a space to what it is given: behind a line feed a unit stands as within a text.
+        n_b, b = _flat(self.b.encode(["\n" + u if self.cuts else u[1:] for u in units], num_threads=1))
+        if self.cuts:
+            b = b[_runs(np.zeros(len(n_b), np.int64), n_b) > 1]
+            n_b = np.maximum(n_b - 2, 0)
+        self._add(units, size, n_a, a, n_b, b)
+
+    def _together(self, units: list[str], size: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """How many of A's tokens each unit has, and all of them: of the units as one text, if tokens end where units end, else of each unit."""
+        if not units:
+            return _flat([])
+        a = np.array(encode(["".join(units)])[0], np.int64)
+        end, wanted = np.cumsum(self.a_size[a]), np.cumsum(size)
+        last = np.searchsorted(end, wanted, "right")
+        if last[0] and np.array_equal(end[last - 1], wanted):
+            return np.diff(last, prepend=0), a
+        return _flat(encode(units))
+
+    def _add(self, units: list[str], size: np.ndarray, n_a: np.ndarray, a: np.ndarray, n_b: np.ndarray, b: np.ndarray) -> None:
+        """Align all new units at once: their bytes stand one after another, and both sides' tokens end together where a unit ends."""
         fit = (_summed(self.a_size[a], n_a) == size) & (_summed(self.b_size[b], n_b) == size)
-        good = np.flatnonzero(fit)
-        if not self._gives([units[i] for i in good], [a_ids[i] for i in good], [b_ids[i] for i in good]):
-            fit[good] = [self._gives([units[i]], [a_ids[i]], [b_ids[i]]) for i in good]
-            good = np.flatnonzero(fit)
-        if len(good) < len(units):
+        if not (fit.all() and self._gives(units, a, b)):
+            a_runs, b_runs = (np.split(ids, np.cumsum(n)[:-1]) for ids, n in ((a, n_a), (b, n_b)))
+            fit = np.array([ok and self._gives([u], x, y) for ok, u, x, y in zip(fit, units, a_runs, b_runs, strict=True)])
             a, b = a[np.repeat(fit, n_a)], b[np.repeat(fit, n_b)]
+        good = np.flatnonzero(fit)
+        good = np.flatnonzero(fit)
         a_end, b_end, end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), np.cumsum(size[good])
         links, cuts = np.union1d(a_end, b_end), np.intersect1d(a_end, b_end, assume_unique=True)
         # One pair for each stretch between neighbouring ends; tokens by group and side, each with the sign that follows it.
@@ -144,9 +186,11 @@ class Aligner:
         counts = np.full((4, len(units)), [[_NO_TOKENS], [0], [0], [0]], np.int64)
         for row, ends in zip(counts, (a_end, b_end, cuts, links), strict=True):
             row[good] = np.diff(np.searchsorted(ends, end, "right"), prepend=0)
-        groups = [""] * len(units)
-        for i, text in zip(good.tolist(), told, strict=False):  # the last one is what follows the last unit
-            groups[i] = text
+        groups = told[:-1]  # the last one is what follows the last unit
+        if len(good) < len(units):
+            groups = [""] * len(units)
+            for i, text in zip(good.tolist(), told, strict=False):
+                groups[i] = text
         self.units.update(zip(units, range(len(self.groups), len(self.groups) + len(units)), strict=True))
         self.groups += groups
         for kept, row in zip((self.n_a, self.n_b, self.n_groups), counts, strict=False):
@@ -154,10 +198,10 @@ class Aligner:
         self.ends.frombytes((self.ends[-1] + np.cumsum(counts[3])).tobytes())
         self.pairs.frombytes(pairs.astype(np.int64).tobytes())
 
-    def _gives(self, units: list[str], a_ids: list[list[int]], b_ids: list[list[int]]) -> bool:
+    def _gives(self, units: list[str], a: np.ndarray, b: np.ndarray) -> bool:
         """Whether both sides' tokens, joined, are the units' bytes."""
         data = "".join(units).encode()
-        return all(b"".join([known[x] for i in ids for x in i]) == data for ids, known in ((a_ids, self.a_bytes), (b_ids, self.b_bytes)))
+        return all(b"".join(map(known.__getitem__, ids.tolist())) == data for ids, known in ((a, self.a_bytes), (b, self.b_bytes)))
 
 
 def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -166,6 +210,11 @@ def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return n, np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
 
 
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n numbers from each first one on."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 def _summed(values: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Sums of the values over runs of n of them."""
     sums, ends = np.concatenate([[0], np.cumsum(values)]), np.cumsum(n)
@@ -248,7 +297,7 @@ def encoded(docs: DataFrame, a_path: str, b_path: str, *, chunk: int = CHUNK, ma
                         yield _batch(names, form, {"chunk": np.full(m, number)} | blobs, m, part.column("doc_id").type)
                     number += 1
                     if len(aligner.groups) > CACHE_UNITS or len(aligner.pairs) > CACHE_LINKS:
-                        aligner.forget()
+                        aligner.thin()
                         trim()
         aligner.forget()  # the worker's next task may need the memory for a matrix
         trim()
@@ -286,9 +335,9 @@ def _chunk(aligner: Aligner, stripes: Stripes, texts: list[str]) -> tuple[dict,
         return figures, {"stripe": []}
     held, times = np.unique(doc * len(groups) + unit, return_counts=True)
     doc, unit = np.divmod(held, len(groups))
+    aligner.used(unit)
     each = n_links[unit]
-    at = np.repeat(ends[unit] - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(int(each.sum()))
-    place = stripes.place(np.array(aligner.pairs)[at])
+    place = stripes.place(np.array(aligner.pairs)[_runs(ends[unit], each)])
     doc, times = np.repeat(doc, each), np.repeat(times, each)
     order = np.lexsort((doc, place))
     place, doc, times = place[order], doc[order], times[order]
