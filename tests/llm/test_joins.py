@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 import cases
 from pyspark.sql import functions as F
 
-from tracewright.llm import components, jaccard_join, packing, topk_search
+from tracewright.llm import common, components, jaccard_join, packing, topk_search
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -285,6 +285,38 @@ def test_op6_keeps_near_copies_apart(spark, tmp_path):
     assert sum(r["length"] for r in got) == sum(len(WORD.findall(t or "")) for _, t, _ in rows)
 
 
+def test_op6_counts_words_where_the_join_reads_texts(spark, tmp_path, monkeypatch):
+    cases.hard(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(packing, "word_counts", None)  # a second reading of all texts
+    got = Counter()
+    for r in packing.op6_best_fit_packing(spark, str(tmp_path)).collect():
+        got[r["doc_id"], r["source"]] += r["length"]
+    want = Counter()
+    for r in cases.hard_rows():
+        want[r[0], r[3]] += len(WORD.findall(r[1] or ""))
+    assert got == want and got.keys() == want.keys()
+
+
+def test_prefixes_of_classes_over_several_batches(spark):
+    rng = random.Random(14)
+    classes = [(c, rng.randrange(1, 60)) for c in range(-20, 20)]
+    classes, shared = [(c, n, rng.randrange(n + 1)) for c, n in classes], []
+    for c, n, low in classes[3:]:
+        for k in rng.sample(range(100), rng.randrange(n + 1)):
+            high = rng.random() < 0.5
+            shared.append((c, (k - 200 if k % 2 else 6 * 10**18 + k) if high else k, rng.randrange(2, 5)))
+    want = []
+    for c, n, low in classes:
+        mine = sorted((t < 0 or t >= 0.3 * 2**64, df, t) for d, t, df in shared if d == c)
+        below, need = sum(not high for high, *_ in mine), -(-75 * n // 100)
+        at = [(t, (n - len(mine) if high else low - below) + i) for i, (high, _, t) in enumerate(mine)]
+        at = [(t, pos) for t, pos in at if pos < n - need + min(6, need)]
+        want += [(c, n, t, pos) for t, pos in at if len(at) >= min(6, -(-75 * need // 100))]
+    with common.arrow_rows(spark, 7):
+        got = jaccard_join.prefixes(spark.createDataFrame(shared, "class long, token long, df long"), spark.createDataFrame(classes, "class long, n long, low long")).collect()
+    assert want and Counter(map(tuple, got)) == Counter(want)
+
+
 def top_by_hand(rows, every, k):
     v = [(i, [int(np.floor(256 * float(c))) for c in x]) for i, x in rows if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)]
     out = Counter()

@@ -34,7 +34,6 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.llm import common
@@ -60,7 +59,7 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 
 
 def sets_of(column: pa.Array):
-    """(row, sorted distinct 64-bit hashes of the row's shingles) of every text."""
+    """(row, number of words, sorted distinct 64-bit hashes of the row's shingles) of every text."""
     for at, data, offsets in common.text_chunks(column):
         starts, ends, row = common.words(data, offsets)
         w = common.span_hashes(data, starts, ends)
@@ -73,11 +72,11 @@ def sets_of(column: pa.Array):
             a, b = first[i], first[i + 1]
             if b - a >= N:
                 got = np.sort(full[a : b - N + 1])
-                yield at + i, got[np.concatenate([[True], got[1:] != got[:-1]])]
+                yield at + i, b - a, got[np.concatenate([[True], got[1:] != got[:-1]])]
             elif b > a:
-                yield at + i, common.mix((w[a:b] * _ODD[: b - a]).sum(keepdims=True) + np.uint64(b - a))
+                yield at + i, b - a, common.mix((w[a:b] * _ODD[: b - a]).sum(keepdims=True) + np.uint64(b - a))
             else:
-                yield at + i, w[:0]
+                yield at + i, 0, w[:0]
 
 
 def digest(got: np.ndarray) -> int:
@@ -95,8 +94,8 @@ def linked(overlap, a, b):
     return 100 * overlap >= PERCENT * (a + b - overlap)
 
 
-def _text_rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+def _text_rows(docs: DataFrame, *carried: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), *carried, "text")
 
 
 def posted(got: np.ndarray) -> tuple[np.ndarray, int]:
@@ -105,26 +104,27 @@ def posted(got: np.ndarray) -> tuple[np.ndarray, int]:
     return (got[:low] if low >= prefix_length(len(got)) else got), low
 
 
-def describe_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n, class, low, and posted (blob) of every row; posted is null for a set seen before in the partition and for empty sets."""
+def describe_sets(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, text_hash, the carried columns, words, n, class, low, and posted (blob) of every row; posted is null for a set seen before in the partition and for
+    empty sets."""
     common.ship(docs.sparkSession)
+    kept = ["doc_id", "text_hash", *carried]
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             d = dict(zip(batch.schema.names, batch.columns, strict=True))
-            n, classes, lows, blobs = [], [], [], []
-            for _, got in sets_of(d["text"]):
+            words, n, classes, lows, blobs = [], [], [], [], []
+            for _, count, got in sets_of(d["text"]):
                 c = digest(got)
                 mine, low = posted(got)
                 blobs.append(mine.tobytes() if len(got) and c not in seen else None)
                 seen.add(c)
-                n.append(len(got)), classes.append(c), lows.append(low)
-            yield pa.RecordBatch.from_arrays(
-                [d["doc_id"], d["text_hash"], pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(lows, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "text_hash", "n", "class", "low", "posted"]
-            )
+                words.append(count), n.append(len(got)), classes.append(c), lows.append(low)
+            yield pa.RecordBatch.from_arrays([*(d[c] for c in kept), *(pa.array(x, pa.int64()) for x in (words, n, classes, lows)), pa.array(blobs, pa.binary())], [*kept, "words", "n", "class", "low", "posted"])
 
-    return _text_rows(docs).mapInArrow(run, "doc_id long, text_hash long, n long, class long, low long, posted binary")
+    rows = _text_rows(docs, *carried)
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in rows.drop("text").dtypes) + ", words long, n long, class long, low long, posted binary")
 
 
 def _dealt(at: np.ndarray, tokens: np.ndarray, owners: np.ndarray, name: str) -> pa.RecordBatch:
@@ -269,19 +269,51 @@ def agree(n: Column) -> Column:
     return F.least(F.lit(AGREE), needed(n))
 
 
-def prefixes(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """class, n, token, pos of the shared shingles in each class's prefix, in the order (range, df, token)."""
-    high = (F.col("token") < 0) | (F.col("token") >= F.lit(int(_LOW)))
-    rows = shared.join(classes.select("class", "n", "low"), "class").withColumn("high", high)
-    whole = W.partitionBy("class")
-    at = F.row_number().over(whole.orderBy("high", "df", "token")) - 1
-    rows = rows.select("class", "n", "low", "token", "high", at.alias("at"), F.count_if(~F.col("high")).over(whole).alias("below"), F.count(F.lit(1)).over(whole).alias("all"))
+def _prefix(classes: np.ndarray, n: np.ndarray, low: np.ndarray, tokens: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
+    """class, n, token, pos of prefixes() for whole classes, whose rows stand together: a row of n and low (df is 0), and one of each shared shingle."""
+    new = np.concatenate([[True], classes[1:] != classes[:-1]])
+    group = np.cumsum(new) - 1
+    told, sizes = df == 0, np.zeros((2, int(new.sum())), np.int64)
+    sizes[:, group[told]] = n[told], low[told]
+    group, tokens, df = group[~told], tokens[~told], df[~told]
+    high = (tokens < 0) | (tokens >= int(_LOW))
+    order = np.lexsort((tokens, df, high, group))
+    group, tokens, high = group[order], tokens[order], high[order]
+    n, low = sizes[:, group]
+    several, below = np.bincount(group, minlength=sizes.shape[1]), np.bincount(group, ~high, sizes.shape[1]).astype(np.int64)
+    at = np.arange(len(group)) - (np.cumsum(several) - several)[group]
     # Shingles that no other class holds come first in their range.
-    pos = F.when(F.col("high"), F.col("n") - F.col("all") + F.col("at")).otherwise(F.col("low") - F.col("below") + F.col("at"))
-    length = F.col("n") - needed(F.col("n")) + agree(F.col("n"))
-    rows = rows.select("class", "n", "token", pos.cast("long").alias("pos"), length.alias("length")).filter("pos < length")
+    pos = np.where(high, n - several[group], low - below[group]) + at
+    need = (PERCENT * n + 99) // 100
+    kept = (n > 0) & (pos < n - need + np.minimum(AGREE, need))
     # With fewer than the smallest class that may link asks for, no list can lead to a link.
-    return rows.withColumn("c", F.count(F.lit(1)).over(whole)).filter(F.col("c") >= agree(needed(F.col("n")))).select("class", "n", "token", "pos")
+    kept &= np.bincount(group[kept], minlength=sizes.shape[1])[group] >= np.minimum(AGREE, (PERCENT * need + 99) // 100)
+    return pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (classes[new][group], n, tokens, pos)], ["class", "n", "token", "pos"])
+
+
+def prefixes(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """class, n, token, pos of the shared shingles in each class's prefix, in the order (range, df, token).
+
+    A class's shingles, no more than one text has, come sorted by class to one task, which holds those of a few classes at a time."""
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []  # of the class that may go on
+        for batch in batches:
+            columns = [c.fill_null(0).to_numpy() for c in batch.columns]
+            if not batch.num_rows:
+                continue
+            if columns[0][-1] == columns[0][0] and (not held or held[0][0][0] == columns[0][0]):
+                held.append(columns)
+                continue
+            last = int(np.flatnonzero(columns[0] != columns[0][-1])[-1]) + 1 if columns[0][0] != columns[0][-1] else 0
+            yield _prefix(*map(np.concatenate, zip(*held, [c[:last] for c in columns], strict=True)))
+            held = [[c[last:] for c in columns]]
+        if held:
+            yield _prefix(*map(np.concatenate, zip(*held, strict=True)))
+
+    none = F.lit(None).cast("long")
+    rows = shared.select("class", none.alias("n"), none.alias("low"), "token", "df").unionByName(classes.select("class", "n", "low", none.alias("token"), none.alias("df")))
+    return rows.repartition("class").sortWithinPartitions("class").mapInArrow(run, "class long, n long, token long, pos long")
 
 
 def grouped(prefix: DataFrame) -> DataFrame:
@@ -353,7 +385,7 @@ def whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
             new = [c not in seen and not seen.add(c) for c in d["class"].to_pylist()]
             batch = batch.filter(pa.array(new, pa.bool_()))
             d = dict(zip(batch.schema.names, batch.columns, strict=True))
-            sets = [s.tobytes() if digest(s) == c else None for c, (_, s) in zip(d["class"].to_pylist(), sets_of(d["text"]), strict=True)]
+            sets = [s.tobytes() if digest(s) == c else None for c, (*_, s) in zip(d["class"].to_pylist(), sets_of(d["text"]), strict=True)]
             found = pa.array(sets, pa.binary())
             yield pa.RecordBatch.from_arrays([*(d[c] for c in carried), found], [*carried, "shingles"]).filter(found.is_valid())
 
@@ -485,11 +517,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return _answers(docs).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
-def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Written tables: the rows (doc_id, text_hash, n, class), the classes (class, rep, text_hash, copies, n, low), and met_blocks(). All others are removed."""
+def linked_classes(docs: DataFrame, *carried: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: the rows (doc_id, text_hash, n, class; where columns are carried, these and words, too), the classes (class, rep, text_hash, copies, n, low), and met_blocks(). All others are removed."""
     with common.passing(docs.sparkSession) as outside:
-        described = common.materialize(describe_sets(docs), "sets")
-        rows = common.materialize(described.select("doc_id", "text_hash", "n", "class"), "rows", outside)
+        described = common.materialize(describe_sets(docs, *carried), "sets")
+        rows = common.materialize(described.select("doc_id", "text_hash", "n", "class", *(["words", *carried] if carried else [])), "rows", outside)
         # A class is fetched by one row of it, by id and text, so that an id that many texts bear brings no more than that.
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
         classes = described.filter("n > 0").groupBy("class").agg(first.alias("row"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("low").alias("low"))
@@ -511,24 +543,24 @@ def derived_sets(met: DataFrame) -> tuple[int, int]:
     return row[0], row[1]
 
 
-def _answers(docs: DataFrame) -> DataFrame:
-    """jaccard_components() with the rows' text_hash and their component's root class (null for empty sets)."""
-    described, classes, met = linked_classes(docs)  # the rows with their class and size
+def _answers(docs: DataFrame, *carried: str) -> DataFrame:
+    """jaccard_components() with the rows' text_hash and their component's root class (null for empty sets); where columns are carried, these and the words of a row, too."""
+    described, classes, met = linked_classes(docs, *carried)  # the rows with their class and size
     roots = components(met.filter("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")))
     ends = met.filter("class is not null and other is null").groupBy("class").agg(F.sum("links").alias("links"))
     whole = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")).join(ends, "class", "left")
     whole = common.materialize(whole.select("class", "rep", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "roots")
     named = common.materialize(whole.groupBy("root").agg(F.min("rep").alias("component_id")), "names")  # a join of tables can split a large family
     answer = whole.join(named, "root").select("class", "root", "component_id", "n_links")
-    rows = described.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "class").join(answer, "class", "left")
+    more = ["words", *carried] if carried else []
+    rows = described.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "class", *more).join(answer, "class", "left")
     empty = F.col("n_shingles") == 0
-    return rows.select("doc_id", "text_hash", "n_shingles", F.when(~empty, F.col("root")).alias("root"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+    return rows.select("doc_id", "text_hash", "n_shingles", F.when(~empty, F.col("root")).alias("root"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), *more)
 
 
-def text_components(docs: DataFrame) -> DataFrame:
-    """cluster (xxhash64 of a text), group (its component's root class) of every text with words, each once; rows without id have one, too."""
-    found = _answers(docs).filter("root is not null")
-    return found.select(F.col("text_hash").alias("cluster"), F.col("root").alias("group")).distinct()
+def clustered_rows(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, the carried columns, cluster (the component's root class, without words the text's xxhash64) and words of every row; texts are read for the join alone."""
+    return _answers(docs, *carried).select("doc_id", *carried, F.coalesce("root", "text_hash").alias("cluster"), "words")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

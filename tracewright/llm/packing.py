@@ -4,7 +4,7 @@ A document of more than `capacity` words is cut into full pieces, each a bin of
 longest first. Open bins are ordered by what they have left and carry bitmaps of the sources and duplicate
 clusters inside; from the tightest bin that is large enough the successor search goes on, bin by bin, until one is
 compatible: it holds no text of the same cluster and less than `per_source` pieces of the same source. The registered
-query takes op5's components of near copies as clusters; the pipeline's stage, where near copies are gone, equal words.
+query takes op5's components of near copies as clusters, and words as op5 counts them when it reads the texts; the pipeline's stage, where near copies are gone, equal words.
 
 Scale: texts never move, only ids, lengths and hashes. Items are dealt by hash to shards of about SHARD_ITEMS and
 every shard is packed alone, so bins need no agreement between tasks and a shard's memory is bounded. Equal rows
@@ -92,22 +92,19 @@ def word_counts(docs: DataFrame, cluster: Column) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, source string, cluster long, words long")
 
 
-def best_fit_pack(docs: DataFrame, *, cluster: Column | None = None, groups: DataFrame | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """doc_id, source, cluster, copy, piece, start, length, bin_id of every piece (start and length in words).
+def best_fit_pack(docs: DataFrame, *, cluster: Column | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """doc_id, source, cluster, copy, piece, start, length, bin_id of every piece (start and length in words); texts of one cluster have as many words."""
+    return pack_rows(word_counts(docs, text_cluster() if cluster is None else cluster), False, capacity=capacity, per_source=per_source, shard_items=shard_items)
 
-    groups(cluster, group), where given, replaces a cluster by its group.
-    """
-    spark = docs.sparkSession
-    common.ship(spark)
-    rows = word_counts(docs, text_cluster() if cluster is None else cluster)
+
+def pack_rows(rows: DataFrame, differ: bool, *, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """best_fit_pack() of rows(doc_id, source, cluster, words); differ: whether texts of one cluster may have different numbers of words."""
+    common.ship(rows.sparkSession)
     item = ["doc_id", "source", "cluster", "words"]
     rows = rows.groupBy(*item).count()
     before = F.lit(0).cast("long")
-    if groups is not None:
-        rows, groups = common.materialize(rows, "packing-texts"), common.materialize(groups, "packing-groups")
-        rows = rows.join(groups, "cluster", "left").withColumn("cluster", F.coalesce("group", "cluster"))
-        rows = rows.groupBy(*item).agg(F.sum("count").alias("count"))
-        # Different texts of one id in one group are copies as well; a window has a row for each of their lengths.
+    if differ:
+        # Different texts of one id in one cluster are copies as well; a window has a row for each of their lengths.
         window = W.partitionBy("doc_id", "source", "cluster").orderBy("words").rowsBetween(W.unboundedPreceding, -1)
         before = F.coalesce(F.sum("count").over(window), F.lit(0)).cast("long")
     rows = rows.select(*item, before.alias("before"), (before + F.col("count")).alias("last"))
@@ -142,5 +139,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    return best_fit_pack(docs, cluster=F.xxhash64("text"), groups=jaccard_join.text_components(docs.select("doc_id", "text")))
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", F.col("source").cast("string").alias("source"), "text")
+    return pack_rows(jaccard_join.clustered_rows(docs, "source"), True)
